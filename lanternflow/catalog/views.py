@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    k = F.col("k")
     kind, value = F.col("event_type"), F.col("value")
     label = (F.when((kind == "error") & (value > 60), "DoS")
              .when((kind == "signup") & (k.cast("int") < 3), "PortScan")

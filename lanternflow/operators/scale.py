@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lanternflow.session import durable, max_group_rows, shuffle_partitions
@@ -29,9 +29,10 @@ class HotKeys:
     """Keys with more rows than one task should hold (``table`` is None if there are none)."""
 
     columns: tuple[str, ...]
-    rows: int
+    rows: int            # rows of the hot keys
     limit: int
     table: DataFrame | None
+    total: int = 0       # rows of all keys
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if self.table is None:
@@ -48,10 +49,10 @@ def hot_keys(df: DataFrame, columns: Sequence[str], limit: int | None = None) ->
     top, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
     bar = max(limit, (rows or 0) // HOT_KEYS)
     if (top or 0) <= bar:
-        return HotKeys(tuple(columns), 0, limit, None)
+        return HotKeys(tuple(columns), 0, limit, None, rows or 0)
     table = durable(counts.filter(F.col("_n") > bar))
     hot_rows = table.agg(F.sum("_n")).first()[0]
-    return HotKeys(tuple(columns), hot_rows, limit, table.select(*columns))
+    return HotKeys(tuple(columns), hot_rows, limit, table.select(*columns), rows)
 
 
 def range_chunks(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
@@ -153,6 +154,11 @@ def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
                             if f.name not in df.columns])
 
 
+def literal_table(spark: SparkSession, cells: Sequence[Column]) -> DataFrame:
+    """A table of a few literal structs, built in the JVM."""
+    return spark.range(1).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
 def _literal(value, kind) -> Column:
     if isinstance(value, list):
         return F.array(*[F.lit(v) for v in value]).cast(kind)
@@ -264,14 +270,15 @@ def exact_quantile(df: DataFrame, values: Sequence[str], prob: float, method: st
     return picked.select(*by, "feature", "n", value.alias("quantile"))
 
 
-def global_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+def global_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float],
+                     rows: int | None = None) -> dict[str, list[float]]:
     """Exact linear quantiles of whole columns, as driver scalars.
 
     One ``percentile`` aggregate while the columns fit one task, else the bracketed search.
+    ``rows`` saves the count if the caller knows it.
     """
-    spark = df.sparkSession
-    largest = max((x or 0) for x in df.agg(*[F.count(v).alias(v) for v in values]).first())
-    if largest <= max_group_rows(spark):
+    rows = df.count() if rows is None else rows
+    if rows <= max_group_rows(df.sparkSession):
         at = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(v, at).alias(v) for v in values]).first()
         return {v: list(row[v] or []) for v in values}

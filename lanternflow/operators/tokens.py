@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
-from lanternflow.operators.scale import global_quantiles
+from lanternflow.operators.scale import global_quantiles, literal_table
 from lanternflow.schema import FIRST_KNOWN_ID, PAD_ID, UNK_ID
 from lanternflow.session import durable
 
@@ -25,22 +25,21 @@ def top_destinations(train: DataFrame, n: int) -> DataFrame:
             .orderBy(F.desc("n"), F.asc("dst_id")).limit(n))
 
 
-def byte_edges(train: DataFrame, buckets: int) -> list[float]:
+def byte_edges(train: DataFrame, buckets: int, rows: int | None = None) -> list[float]:
     """Distinct quantiles of log bytes; a flat column gets one wide bin.
 
     Returns at most ``buckets + 1`` numbers.
     """
     logs = train.select(V.log_bytes(F.col("bytes")).alias("x"))
-    edges = sorted(set(global_quantiles(logs, ["x"], [i / buckets for i in range(buckets + 1)])["x"]))
+    edges = sorted(set(global_quantiles(logs, ["x"], [i / buckets for i in range(buckets + 1)], rows)["x"]))
     if len(edges) <= 2:
         low, high = logs.agg(F.min("x"), F.max("x")).first()
         return [low, high + 1e-6]
     return edges
 
 
-def byte_bin(size: Column, edges: list[float]) -> Column:
-    """Index of the last edge not above the value, kept inside the bins."""
-    x = V.log_bytes(size)
+def log_bin(x: Column, edges: list[float]) -> Column:
+    """Index of the last edge not above the log size, kept inside the bins."""
     # The highest reached edge decides; a when-chain stays in generated code.
     out: Column = F.lit(0)
     for i in range(1, len(edges) - 1):
@@ -82,11 +81,12 @@ def build_tokenizer(destinations: list[str], event_types: DataFrame, edges: list
     return Tokenizer(sorted(destinations), ranked, ranked.count(), list(edges))
 
 
-def fit_tokenizer(train: DataFrame, top_n: int, buckets: int, event_types: list[str] | None = None) -> Tokenizer:
+def fit_tokenizer(train: DataFrame, top_n: int, buckets: int, event_types: list[str] | None = None,
+                  rows: int | None = None) -> Tokenizer:
     kinds = (train.sparkSession.createDataFrame([(t,) for t in event_types], "event_type string")
              if event_types else train.select("event_type").distinct())
     names = [r["dst_id"] for r in top_destinations(train, top_n).collect()]
-    return build_tokenizer(names, kinds, byte_edges(train, buckets))
+    return build_tokenizer(names, kinds, byte_edges(train, buckets, rows))
 
 
 def vocabulary(tok: Tokenizer) -> DataFrame:
@@ -107,15 +107,15 @@ def tokenize(events: DataFrame, tok: Tokenizer) -> DataFrame:
     destinations are bounded by top_n and broadcast; the event types are left to
     adaptive execution.
     """
-    spark = events.sparkSession
-    dsts = F.broadcast(spark.createDataFrame(list(zip(tok.destinations, range(len(tok.destinations)))),
-                                             "_dst string, di int"))
+    names = [F.struct(F.lit(d).alias("_dst"), F.lit(i).alias("di")) for i, d in enumerate(tok.destinations)]
+    dsts = F.broadcast(literal_table(events.sparkSession, names or [F.struct(F.lit(None).cast("string").alias("_dst"),
+                                                                             F.lit(0).alias("di"))]))
     kinds = tok.event_types.select(F.col("event_type").alias("_kind"), "ei")
-    joined = (events.withColumn("dst_id", F.coalesce("dst_id", F.lit("")))
+    joined = (events.withColumns({"dst_id": F.coalesce("dst_id", F.lit("")), "_size": V.log_bytes(F.col("bytes"))})
               .join(dsts, F.col("dst_id") == F.col("_dst"), "left")
               .join(kinds, F.col("event_type") == F.col("_kind"), "left"))
     di = F.coalesce(F.col("di"), F.lit(tok.buckets - 1))
-    bi = byte_bin(F.col("bytes"), tok.edges)
+    bi = log_bin(F.col("_size"), tok.edges)
     known = F.lit(FIRST_KNOWN_ID) + (F.col("ei") * tok.buckets + di) * tok.bins + bi
     bucket = F.when(F.col("di").isNull(), OTHER).otherwise(F.concat(F.lit("DST="), "dst_id"))
     return joined.select(

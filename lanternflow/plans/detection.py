@@ -65,8 +65,8 @@ def windows_of(events: DataFrame, tokenizer: K.Tokenizer, seq_len: int, step: in
 def fit_detector(train: DataFrame, seq_len: int, top_n: int, buckets: int, step: int = 1, min_windows: int = 30,
                  hot: HotKeys | None = None, tokenizer: K.Tokenizer | None = None, **policy) -> Detector:
     """Fit tokens, the next-event counts and the entity profiles on (benign) training events."""
-    tokenizer = tokenizer or K.fit_tokenizer(train, top_n, buckets)
     hot = hot or hot_keys(train, ["entity_id"])
+    tokenizer = tokenizer or K.fit_tokenizer(train, top_n, buckets, rows=hot.total)
     windows = windows_of(train, tokenizer, seq_len, step, hot=hot)
     model = N.fit_next_event(windows, tokenizer.size)
     scored = durable(N.with_nll(windows, model).select("entity_id", *SCORE_FEATURES))

@@ -15,6 +15,9 @@ def local_session(cores: str | int = 8, app: str = "lanternflow") -> SparkSessio
              .config("spark.driver.bindAddress", "127.0.0.1")
              .config("spark.driver.host", "127.0.0.1")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.shuffle.partitions", str(cores))
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
