@@ -87,6 +87,12 @@ def with_nll(windows: DataFrame, m: NextEventModel) -> DataFrame:
     return windows.join(scored, [*CONTEXT, "token_id"])
 
 
+def with_nll_by_lookup(windows: DataFrame, m: NextEventModel) -> DataFrame:
+    """The same by joining the count tables directly; streams cannot take a distinct first."""
+    return (_score_triples(windows, m).withColumn("nll", nll_of(F.col("p")))
+            .drop("p", "c2y", "c2", "c1y", "c1", "cy"))
+
+
 def top_predictions(contexts: DataFrame, m: NextEventModel, k: int = 5) -> DataFrame:
     """The k likeliest next tokens per distinct context: ``t2, t1, rank, token_id, p``.
 

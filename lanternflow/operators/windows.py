@@ -89,7 +89,7 @@ def multiscale_features(events: DataFrame, widths: Sequence[int] = (8, 32, 128),
             peers, kind = F.col(f"_peers{n}"), F.col(f"_kind{n}")
             seconds = F.greatest((F.col("_at") - F.col(f"_from{n}")) / F.lit(1e6), F.lit(1.0))
             fresh = F.size(F.array_except(peers, F.col(f"_before{n}")))
-            same = F.size(F.filter(F.col(f"_kinds{n}"), lambda x, k=kind: x == k))
+            same = F.size(F.filter(F.col(f"_kinds{n}"), kind.eqNullSafe))
             out += [(F.col(f"_n{n}") / seconds).alias(f"w{n}_rate"),
                     (same / F.col(f"_n{n}")).alias(f"w{n}_repetition"),
                     (fresh / F.greatest(F.size(peers), F.lit(1))).alias(f"w{n}_peer_novelty"),

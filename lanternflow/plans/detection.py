@@ -58,7 +58,7 @@ def windows_of(events: DataFrame, tokenizer: K.Tokenizer, seq_len: int, step: in
     """
     hot = hot or hot_keys(events, list(keys))
     found = window_features(K.tokenize(events, tokenizer), seq_len, step, keys, hot)
-    extra = [c for c in keys if c not in WINDOW_COLUMNS]
+    extra = [c for c in dict.fromkeys([*keys, "split"]) if c in events.columns and c not in WINDOW_COLUMNS]
     return durable(found.select(*WINDOW_COLUMNS, *extra, *[f for f in SCORE_FEATURES if f != "nll"]))
 
 
@@ -77,13 +77,13 @@ def fit_detector(train: DataFrame, seq_len: int, top_n: int, buckets: int, step:
 
 
 def score_windows(windows: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None,
-                  clip: float = S.Z_CLIP) -> DataFrame:
+                  clip: float = S.Z_CLIP, add_nll=N.with_nll) -> DataFrame:
     """Add nll, nll_z, every z column, ``score``, ablated scores and the top feature.
 
     The profile join comes first: the windows are then still grouped by entity.
     """
     kept = {n: S.kept_features(d.features, dropped) for n, dropped in (ablations or {}).items()}
-    joined = N.with_nll(windows.join(d.profiles, "entity_id", "left"), d.model)
+    joined = add_nll(windows.join(d.profiles, "entity_id", "left"), d.model)
     nll_z = ((F.col("nll") - F.coalesce("mean_nll", F.lit(d.nll_mean)))
              / F.greatest(F.coalesce("std_nll", F.lit(d.nll_std)), F.lit(1e-6)))
     first = f"med_{d.features[0]}"
