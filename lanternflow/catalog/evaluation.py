@@ -240,17 +240,17 @@ def fp_cold(spark, sf):
 
 
 @query("G13d_fp_top_peers", f"""{FP}, p AS (SELECT day, dst_id AS peer, count(*) AS n, count(*) FILTER (alert) AS fp FROM m GROUP BY ALL),
- tot AS (SELECT day, sum(n) AS an, sum(fp) AS afp FROM p GROUP BY 1)
+ day_total AS (SELECT day, sum(n) AS an, sum(fp) AS afp FROM p GROUP BY 1)
 SELECT day, CAST(rank AS INT) AS rank, peer, fp AS false_positives, round(fp / afp, 6) AS fp_share, round((afp - fp) / (an - n), 6) AS fpr_without_peer
- FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY fp DESC, peer) AS rank FROM p WHERE fp > 0) JOIN tot USING (day) WHERE rank <= 10""")
+ FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY fp DESC, peer) AS rank FROM p WHERE fp > 0) JOIN day_total USING (day) WHERE rank <= 10""")
 def fp_peers(spark, sf):
     t = studies.fp_top_peers(_marked(spark, sf))
     return t.select("day", "rank", "peer", "false_positives", r6("fp_share").alias("fp_share"),
                     r6("fpr_without_peer").alias("fpr_without_peer"))
 
 
-@query("G13e_fp_by_feature", f"""{FP} SELECT day, top_contributing_feature, count(*) AS fp, round(count(*) / sum(count(*)) OVER (PARTITION BY day), 6) AS fp_share
- FROM m WHERE alert GROUP BY ALL""")
+@query("G13e_fp_by_feature", f"""{FP}, g AS (SELECT day, top_contributing_feature, count(*) AS fp FROM m WHERE alert GROUP BY ALL)
+SELECT *, round(fp / sum(fp) OVER (PARTITION BY day), 6) AS fp_share FROM g""")
 def fp_feature(spark, sf):
     t = studies.fp_by_feature(_marked(spark, sf))
     return t.select("day", "top_contributing_feature", "fp", r6("fp_share").alias("fp_share"))

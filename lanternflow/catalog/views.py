@@ -14,7 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return as_flows(table(spark, sf_dir, "events"))
+
+
+def as_flows(events: DataFrame) -> DataFrame:
+    """Events seen as labelled flows; works on tables and on streams."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k"))
     k = F.col("k")
     kind, value = F.col("event_type"), F.col("value")
     label = (F.when((kind == "error") & (value > 60), "DoS")

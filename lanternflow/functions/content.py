@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,6 @@ def symbol_entropy(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def byte_entropy(content: Column, limit: int = ENTROPY_BYTES) -> Column:
     """Shannon entropy in bits over the leading bytes of a binary column."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def entropy(blobs: pd.Series) -> pd.Series:
         def one(blob: bytes | None) -> float:

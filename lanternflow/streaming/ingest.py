@@ -9,7 +9,7 @@ from lanternflow.functions import values as V
 from lanternflow.schema import EVENT_COLUMNS
 
 _RAW = ("event_row_id bigint, timestamp string, entity_id string, event_type string, dst_id string, "
-        "bytes string, label string")
+        "bytes string, label string, _corrupt_record string")
 
 
 def read_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -24,7 +24,7 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     parsed = lines.withColumn("e", F.from_json(F.col(value).cast("string"), _RAW))
     ts = V.parse_utc(F.col("e.timestamp"))
-    reason = (F.when(F.col("e").isNull(), "not a JSON event")
+    reason = (F.when(F.col("e").isNull() | F.col("e._corrupt_record").isNotNull(), "not a JSON event")
               .when(F.trim(F.coalesce("e.entity_id", F.lit(""))) == "", "entity_id is required")
               .when(ts.isNull(), "timestamp is not readable"))
     return parsed.select(
