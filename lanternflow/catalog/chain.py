@@ -43,8 +43,8 @@ def _scored(name: str, source: str) -> str:
         f"-50), 50) AS z_{f}" for f in FEATURES)
     total = " + ".join(f"abs(z_{f})" for f in FEATURES)
     rest = " + ".join(f"abs(z_{f})" for f in FEATURES[:-1])
-    best = "greatest(" + ", ".join(f"abs(z_{f})" for f in FEATURES) + ")"
-    pick = " ".join(f"WHEN abs(z_{f}) = {best} THEN '{f}'" for f in FEATURES)
+    best = "greatest(" + ", ".join(f"round(abs(z_{f}), 9)" for f in FEATURES) + ")"
+    pick = " ".join(f"WHEN round(abs(z_{f}), 9) = {best} THEN '{f}'" for f in FEATURES)
     return f"""{name}z AS (
   SELECT n.*, (n.nll - coalesce(en.mean_nll, gn.mean_nll)) / greatest(coalesce(en.std_nll, gn.std_nll), 1e-6) AS nll_z,
     b.entity_id IS NOT NULL AS has_baseline,

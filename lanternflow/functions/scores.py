@@ -44,9 +44,13 @@ def mean_abs(zs: Sequence[Column]) -> Column:
 
 
 def top_feature(names: Sequence[str], prefix: str = "z_") -> Column:
-    """Name of the feature with the largest |z|; the first one wins a tie."""
+    """Name of the feature with the largest |z|; the first one wins a tie.
+
+    Sizes are compared to nine places, so features whose z-scores are equal on paper tie
+    whatever the rounding of their sums.
+    """
     ranked = F.array_max(F.array(*[
-        F.struct(F.abs(F.col(prefix + n)).alias("size"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
+        F.struct(F.round(F.abs(F.col(prefix + n)), 9).alias("size"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
         for i, n in enumerate(names)]))
     return ranked["name"]
 

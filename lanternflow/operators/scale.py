@@ -82,21 +82,6 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str, partitions: int
             .withColumn(name, F.col("_before") + inside - 1).drop(CHUNK, "_before"))
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: Column, sums: dict[str, str]) -> DataFrame:
-    """Running totals per group up to and including the current order value.
-
-    ``df`` should be aggregated to one row per group and order value first.
-    """
-    chunked = range_chunks(df.withColumn("_order", order), [*by, "_order"])
-    offsets = _chunk_offsets(chunked, by, {f"_off_{n}": F.col(c) for n, c in sums.items()})
-    inside = (Window.partitionBy(*by, CHUNK).orderBy("_order")
-              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = chunked.join(offsets, [*by, CHUNK])
-    out = joined.select("*", *[(F.col(f"_off_{n}") + F.sum(c).over(inside)).alias(n)
-                               for n, c in sums.items()])
-    return out.drop(CHUNK, "_order", *[f"_off_{n}" for n in sums])
-
-
 def _hot_positions(hot: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int) -> DataFrame:
     chunked = range_chunks(hot, [*keys, *order], partitions)
     offsets = _chunk_offsets(chunked, keys, {"_before": F.lit(1)})
