@@ -26,7 +26,7 @@ def clean_features(spark, sf):
 @query("I1_symbol_entropy", """SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p
  FROM (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY ALL)) GROUP BY 1""")
 def symbol_entropy(spark, sf):
-    return content.symbol_entropy(table(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id", r6("entropy").alias("entropy"))
+    return table(spark, sf, "documents").select("doc_id", r6(content.symbol_entropy(F.col("text"))).alias("entropy"))
 
 
 @query("I1_byte_entropy", """SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p

@@ -14,9 +14,8 @@ TCP_NAMES, UDP_NAMES = ["6", "TCP"], ["17", "UDP"]
 LAST_WELL_KNOWN_PORT, LAST_REGISTERED_PORT = 1023, 49151
 # Hours that are afternoon on a 12-hour clock without AM/PM.
 AFTERNOON_FROM, AFTERNOON_TO = 1, 7
-# Day-first layouts, then year-first ones.
-DAY_FIRST_LAYOUTS = ["d/M/y H:m:s", "d/M/y H:m", "d-M-y H:m:s", "d-M-y H:m"]
-YEAR_FIRST_LAYOUTS = ["y-M-d H:m:s", "y-M-d H:m", "y-M-d'T'H:m:s", "y/M/d H:m:s", "y/M/d H:m"]
+# Day, month and year in front of a time, with slashes or dashes.
+_DAY_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?=[ T])"
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -74,8 +73,9 @@ def parse_utc(c: Column) -> Column:
 
 def parse_day_first(c: Column, twelve_hour_clock: bool = True) -> Column:
     """Day-first text with or without seconds; hours 1-7 move to the afternoon."""
-    text = F.trim(c.cast("string"))
-    ts = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in DAY_FIRST_LAYOUTS + YEAR_FIRST_LAYOUTS])
+    # Turned to year-first, both layouts are what a plain cast accepts.
+    text = F.regexp_replace(F.trim(c.cast("string")), _DAY_FIRST, "$3-$2-$1")
+    ts = F.regexp_replace(text, "^(\\d{4})/(\\d{1,2})/(\\d{1,2})", "$1-$2-$3").try_cast("timestamp")
     if not twelve_hour_clock:
         return ts
     return F.when(F.hour(ts).between(AFTERNOON_FROM, AFTERNOON_TO),

@@ -82,14 +82,18 @@ def cooldown(candidates: DataFrame, seconds: int) -> DataFrame:
 def suppression_masks(scored: DataFrame, score: str, threshold: float, allowlist: Sequence[str] = (),
                       margin: float = 0.0, cooldown_seconds: int = 300,
                       destination: str = "dst_id") -> DataFrame:
-    """Add ``raw`` and ``kept`` before any cap is applied."""
+    """Add ``raw`` and ``kept`` before any cap is applied.
+
+    Only the candidates take part in the join; all other rows pass straight through.
+    """
     t = F.lit(float(threshold))
     raw = F.coalesce(F.col(score) >= t, F.lit(False))
-    flagged = scored.withColumn("raw", raw)
-    allowed = F.col("raw") & passes_allowlist(score, t, allowlist, margin, destination)
-    survivors = cooldown(flagged.filter(allowed), cooldown_seconds).withColumn("_kept", F.lit(True))
-    return (flagged.join(survivors, "event_row_id", "left")
-            .withColumn("kept", F.coalesce("_kept", F.lit(False))).drop("_kept"))
+    flagged = scored.withColumns({"raw": raw, "_open": raw & passes_allowlist(score, t, allowlist, margin, destination)})
+    candidates = flagged.filter("_open")
+    survivors = cooldown(candidates, cooldown_seconds).withColumn("_kept", F.lit(True))
+    decided = candidates.join(survivors, "event_row_id", "left").withColumn("kept", F.coalesce("_kept", F.lit(False)))
+    others = flagged.filter(~F.col("_open")).withColumn("kept", F.lit(False))
+    return decided.drop("_kept", "_open").unionByName(others.drop("_open"))
 
 
 def suppression_report(masks: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from lanternflow.session import durable, max_group_rows, shuffle_partitions
 
 POS = "_pos"
 CHUNK = "_chunk"
+INDEX = "_index"
 BLOCK = "_block"
 # At most this many keys can exceed total / HOT_KEYS rows, so a table of hot keys is
 # bounded whatever the input size and is safe to broadcast.
@@ -55,40 +56,36 @@ def hot_keys(df: DataFrame, columns: Sequence[str], limit: int | None = None) ->
     return HotKeys(tuple(columns), hot_rows, limit, table.select(*columns), rows)
 
 
-def range_chunks(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
-    """Range-partition by the full sort key and store the result with its chunk number.
+def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Range-partition by the full sort key, sort, and store rows with chunk and index.
 
-    Spark samples the key, so chunks are even even if one key holds most rows; the
-    written table pins the chunk numbers.
+    Spark samples the key, so chunks are even even if one key holds most rows. The
+    written table pins both numbers; the index needs no window because it is counted
+    while each sorted chunk streams by.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
-    return durable(df.repartitionByRange(n, *order).withColumn(CHUNK, F.spark_partition_id()))
+    in_order = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The lower 33 bits of the id count the rows of a partition.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return durable(in_order.select("*", F.spark_partition_id().alias(CHUNK), row.alias(INDEX)))
 
 
-def _chunk_offsets(chunked: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Totals of all earlier chunks, per group: one row per group and chunk."""
-    totals = chunked.groupBy(*by, CHUNK).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def _chunk_offsets(chunked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group and chunk: rows in earlier chunks minus the index of its first row."""
+    totals = chunked.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.min(INDEX).alias("_first"))
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*by, CHUNK, *[
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+    return totals.select(*by, CHUNK, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Dense 0-based row number in a total order, without a one-task window."""
-    chunked = range_chunks(df, order, partitions)
-    offsets = _chunk_offsets(chunked, [], {"_before": F.lit(1)})
-    inside = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
-    return (chunked.join(F.broadcast(offsets), CHUNK)
-            .withColumn(name, F.col("_before") + inside - 1).drop(CHUNK, "_before"))
+def _ranked(chunked: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    # One offset row per chunk and group that touches it; groups are none or the hot keys.
+    joined = chunked.join(F.broadcast(_chunk_offsets(chunked, by)), [*by, CHUNK])
+    return joined.withColumn(name, F.col("_shift") + F.col(INDEX)).drop(CHUNK, INDEX, "_shift")
 
 
-def _hot_positions(hot: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int) -> DataFrame:
-    chunked = range_chunks(hot, [*keys, *order], partitions)
-    offsets = _chunk_offsets(chunked, keys, {"_before": F.lit(1)})
-    inside = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
-    # Hot keys are bounded and each chunk adds at most one row per key it touches.
-    return (chunked.join(F.broadcast(offsets), [*keys, CHUNK])
-            .withColumn(POS, (F.col("_before") + inside - 1).cast("long")).drop(CHUNK, "_before"))
+def global_rank(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
+    """Dense 0-based row number in a total order: one range shuffle, no window over the rows."""
+    return _ranked(range_chunks(df, order, partitions), [], name)
 
 
 def over_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int,
@@ -108,7 +105,7 @@ def over_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str], hal
     if hot_rows is None:
         return cold
     size = max(hot.limit, halo)
-    placed = _hot_positions(hot_rows, keys, order, max(2, math.ceil(hot.rows / hot.limit)))
+    placed = _ranked(range_chunks(hot_rows, [*keys, *order], max(2, math.ceil(hot.rows / hot.limit))), keys, POS)
     own = F.floor(F.col(POS) / size)
     is_tail = F.col(POS) % size >= size - halo
     copies = placed.withColumn("_own", own).withColumn(
@@ -151,12 +148,14 @@ def _literal(value, kind) -> Column:
 
 
 def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[str],
-              limit: int) -> DataFrame | None:
+              limit: int, rows: int | None = None) -> DataFrame | None:
     """Narrow value ranges that contain the wanted ranks, or None if no group is large.
 
     Every round is one aggregation pass. A sketch of the values inside the current
     range picks the next, narrower range; the counts are exact.
     """
+    if rows is not None and rows <= limit:
+        return None
     counts = df.groupBy(*by).agg(*[F.count(v).alias(f"n_{v}") for v in values])
     largest = counts.agg(*[F.max(f"n_{v}").alias(v) for v in values]).first()
     if max((x or 0) for x in largest) <= limit:
@@ -197,15 +196,16 @@ def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[s
 
 
 def select_ranks(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[str] = (),
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, rows: int | None = None) -> DataFrame:
     """Exact values at two 0-based ranks of each value column, per (small) set of groups.
 
-    Result: ``by..., feature, n, v0, v1, below`` where ``below`` counts values under
-    ``v0``. ``ranks(n)`` gives the two ranks. Nulls are ignored.
+    Result: ``by..., feature, n, v0, v1, below, same`` where ``below`` counts values under
+    ``v0`` and ``same`` the ones equal to it. ``ranks(n)`` gives the two ranks, which should
+    lie close together. Nulls are ignored; ``rows`` saves a count if the caller knows it.
     """
     limit = limit or max_group_rows(df.sparkSession)
     base = df.select(*by, *values)
-    brackets = _brackets(base, values, ranks, by, limit)
+    brackets = _brackets(base, values, ranks, by, limit, rows)
     if brackets is not None:
         base = _attach(base, brackets, by)
 
@@ -232,7 +232,8 @@ def select_ranks(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequenc
         F.max("n").alias("n"),
         F.min(F.when(F.col("upto") > k0, F.col("value"))).alias("v0"),
         F.min(F.when(F.col("upto") > k1, F.col("value"))).alias("v1"),
-        F.min(F.when(F.col("upto") > k0, F.col("upto") - F.col("cnt"))).alias("below"))
+        F.min(F.when(F.col("upto") > k0, F.col("upto") - F.col("cnt"))).alias("below"),
+        F.min_by("cnt", F.when(F.col("upto") > k0, F.col("upto"))).alias("same"))
 
 
 def exact_quantile(df: DataFrame, values: Sequence[str], prob: float, method: str = "linear",
@@ -274,17 +275,23 @@ def global_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float
     return found
 
 
-def key_at_rank(df: DataFrame, order: Sequence[str], rank: int) -> tuple | None:
-    """Sort key of the row at a 0-based rank (None past the end); needs no global sort."""
+def key_at_rank(df: DataFrame, order: Sequence[str], rank: int, rows: int | None = None) -> tuple | None:
+    """Sort key of the row at a 0-based rank (None past the end); needs no global sort.
+
+    Later columns are searched only among rows that tie on the earlier ones, and the key
+    is cut short where nothing ties.
+    """
     found: list = []
     rest, left = df.select(*order), rank
     for c in order:
         k = F.lit(int(left)).cast("long")
-        row = select_ranks(rest, [c], lambda n: (k, k)).first()
+        row = select_ranks(rest, [c], lambda n: (k, k), rows=rows).first()
         if row is None or row["v0"] is None:
             return None
         found.append(row["v0"])
-        left -= row["below"]
+        if row["same"] == 1:
+            break
+        left, rows = left - row["below"], row["same"]
         rest = rest.filter(F.col(c) == F.lit(row["v0"]))
     return tuple(found)
 

@@ -28,12 +28,12 @@ def _check_fractions(train: float, val: float) -> None:
         raise ValueError("fractions must satisfy 0 < train and train + val < 1")
 
 
-def _by_cuts(df: DataFrame, order: Sequence[str], cuts: dict[str, int], last: str) -> DataFrame:
+def _by_cuts(df: DataFrame, order: Sequence[str], cuts: dict[str, int], last: str, rows: int) -> DataFrame:
     """Name rows by global rank. Only the keys at the cuts are searched, so the rows
     themselves are neither sorted nor shuffled."""
     split: Column = F.lit(last)
     for name, rank in reversed(list(cuts.items())):
-        split = F.when(before_key(order, key_at_rank(df, order, rank)), name).otherwise(split)
+        split = F.when(before_key(order, key_at_rank(df, order, rank, rows)), name).otherwise(split)
     return df.withColumn("split", split)
 
 
@@ -43,13 +43,14 @@ def chronological_split(df: DataFrame, train: float, val: float, tie: str = "eve
     n = df.count()
     timed = df.withColumn("_at", F.unix_micros("timestamp"))
     return _by_cuts(timed, ["_at", tie], {"train": int(n * train), "val": int(n * (train + val))},
-                    "test").drop("_at")
+                    "test", n).drop("_at")
 
 
 def early_stop_cut(df: DataFrame, fraction: float = 0.9, tie: str = "event_row_id") -> DataFrame:
     """Earliest share for training, the rest for early stopping."""
+    n = df.count()
     timed = df.withColumn("_at", F.unix_micros("timestamp"))
-    return _by_cuts(timed, ["_at", tie], {"train": int(df.count() * fraction)}, "early").drop("_at")
+    return _by_cuts(timed, ["_at", tie], {"train": int(n * fraction)}, "early", n).drop("_at")
 
 
 def entity_holdout(df: DataFrame, train: float, val: float, seed: int) -> DataFrame:
@@ -63,7 +64,7 @@ def entity_holdout(df: DataFrame, train: float, val: float, seed: int) -> DataFr
     n = entities.count()
     a = max(1, int(n * train))
     order = ["_h", "entity_id"]
-    cut_a, cut_b = (key_at_rank(entities, order, r) for r in (a, a + max(1, int(n * val))))
+    cut_a, cut_b = (key_at_rank(entities, order, r, n) for r in (a, a + max(1, int(n * val))))
     split = F.when(before_key(order, cut_a), "train").when(before_key(order, cut_b), "val").otherwise("test")
     return hashed.withColumn("split", split).drop("_h")
 
@@ -77,7 +78,7 @@ def entity_then_time(df: DataFrame, train: float, val: float, seed: int,
     keep = F.lit(False)
     for name, share in shares.items():
         part = parts.filter(F.col("split") == name)
-        key = key_at_rank(part, ["_at", tie], int(counts.get(name, 0) * share))
+        key = key_at_rank(part, ["_at", tie], int(counts.get(name, 0) * share), counts.get(name, 0))
         keep = keep | ((F.col("split") == name) & before_key(["_at", tie], key))
     return parts.filter(keep).drop("_at")
 
@@ -91,4 +92,5 @@ def content_hash_split(df: DataFrame, digest: Column, val_fraction: float) -> Da
 def seeded_random_split(df: DataFrame, key: str, val_fraction: float, seed: int) -> DataFrame:
     """Random split of exact size that does not depend on the partitioning."""
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    return _by_cuts(hashed, ["_h", key], {"train": int(df.count() * (1.0 - val_fraction))}, "val").drop("_h")
+    n = df.count()
+    return _by_cuts(hashed, ["_h", key], {"train": int(n * (1.0 - val_fraction))}, "val", n).drop("_h")

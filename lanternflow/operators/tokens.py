@@ -74,8 +74,17 @@ class Tokenizer:
         return self.kinds * self.buckets * self.bins + FIRST_KNOWN_ID
 
 
+# Up to this many event types are kept as literals instead of a stored table.
+LITERAL_TYPES = 500
+
+
 def build_tokenizer(destinations: list[str], event_types: DataFrame, edges: list[float]) -> Tokenizer:
-    # The window runs over the distinct event types only, not over events.
+    some = sorted(r[0] for r in event_types.limit(LITERAL_TYPES + 1).collect())
+    if 0 < len(some) <= LITERAL_TYPES:
+        ranked = literal_table(event_types.sparkSession, [
+            F.struct(F.lit(t).alias("event_type"), F.lit(i).alias("ei")) for i, t in enumerate(some)])
+        return Tokenizer(sorted(destinations), ranked, len(some), list(edges))
+    # The rank runs over the distinct event types, not over events.
     ranked = durable(event_types.select("event_type", (F.row_number().over(
         Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).alias("ei")))
     return Tokenizer(sorted(destinations), ranked, ranked.count(), list(edges))

@@ -16,7 +16,7 @@ from lanternflow.operators import nextevent as N
 from lanternflow.operators import tokens as K
 from lanternflow.operators.scale import HotKeys, hot_keys
 from lanternflow.operators.windows import window_features
-from lanternflow.schema import SCORE_FEATURES
+from lanternflow.schema import SCORE_FEATURES, WINDOW_FEATURES
 from lanternflow.session import durable
 
 WINDOW_COLUMNS = ["entity_id", "timestamp", "event_row_id", "event_type", "dst_id", "label", "token_str",
@@ -50,16 +50,18 @@ class Detector:
 
 
 def windows_of(events: DataFrame, tokenizer: K.Tokenizer, seq_len: int, step: int = 1,
-               keys: Sequence[str] = ("entity_id",), hot: HotKeys | None = None) -> DataFrame:
+               keys: Sequence[str] = ("entity_id",), hot: HotKeys | None = None, enrich=None) -> DataFrame:
     """Tokenise and build full windows, stored once because several steps read them.
 
     ``keys`` with the split column restarts windows at split boundaries; ``entity_id``
-    alone lets the context cross them.
+    alone lets the context cross them. ``enrich`` runs while the rows are still grouped
+    by entity, before they are stored.
     """
     hot = hot or hot_keys(events, list(keys))
     found = window_features(K.tokenize(events, tokenizer), seq_len, step, keys, hot)
     extra = [c for c in dict.fromkeys([*keys, "split"]) if c in events.columns and c not in WINDOW_COLUMNS]
-    return durable(found.select(*WINDOW_COLUMNS, *extra, *[f for f in SCORE_FEATURES if f != "nll"]))
+    rows = found.select(*WINDOW_COLUMNS, *extra, *WINDOW_FEATURES)
+    return durable(enrich(rows) if enrich else rows)
 
 
 def fit_detector(train: DataFrame, seq_len: int, top_n: int, buckets: int, step: int = 1, min_windows: int = 30,
@@ -76,22 +78,33 @@ def fit_detector(train: DataFrame, seq_len: int, top_n: int, buckets: int, step:
     return Detector(tokenizer, model, profiles, stats.mean, stats.std, base.medians, base.scales, seq_len, **policy)
 
 
-def score_windows(windows: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None,
-                  clip: float = S.Z_CLIP, add_nll=N.with_nll) -> DataFrame:
-    """Add nll, nll_z, every z column, ``score``, ablated scores and the top feature.
+def with_profiles(windows: DataFrame, d: Detector, clip: float = S.Z_CLIP) -> DataFrame:
+    """Join the entity profiles and turn the window features into z columns.
 
-    The profile join comes first: the windows are then still grouped by entity.
+    What the NLL still needs is carried in ``_mean, _std, _med, _scale``. The profile
+    table grows with the entities, so adaptive execution picks and splits the join.
     """
+    joined = windows.join(d.profiles, "entity_id", "left")
+
+    def own(prefix: str, f: str, shared: dict[str, float]) -> Column:
+        return F.coalesce(f"{prefix}_{f}", F.lit(shared[f]))
+
+    return joined.select(
+        *[F.col(c) for c in windows.columns], F.col(f"med_{d.features[0]}").isNotNull().alias("has_baseline"),
+        *[S.robust_z(F.col(f), own("med", f, d.medians), own("scale", f, d.scales), clip).alias(f"z_{f}")
+          for f in d.features if f != "nll"],
+        F.coalesce("mean_nll", F.lit(d.nll_mean)).alias("_mean"),
+        F.greatest(F.coalesce("std_nll", F.lit(d.nll_std)), F.lit(1e-6)).alias("_std"),
+        own("med", "nll", d.medians).alias("_med"), own("scale", "nll", d.scales).alias("_scale"))
+
+
+def score_profiled(rows: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None,
+                   clip: float = S.Z_CLIP, add_nll=N.with_nll) -> DataFrame:
+    """Add nll, nll_z, ``z_nll``, ``score``, ablated scores and the top feature."""
     kept = {n: S.kept_features(d.features, dropped) for n, dropped in (ablations or {}).items()}
-    joined = add_nll(windows.join(d.profiles, "entity_id", "left"), d.model)
-    nll_z = ((F.col("nll") - F.coalesce("mean_nll", F.lit(d.nll_mean)))
-             / F.greatest(F.coalesce("std_nll", F.lit(d.nll_std)), F.lit(1e-6)))
-    first = f"med_{d.features[0]}"
-    z = joined.select(
-        *[F.col(c) for c in windows.columns], "nll", nll_z.alias("nll_z"),
-        F.col(first).isNotNull().alias("has_baseline"),
-        *[S.robust_z(F.col(f), F.coalesce(f"med_{f}", F.lit(d.medians[f])),
-                     F.coalesce(f"scale_{f}", F.lit(d.scales[f])), clip).alias(f"z_{f}") for f in d.features])
+    z = add_nll(rows, d.model).withColumns({
+        "nll_z": (F.col("nll") - F.col("_mean")) / F.col("_std"),
+        "z_nll": S.robust_z(F.col("nll"), F.col("_med"), F.col("_scale"), clip)}).drop("_mean", "_std", "_med", "_scale")
     combo = S.mean_abs([F.col(f"z_{f}") for f in d.features])
     by_nll = d.variant in ("nll_z", "entity_nll_z")
     return z.select("*", (F.col("nll_z") if by_nll else combo).alias("score"),
@@ -106,16 +119,14 @@ def _in_cooldown(scored: DataFrame, emitted: DataFrame, seconds: int) -> DataFra
     time slots of that length turn the range condition into an equality join.
     """
     step = seconds * 1_000_000
-    slot = F.floor(F.unix_micros("timestamp") / F.lit(step))
-    marks = emitted.select("entity_id", F.unix_micros("timestamp").alias("_t0"), F.col("event_row_id").alias("_r0"),
-                           F.explode(F.array(slot, slot + 1)).alias("_slot"))
     at = F.unix_micros("timestamp")
+    slot = F.floor(at / F.lit(step))
+    marks = emitted.select(F.col("entity_id").alias("_e"), at.alias("_t0"), F.col("event_row_id").alias("_r0"),
+                           F.explode(F.array(slot, slot + 1)).alias("_slot"))
     after = (at > F.col("_t0")) | ((at == F.col("_t0")) & (F.col("event_row_id") > F.col("_r0")))
-    rows = scored.withColumn("_slot", slot)
-    hit = (rows.select("entity_id", "_slot", "timestamp", "event_row_id").join(marks, ["entity_id", "_slot"])
-           .filter(after & (at - F.col("_t0") < step)).select("event_row_id").distinct()
-           .withColumn("_dup", F.lit(True)))
-    return rows.join(hit, "event_row_id", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))).drop("_slot")
+    near = (F.col("entity_id") == F.col("_e")) & (slot == F.col("_slot")) & after & (at - F.col("_t0") < step)
+    return (scored.join(marks, near, "left").withColumn("_dup", F.col("_t0").isNotNull())
+            .drop("_e", "_t0", "_r0", "_slot"))
 
 
 def apply_policy(scored: DataFrame, d: Detector) -> DataFrame:
@@ -139,7 +150,8 @@ def apply_policy(scored: DataFrame, d: Detector) -> DataFrame:
 def score_events(events: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None,
                  keys: Sequence[str] = ("entity_id",)) -> DataFrame:
     """Batch twin of the streaming scorer: one time-ordered stream, context crosses splits."""
-    return score_windows(windows_of(events, d.tokenizer, d.seq_len, keys=keys), d, ablations)
+    rows = windows_of(events, d.tokenizer, d.seq_len, keys=keys, enrich=lambda w: with_profiles(w, d))
+    return score_profiled(rows, d, ablations)
 
 
 def benign_of(scored: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from lanternflow.functions import values as V
 from lanternflow.operators import alerts as A
 from lanternflow.operators import nextevent as N
 from lanternflow.operators import tokens as K
-from lanternflow.plans.detection import WINDOW_COLUMNS, Detector, score_windows
+from lanternflow.plans.detection import WINDOW_COLUMNS, Detector, score_profiled, with_profiles
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ARRAYS = "toks array<int>, dsts array<string>, logs array<double>"
@@ -137,7 +137,7 @@ def stream_windows(events: DataFrame, d: Detector) -> DataFrame:
 
 def score_stream(events: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Streaming twin of ``score_events``: state for the context, static joins for the model."""
-    return score_windows(stream_windows(events, d), d, ablations, add_nll=N.with_nll_by_lookup)
+    return score_profiled(with_profiles(stream_windows(events, d), d), d, ablations, add_nll=N.with_nll_by_lookup)
 
 
 def with_stream_cooldown(scored: DataFrame, d: Detector) -> DataFrame:
