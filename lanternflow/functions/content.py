@@ -4,32 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the scan of a binary stops after this many bytes.
 ENTROPY_BYTES = 2_000_000
 
 
-def symbol_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the characters of a text.
+def symbol_entropy(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """Shannon entropy in bits over the characters of a text, one row per key.
 
-    A row expression without a shuffle: the characters are sorted and equal ones counted
-    as runs, with sum(-p log2 p) = log2(N) - sum(n log2 n) / N.
+    Characters are counted map-side, so the shuffle carries one row per text and distinct
+    character; sum(-p log2 p) = log2(N) - sum(n log2 n) / N then needs one pass.
     """
-    chars = F.filter(F.sort_array(F.split(text, "")), lambda c: c != "")
-
-    def weight(n: Column) -> Column:
-        return n * F.log2(F.greatest(n, F.lit(1)))
-
-    def step(a: Column, c: Column) -> Column:
-        return F.when(a["c"] == c, F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(
-            F.struct(c.alias("c"), F.lit(1).cast("bigint").alias("n"), (a["s"] + weight(a["n"])).alias("s")))
-
-    start = F.struct(F.lit("").alias("c"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
-    total = F.aggregate(chars, start, step, lambda a: a["s"] + weight(a["n"]))
-    n = F.size(chars)
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.log2(n) - total / n).otherwise(0.0)
+    chars = df.select(key, F.explode(F.split(text, "")).alias("c")).filter(F.col("c") != "")
+    counts = chars.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2(F.col("n"))) / F.sum("n")
+    found = counts.groupBy(key).agg(bits.alias("entropy"))
+    empty = df.filter(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, F.lit(0.0).alias("entropy"))
+    return found.unionByName(empty)
 
 
 def byte_entropy(content: Column, limit: int = ENTROPY_BYTES) -> Column:

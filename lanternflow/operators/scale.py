@@ -89,19 +89,20 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str, partitions: int
 
 
 def over_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int,
-                   compute: Callable[[DataFrame, WindowSpec], DataFrame],
+                   compute: Callable[[DataFrame, WindowSpec, list[str]], DataFrame],
                    hot: HotKeys | None = None) -> DataFrame:
     """Apply row frames over each key's ordered sequence.
 
-    ``compute(part, w)`` adds columns from frames of ``w`` that look back at most
-    ``halo`` rows; ``_pos`` holds the 0-based position in the sequence. Small keys use
+    ``compute(part, w, keys)`` adds columns that depend on at most ``halo`` rows before;
+    ``w`` orders each sequence, ``keys`` are its partition columns and ``_pos`` holds the
+    0-based position. Small keys use
     one sort per key. Hot keys are cut into blocks of consecutive positions, and each
     block gets the last ``halo`` rows of the block before it.
     """
     hot = hot or hot_keys(df, keys)
     cold_rows, hot_rows = hot.split(df)
     w = Window.partitionBy(*keys).orderBy(*order)
-    cold = compute(cold_rows.withColumn(POS, (F.row_number().over(w) - 1).cast("long")), w)
+    cold = compute(cold_rows.withColumn(POS, (F.row_number().over(w) - 1).cast("long")), w, list(keys))
     if hot_rows is None:
         return cold
     size = max(hot.limit, halo)
@@ -110,14 +111,14 @@ def over_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str], hal
     is_tail = F.col(POS) % size >= size - halo
     copies = placed.withColumn("_own", own).withColumn(
         BLOCK, F.explode(F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))))
-    blocks = compute(copies, Window.partitionBy(*keys, BLOCK).orderBy(*order))
+    blocks = compute(copies, Window.partitionBy(*keys, BLOCK).orderBy(*order), [*keys, BLOCK])
     return cold.unionByName(blocks.filter(F.col(BLOCK) == F.col("_own")).drop("_own", BLOCK))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos",
               hot: HotKeys | None = None) -> DataFrame:
     """0-based position of every row inside its key."""
-    return over_sequences(df, keys, order, 0, lambda part, w: part, hot).withColumnRenamed(POS, name)
+    return over_sequences(df, keys, order, 0, lambda part, w, cols: part, hot).withColumnRenamed(POS, name)
 
 
 # Exact order statistics -------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
@@ -22,7 +22,7 @@ def sequences(tokens: DataFrame, seq_len: int, step: int = 1, keys: Sequence[str
 
     Entities with fewer than seq_len + 1 events give no rows.
     """
-    def compute(part: DataFrame, w: WindowSpec) -> DataFrame:
+    def compute(part: DataFrame, w: WindowSpec, cols: list[str]) -> DataFrame:
         return part.withColumn("context", F.collect_list("token_id").over(w.rowsBetween(-seq_len, -1)))
 
     out = over_sequences(tokens, list(keys), TIME_ORDER, seq_len, compute, hot)
@@ -37,7 +37,7 @@ def window_features(tokens: DataFrame, seq_len: int, step: int = 1, keys: Sequen
     """
     width = seq_len + 1
 
-    def compute(part: DataFrame, w: WindowSpec) -> DataFrame:
+    def compute(part: DataFrame, w: WindowSpec, cols: list[str]) -> DataFrame:
         frame = w.rowsBetween(-seq_len, 0)
         framed = part.withColumn("_x", V.log_bytes(F.col("bytes"))).select(
             "*",
@@ -65,37 +65,66 @@ def multiscale_names(widths: Sequence[int]) -> list[str]:
     return [f"w{w}_{m}" for w in widths for m in MULTISCALE_METRICS]
 
 
+def _with_gaps(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Distance to the previous and next row with the same value, per sequence.
+
+    The rows are already grouped by the keys, so this sorts but does not shuffle.
+    """
+    same = Window.partitionBy(*keys, value).orderBy(POS)
+    return rows.select("*", (F.col(POS) - F.lag(POS).over(same)).alias(f"_{name}_back"),
+                       (F.lead(POS).over(same) - F.col(POS)).alias(f"_{name}_ahead"))
+
+
+def _with_distinct_counts(rows: DataFrame, w: WindowSpec, spans: dict[str, list[int]]) -> DataFrame:
+    """Distinct values among the last n rows as ``_<name>_<n>``, at a cost that does not grow with n.
+
+    A value is present from a row until n rows later, or longer if it recurs. So a
+    stretch opens where the previous occurrence is n or more rows back and closes n rows
+    after a row without a recurrence within n; the count is opened minus closed.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = [(name, n) for name, ns in spans.items() for n in ns]
+    sums = rows.select("*", *[F.sum((F.coalesce(F.col(f"_{name}_{side}") >= n, F.lit(True))).cast("int")).over(upto)
+                              .alias(f"_{name}_{side}_{n}") for name, n in pairs for side in ("back", "ahead")])
+    return sums.select(*rows.columns, *[
+        (F.col(f"_{name}_back_{n}") - F.coalesce(F.lag(f"_{name}_ahead_{n}", n).over(w), F.lit(0))).alias(f"_{name}_{n}")
+        for name, n in pairs])
+
+
 def multiscale_features(events: DataFrame, widths: Sequence[int] = (8, 32, 128),
                         keys: Sequence[str] = ("entity_id",), hot: HotKeys | None = None) -> DataFrame:
-    """Causal behaviour features at several row-count horizons; short starts are allowed."""
+    """Causal behaviour features at several row-count horizons; short starts are allowed.
+
+    Peers new to a horizon are those of the last 2n rows minus those of the n rows before it.
+    """
 
-    def compute(part: DataFrame, w: WindowSpec) -> DataFrame:
+    def compute(part: DataFrame, w: WindowSpec, cols: list[str]) -> DataFrame:
         base = (part.withColumn("_x", V.log_bytes(F.col("bytes"))).withColumn("_at", F.unix_micros("timestamp"))
-                .withColumn("_port", F.substring_index("event_type", ":", -1)))
-        cols = []
+                .withColumn("_p", F.substring_index("event_type", ":", -1)))
+        gaps = _with_gaps(_with_gaps(base, cols, "dst_id", "peer"), cols, "_p", "port")
+        counted = _with_distinct_counts(gaps, w, {
+            "peer": sorted({m for n in widths for m in (n, 2 * n)}), "port": sorted(set(widths))})
+        frames = []
         for n in widths:
-            now, past = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-(2 * n - 1), -n)
-            cols += [F.count(F.lit(1)).over(now).alias(f"_n{n}"), F.first("_at").over(now).alias(f"_from{n}"),
-                     F.collect_list("event_type").over(now).alias(f"_kinds{n}"),
-                     F.mode("event_type").over(now).alias(f"_kind{n}"),
-                     F.collect_set("_port").over(now).alias(f"_ports{n}"),
-                     F.collect_set("dst_id").over(now).alias(f"_peers{n}"),
-                     F.collect_set("dst_id").over(past).alias(f"_before{n}"),
-                     F.avg("_x").over(now).alias(f"w{n}_bytes_mean"),
-                     F.stddev_pop("_x").over(now).alias(f"w{n}_bytes_std")]
-        framed = base.select("*", *cols)
+            now = w.rowsBetween(-(n - 1), 0)
+            frames += [F.count(F.lit(1)).over(now).alias(f"_n{n}"), F.first("_at").over(now).alias(f"_from{n}"),
+                       F.collect_list("event_type").over(now).alias(f"_kinds{n}"),
+                       F.mode("event_type").over(now).alias(f"_kind{n}"),
+                       F.coalesce(F.lag(f"_peer_{n}", n).over(w), F.lit(0)).alias(f"_before{n}"),
+                       F.avg("_x").over(now).alias(f"w{n}_bytes_mean"),
+                       F.stddev_pop("_x").over(now).alias(f"w{n}_bytes_std")]
+        framed = counted.select("*", *frames)
         out = [*part.columns]
         for n in widths:
-            peers, kind = F.col(f"_peers{n}"), F.col(f"_kind{n}")
+            peers, kind = F.col(f"_peer_{n}"), F.col(f"_kind{n}")
             seconds = F.greatest((F.col("_at") - F.col(f"_from{n}")) / F.lit(1e6), F.lit(1.0))
-            fresh = F.size(F.array_except(peers, F.col(f"_before{n}")))
             same = F.size(F.filter(F.col(f"_kinds{n}"), kind.eqNullSafe))
             out += [(F.col(f"_n{n}") / seconds).alias(f"w{n}_rate"),
                     (same / F.col(f"_n{n}")).alias(f"w{n}_repetition"),
-                    (fresh / F.greatest(F.size(peers), F.lit(1))).alias(f"w{n}_peer_novelty"),
-                    F.size(F.col(f"_ports{n}")).cast("double").alias(f"w{n}_port_diversity"),
-                    F.col(f"w{n}_bytes_mean"), F.col(f"w{n}_bytes_std"),
-                    F.size(peers).cast("double").alias(f"w{n}_fanout")]
+                    ((F.col(f"_peer_{2 * n}") - F.col(f"_before{n}")) / F.greatest(peers, F.lit(1)))
+                    .alias(f"w{n}_peer_novelty"),
+                    F.col(f"_port_{n}").cast("double").alias(f"w{n}_port_diversity"),
+                    F.col(f"w{n}_bytes_mean"), F.col(f"w{n}_bytes_std"), peers.cast("double").alias(f"w{n}_fanout")]
         return framed.select(*out)
 
     return over_sequences(events, list(keys), TIME_ORDER, 2 * max(widths) - 1, compute, hot).drop(POS)
