@@ -70,8 +70,7 @@ def nll_z(spark, sf):
 
 
 @query("E7_self_fitted_nll_z", f"""{C}, own AS (SELECT entity_id, avg(nll) AS m, stddev_samp(nll) AS s FROM nst GROUP BY 1)
-SELECT event_row_id, round((nll - m) / CASE WHEN coalesce(s, 0) = 0 THEN 1e-6 ELSE s END, 4) AS nll_z FROM nst JOIN own USING (entity_id)
-WHERE coalesce(s, 0) = 0 OR s > 1e-9""")
+SELECT event_row_id, round((nll - m) / CASE WHEN coalesce(s, 0) = 0 THEN 1e-6 ELSE s END, 4) AS nll_z FROM nst JOIN own USING (entity_id)""")
 def self_nll_z(spark, sf):
     rows = N.with_self_fitted_nll_z(shared.stream(spark, sf).drop("nll_z"))
     return rows.select("event_row_id", F.round("nll_z", 4).alias("nll_z"))

@@ -23,13 +23,13 @@ def _mean_path(n: float) -> float:
 
 
 def sample_for_trees(rows: DataFrame, key: str, features: Sequence[str], seed: int,
-                     trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+                     trees: int = TREES, sample: int = SAMPLE, count: int | None = None) -> DataFrame:
     """At most trees x sample rows, each tree with its own distinct rows.
 
     Rows are taken in the order of a seeded hash; tree t gets the ranks t*sample,
     t*sample + 1, ... modulo the pool.
     """
-    pool_size = min(trees * sample, rows.count())
+    pool_size = min(trees * sample, rows.count() if count is None else count)
     size = min(sample, pool_size)
     hashed = rows.select(key, *features, F.xxhash64(key, F.lit(seed)).alias("_h"))
     pool = hashed.orderBy("_h", key).limit(pool_size)
@@ -71,9 +71,10 @@ def fit_forest(rows: DataFrame, key: str, features: Sequence[str], seed: int,
             todo.append((part[goes_left], depth + 1, at, False))
         return pd.DataFrame(nodes, columns=["tree_id", "node", "feature", "cut", "left", "right", "depth"])
 
-    drawn = sample_for_trees(rows, key, names, seed, trees, sample)
+    count = rows.count()
+    drawn = sample_for_trees(rows, key, names, seed, trees, sample, count)
     grown = drawn.groupBy("tree_id").applyInPandas(grow, _NODE)
-    return grown, min(sample, rows.count())
+    return grown, min(sample, count)
 
 
 def with_isolation_score(rows: DataFrame, forest: DataFrame, size: int, features: Sequence[str],

@@ -198,23 +198,35 @@ def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[s
 
 def select_ranks(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[str] = (),
                  limit: int | None = None, rows: int | None = None) -> DataFrame:
-    """Exact values at two 0-based ranks of each value column, per (small) set of groups.
+    """Exact values at two 0-based ranks of each value column, per group.
 
     Result: ``by..., feature, n, v0, v1, below, same`` where ``below`` counts values under
     ``v0`` and ``same`` the ones equal to it. ``ranks(n)`` gives the two ranks, which should
     lie close together. Nulls are ignored; ``rows`` saves a count if the caller knows it.
+    Groups that fit one task are ranked directly. For the others (few, by their size) the
+    values are first narrowed to brackets around the ranks.
     """
     limit = limit or max_group_rows(df.sparkSession)
     base = df.select(*by, *values)
-    brackets = _brackets(base, values, ranks, by, limit, rows)
-    if brackets is not None:
-        base = _attach(base, brackets, by)
-
+    if not by:
+        brackets = _brackets(base, values, ranks, by, limit, rows)
+        return _rank_cells(base if brackets is None else _attach(base, brackets, by), values, ranks, by,
+                           brackets is not None)
+    cold, hot = hot_keys(base, by, limit).split(base)
+    direct = _rank_cells(cold, values, ranks, by, False)
+    if hot is None:
+        return direct
+    brackets = _brackets(hot, values, ranks, by, limit)
+    inside = hot if brackets is None else _attach(hot, brackets, by)
+    return direct.unionByName(_rank_cells(inside, values, ranks, by, brackets is not None))
+
+
+def _rank_cells(base: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[str], bracketed: bool) -> DataFrame:
     def cell(v: str) -> Column:
         x = F.col(v)
-        known = F.lit(None).cast("long") if brackets is None else F.col(f"n_{v}")
-        below = F.lit(0).cast("long") if brackets is None else F.col(f"below_{v}")
-        if brackets is not None:
+        known = F.col(f"n_{v}") if bracketed else F.lit(None).cast("long")
+        below = F.col(f"below_{v}") if bracketed else F.lit(0).cast("long")
+        if bracketed:
             lo, hi = F.col(f"lo_{v}"), F.col(f"hi_{v}")
             x = F.when(F.coalesce(x >= lo, F.lit(True)) & F.coalesce(x <= hi, F.lit(True)), x)
         return F.struct(F.lit(v).alias("feature"), x.alias("value"), known.alias("n"), below.alias("base"))
