@@ -10,8 +10,11 @@ from lanternflow.catalog.events import scratch
 from lanternflow.catalog.registry import query, r6
 from lanternflow.catalog.scores import DEV_DAY, day_thresholds_sql
 from lanternflow.catalog.views import DOCS, attack_days, flows
+from lanternflow.catalog.windows import multiscale_sql
+from lanternflow.operators import baselines as B
 from lanternflow.operators import metrics as M
 from lanternflow.operators.tokens import tokenize
+from lanternflow.operators.windows import multiscale_features, multiscale_names
 from lanternflow.plans import studies
 from lanternflow.plans.detection import durable
 from lanternflow.sources import files
@@ -159,6 +162,39 @@ def candidate_scores(spark, sf):
         "event_row_id", "label", "next_event_nll", "equal_weight_combined", "multi_timescale", "isolation_forest")
 
 
+def _multi_timescale_sql() -> str:
+    names = multiscale_names((8,))
+    order = '"timestamp", event_row_id'
+    fit = multiscale_sql("tr", (8,), order, "entity_id", rounded=False)
+    dev = multiscale_sql("(SELECT * FROM flows WHERE split = 'dev')", (8,), order, "event_row_id, entity_id", rounded=False)
+    gmed = ", ".join(f"median({f}) AS med_{f}, greatest(0.25 * stddev_pop({f}), 1e-3) AS floor_{f}" for f in names)
+    gall = ", ".join(f"any_value(g.med_{f}) AS med_{f}, greatest(1.4826 * median(abs(n.{f} - g.med_{f})), any_value(g.floor_{f})) AS scale_{f}"
+                     for f in names)
+    emed = ", ".join(f"median({f}) AS med_{f}" for f in names)
+    eall = ", ".join(f"any_value(m.med_{f}) AS med_{f}, greatest(1.4826 * median(abs(n.{f} - m.med_{f})), any_value(g.floor_{f})) AS scale_{f}"
+                     for f in names)
+    z = " + ".join(f"abs(least(greatest((d.{f} - coalesce(e.med_{f}, g.med_{f})) / greatest(coalesce(e.scale_{f}, g.scale_{f}), 1e-6), -50), 50))"
+                   for f in names)
+    return f"""{C}, mtr AS MATERIALIZED ({fit}), mdev AS MATERIALIZED ({dev}), mg AS (SELECT {gmed} FROM mtr),
+mga AS MATERIALIZED (SELECT {gall} FROM mtr n CROSS JOIN mg g), me AS (SELECT entity_id, {emed} FROM mtr GROUP BY 1 HAVING count(*) >= 30),
+mea AS MATERIALIZED (SELECT n.entity_id, {eall} FROM mtr n JOIN me m USING (entity_id) CROSS JOIN mg g GROUP BY 1)
+SELECT d.event_row_id, s.label, round(s.nll_z, 6) AS next_event_nll, round(s.score, 6) AS equal_weight_combined, round(({z}) / {len(names)}.0, 6) AS multi_timescale
+FROM mdev d JOIN sst s ON s.event_row_id = d.event_row_id CROSS JOIN mga g LEFT JOIN mea e ON e.entity_id = d.entity_id"""
+
+
+@query("G10_candidate_join", _multi_timescale_sql())
+def candidate_join(spark, sf):
+    """The candidates that SQL can express, joined on the row id."""
+    names = multiscale_names((8,))
+    train = durable(multiscale_features(shared.benign_train(spark, sf), (8,)).select("entity_id", "event_row_id", *names))
+    dev = multiscale_features(flows(spark, sf).filter(F.col("split") == "dev"), (8,)).select("entity_id", "event_row_id", *names)
+    z = B.with_combo_score(B.with_robust_z(dev, B.fit_baselines(train, names)), names, name="multi_timescale")
+    scored = shared.stream(spark, sf).select("event_row_id", "label", "nll_z", "score")
+    return scored.join(z.select("event_row_id", "multi_timescale"), "event_row_id").select(
+        "event_row_id", "label", r6("nll_z").alias("next_event_nll"), r6("score").alias("equal_weight_combined"),
+        r6("multi_timescale").alias("multi_timescale"))
+
+
 _ABL = f"""{C}, {_SCREEN}, tst AS (SELECT variant, label, v AS score, t FROM lng JOIN lim USING (variant) WHERE split = 'test'),
  mac AS (SELECT variant, avg(r) AS macro_recall FROM (SELECT variant, label, avg(CAST(score >= t AS DOUBLE)) AS r FROM tst WHERE label <> 'BENIGN' GROUP BY ALL) GROUP BY 1)
 SELECT p.*, round(macro_recall, 6) AS macro_recall FROM ({point_sql('tst', 'variant')}) p JOIN mac USING (variant)"""

@@ -321,10 +321,15 @@ def chronological_split_ties(spark, sf):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_at"))
 
 
-@query("B15_entity_holdout")
+@query("B15_entity_holdout", f"""{WITH}, n AS (SELECT count(DISTINCT entity_id) AS n FROM flows),
+ p AS (SELECT n, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS a, greatest(1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) AS b FROM n)
+SELECT 'train' AS split, a AS entities, a AS own FROM p UNION ALL SELECT 'val', b, b FROM p UNION ALL SELECT 'test', n - a - b, n - a - b FROM p""")
 def entity_holdout(spark, sf):
-    return splits.entity_holdout(flows(spark, sf).drop("split"), 0.7, 0.15, 42).groupBy("split").agg(
-        F.count_distinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("rows"))
+    """Part sizes in entities; ``own`` counts those that occur in no other part."""
+    parts = splits.entity_holdout(flows(spark, sf).drop("split"), 0.7, 0.15, 42).select("entity_id", "split").distinct()
+    single = parts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split"))
+    own = single.filter(F.col("n") == 1).groupBy("split").agg(F.count(F.lit(1)).alias("own"))
+    return parts.groupBy("split").agg(F.count(F.lit(1)).alias("entities")).join(own, "split", "left")
 
 
 @query("B16_entity_then_time")
@@ -346,7 +351,8 @@ def content_hash_split(spark, sf):
     return splits.content_hash_split(table(spark, sf, "documents"), F.sha2("text", 256), 0.2).select("doc_id", "split")
 
 
-@query("B20_seeded_random_split")
+@query("B20_seeded_random_split", """WITH n AS (SELECT count(*) AS n FROM documents)
+SELECT 'train' AS split, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS "rows" FROM n UNION ALL SELECT 'val', n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) FROM n""")
 def seeded_random_split(spark, sf):
     return splits.seeded_random_split(table(spark, sf, "documents"), "doc_id", 0.2, 42).groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"))

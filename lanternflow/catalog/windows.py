@@ -51,8 +51,9 @@ def window_features_per_split(spark, sf):
         "event_row_id", "split", *[r6(f).alias(f) for f in WINDOW_FEATURES])
 
 
-def multiscale_sql(source: str, widths, order: str, key: str) -> str:
+def multiscale_sql(source: str, widths, order: str, key: str, rounded: bool = True) -> str:
     cols, frames, out = [], [], []
+    r, d = ("round", ", 6") if rounded else ("", "")
     for n in widths:
         now, past = f"n{n}", f"p{n}"
         frames += [f"{now} AS (PARTITION BY entity_id ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)",
@@ -60,19 +61,19 @@ def multiscale_sql(source: str, widths, order: str, key: str) -> str:
         cols += [f"count(*) OVER {now} AS k{n}, first(\"timestamp\") OVER {now} AS a{n}, list(event_type) OVER {now} AS e{n}, "
                  f"list(port) OVER {now} AS o{n}, list(dst_id) OVER {now} AS d{n}, list(dst_id) OVER {past} AS b{n}, "
                  f"avg(x) OVER {now} AS m{n}, stddev_pop(x) OVER {now} AS s{n}"]
-        out += [f"round(k{n} / greatest((epoch_us(\"timestamp\") - epoch_us(a{n})) / 1e6, 1.0), 6) AS w{n}_rate",
-                f"round(list_max(list_transform(list_distinct(e{n}), lambda v: len(list_filter(e{n}, lambda y: y = v)))) / k{n}, 6) AS w{n}_repetition",
-                f"round(len(list_filter(list_distinct(d{n}), lambda v: NOT list_contains(coalesce(b{n}, []), v)))"
-                f" / greatest(len(list_distinct(d{n})), 1), 6) AS w{n}_peer_novelty",
+        out += [f"{r}(k{n} / greatest((epoch_us(\"timestamp\") - epoch_us(a{n})) / 1e6, 1.0){d}) AS w{n}_rate",
+                f"{r}(list_max(list_transform(list_distinct(e{n}), lambda v: len(list_filter(e{n}, lambda y: y = v)))) / k{n}{d}) AS w{n}_repetition",
+                f"{r}(len(list_filter(list_distinct(d{n}), lambda v: NOT list_contains(coalesce(b{n}, []), v)))"
+                f" / greatest(len(list_distinct(d{n})), 1){d}) AS w{n}_peer_novelty",
                 f"CAST(len(list_distinct(o{n})) AS DOUBLE) AS w{n}_port_diversity",
-                f"round(m{n}, 6) AS w{n}_bytes_mean", f"round(s{n}, 6) AS w{n}_bytes_std",
+                f"{r}(m{n}{d}) AS w{n}_bytes_mean", f"{r}(s{n}{d}) AS w{n}_bytes_std",
                 f"CAST(len(list_distinct(d{n})) AS DOUBLE) AS w{n}_fanout"]
-    return (f"x AS (SELECT *, ln(1 + greatest(bytes, 0)) AS x, split_part(event_type, ':', -1) AS port FROM {source}), "
+    return (f"WITH x AS (SELECT *, ln(1 + greatest(bytes, 0)) AS x, split_part(event_type, ':', -1) AS port FROM {source}), "
             f"f AS (SELECT *, {', '.join(cols)} FROM x WINDOW {', '.join(frames)}) SELECT {key}, {', '.join(out)} FROM f")
 
 
-@query("D3_multiscale_features", f"WITH {FLOWS}, " + multiscale_sql(
-    "flows", (8, 32, 128), '"timestamp", event_row_id', "event_row_id"))
+@query("D3_multiscale_features", f"WITH {FLOWS} SELECT * FROM (" + multiscale_sql(
+    "flows", (8, 32, 128), '"timestamp", event_row_id', "event_row_id") + ")")
 def multiscale(spark, sf):
     return W.multiscale_features(flows(spark, sf)).select(
         "event_row_id", *[r6(c).alias(c) for c in W.multiscale_names((8, 32, 128))])
@@ -83,8 +84,8 @@ SUPPLIER = """supplier_flows AS (SELECT l_orderkey * 8 + l_linenumber AS event_r
  CAST(l_partkey AS VARCHAR) AS dst_id, l_extendedprice AS bytes FROM lineitem)"""
 
 
-@query("D3_multiscale_long_entities", f"WITH {SUPPLIER}, " + multiscale_sql(
-    "supplier_flows", (8, 32), '"timestamp", event_row_id, dst_id, bytes', 'entity_id, event_row_id, dst_id'))
+@query("D3_multiscale_long_entities", f"WITH {SUPPLIER} SELECT * FROM (" + multiscale_sql(
+    "supplier_flows", (8, 32), '"timestamp", event_row_id, dst_id, bytes', 'entity_id, event_row_id, dst_id') + ")")
 def multiscale_long(spark, sf):
     """Hundreds of rows per entity, many on the same day; the row id is made unique for ties."""
     rows = supplier_flows(spark, sf)
