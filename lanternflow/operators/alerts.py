@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
-from lanternflow.operators.scale import HotKeys, positions
+from lanternflow.operators.scale import HotKeys, global_rank, positions
 from lanternflow.schema import TIME_ORDER
-from lanternflow.session import shuffle_partitions
 
 
 def passes_allowlist(score: str, threshold: Column, allowlist: Sequence[str], margin: float,
@@ -74,7 +73,7 @@ def cooldown(candidates: DataFrame, seconds: int) -> DataFrame:
     segments = quiet.select("entity_id", "slot", F.coalesce(F.sum("gap").over(w), F.lit(0)).alias("segment"))
     ordered = (instants.join(segments, ["entity_id", "slot"])
                .select("entity_id", "segment", "at", "event_row_id")
-               .repartition(shuffle_partitions(candidates.sparkSession), "entity_id", "segment")
+               .repartition("entity_id", "segment")
                .sortWithinPartitions("entity_id", "segment", "at"))
     return ordered.mapInPandas(_first_after_gap(seconds), "event_row_id bigint")
 
@@ -155,9 +154,9 @@ def alert_packets(alerts: DataFrame, events: DataFrame, seq_len: int, hot: HotKe
 
 
 def with_alert_index(alerts: DataFrame, score: str) -> DataFrame:
-    """Number a top-k bounded alert table by score."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc("event_row_id"))
-    return alerts.withColumn("alert_index", F.row_number().over(w) - 1)
+    """Number the alerts from the highest score down."""
+    ranked = global_rank(alerts.withColumn("_down", -F.col(score)), ["_down", "event_row_id"], "alert_index")
+    return ranked.withColumn("alert_index", F.col("alert_index").cast("int")).drop("_down")
 
 
 def entity_timelines(scored: DataFrame, alerts: DataFrame, score: str, max_entities: int = 50) -> DataFrame:

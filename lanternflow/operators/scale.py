@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lanternflow.session import durable, max_group_rows, shuffle_partitions
+from lanternflow.session import durable, max_group_rows
 
 POS = "_pos"
 CHUNK = "_chunk"
@@ -59,12 +59,13 @@ def hot_keys(df: DataFrame, columns: Sequence[str], limit: int | None = None) ->
 def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range-partition by the full sort key, sort, and store rows with chunk and index.
 
-    Spark samples the key, so chunks are even even if one key holds most rows. The
+    Spark samples the key, so chunks are even even if one key holds most rows; without a
+    number, adaptive execution picks how many (neighbouring ranges are merged). The
     written table pins both numbers; the index needs no window because it is counted
     while each sorted chunk streams by.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
-    in_order = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    in_order = ranged.sortWithinPartitions(*order)
     # The lower 33 bits of the id count the rows of a partition.
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return durable(in_order.select("*", F.spark_partition_id().alias(CHUNK), row.alias(INDEX)))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
 from lanternflow.operators.metrics import diagnostics
+from lanternflow.operators.scale import global_rank
 from lanternflow.session import durable
 
 
@@ -37,10 +38,9 @@ def standardize(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFr
 
 def fit_categories(train: DataFrame, column: str) -> DataFrame:
     """Sorted distinct training values numbered from 1; 0 is left for unseen values."""
-    # The window covers the distinct values of one categorical column.
-    order = Window.partitionBy(F.lit(0)).orderBy(column)
-    return durable(train.select(column).filter(F.col(column).isNotNull()).distinct()
-                   .select(column, F.row_number().over(order).alias(f"{column}_id")))
+    values = train.select(column).filter(F.col(column).isNotNull()).distinct()
+    ranked = global_rank(values, [column], f"{column}_id")
+    return ranked.withColumn(f"{column}_id", (F.col(f"{column}_id") + 1).cast("int"))
 
 
 def with_category_ids(df: DataFrame, column: str, fitted: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
-from lanternflow.operators.scale import global_quantiles, literal_table
+from lanternflow.operators.scale import global_quantiles, global_rank, literal_table
 from lanternflow.schema import FIRST_KNOWN_ID, PAD_ID, UNK_ID
 from lanternflow.session import durable
 
@@ -84,9 +84,7 @@ def build_tokenizer(destinations: list[str], event_types: DataFrame, edges: list
         ranked = literal_table(event_types.sparkSession, [
             F.struct(F.lit(t).alias("event_type"), F.lit(i).alias("ei")) for i, t in enumerate(some)])
         return Tokenizer(sorted(destinations), ranked, len(some), list(edges))
-    # The rank runs over the distinct event types, not over events.
-    ranked = durable(event_types.select("event_type", (F.row_number().over(
-        Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).alias("ei")))
+    ranked = durable(global_rank(event_types, ["event_type"], "ei").withColumn("ei", F.col("ei").cast("int")))
     return Tokenizer(sorted(destinations), ranked, ranked.count(), list(edges))
 
 

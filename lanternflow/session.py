@@ -55,7 +55,3 @@ def durable(df: DataFrame) -> DataFrame:
 def max_group_rows(spark: SparkSession) -> int:
     """Rows of one key that a single task may hold before the key is split."""
     return int(spark.conf.get("spark.lanternflow.maxGroupRows", "1000000"))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -83,3 +83,8 @@ def test_key_at_rank_settles_ties(spark, skewed):
         assert key == want[rank]
         assert df.filter(scale.before_key(order, key)).count() == rank
     assert scale.key_at_rank(df, order, 900) is None
+
+
+def test_rank_without_a_chunk_count(skewed):
+    got = [r.event_row_id for r in scale.global_rank(skewed, ["timestamp", "event_row_id"], "k").orderBy("k").collect()]
+    assert got == [r.event_row_id for r in skewed.orderBy("timestamp", "event_row_id").collect()]

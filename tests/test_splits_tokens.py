@@ -85,3 +85,13 @@ def test_destination_of_token(spark):
 def test_default_event_types_make_the_standard_grid(spark):
     tok = tokens.fit_tokenizer(events(spark), 1, 1, tokens.DEFAULT_EVENT_TYPES)
     assert tok.kinds == 7
+
+
+def test_many_event_types_use_a_stored_table(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "LITERAL_TYPES", 3)
+    df = events(spark, 40).withColumn("event_type", F.concat(F.lit("t"), (F.col("event_row_id") % 7).cast("string")))
+    tok = tokens.fit_tokenizer(df, 2, 3)
+    assert [(r.event_type, r.ei) for r in tok.event_types.orderBy("ei").collect()] == [(f"t{i}", i) for i in range(7)]
+    grid = {r.token_str: r.token_id for r in tokens.vocabulary(tok).collect()}
+    assert len(grid) == tok.size - 2
+    assert all(grid[r.token_str] == r.token_id for r in tokens.tokenize(df, tok).collect())
