@@ -60,6 +60,8 @@ def fit_baselines(windows: DataFrame, features: Sequence[str], min_n: int = 30,
     features = list(features)
     rows = windows.select("entity_id", *features)
     spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in features], F.count(F.lit(1)).alias("_n")).first()
+    if not spread["_n"]:
+        raise ValueError("no training windows to fit baselines on")
     medians = {f: v[0] for f, v in global_quantiles(rows, features, [0.5], spread["_n"]).items()}
     off = rows.select(*[F.abs(F.col(f) - F.lit(medians[f])).alias(f) for f in features])
     mads = {f: v[0] for f, v in global_quantiles(off, features, [0.5], spread["_n"]).items()}

@@ -172,3 +172,13 @@ def test_snapshots_trend_from_zero(spark):
     snaps = live.stats_snapshots(spark.createDataFrame(rows, "batch_id int, entity_id string, events bigint, anomalies bigint")).orderBy("batch_id").collect()
     assert [(r.total_events, r.active_entities, r.anomalies) for r in snaps] == [(10, 1, 0), (20, 2, 1)]
     assert (snaps[0].total_events_trend, snaps[0].anomalies_trend, snaps[1].total_events_trend, snaps[1].anomalies_trend) == (100.0, 0.0, 100.0, 100.0)
+
+
+def test_fitting_needs_data(spark, sf):
+    base = flows(spark, sf)
+    with pytest.raises(ValueError, match="no training events"):
+        D.fit_detector(base.limit(0), 3, 5, 4)
+    with pytest.raises(ValueError, match="no training windows"):
+        D.fit_detector(base.filter("event_row_id < 3"), 16, 5, 4)
+    with pytest.raises(ValueError, match="two context"):
+        D.fit_detector(base, 1, 5, 4)
