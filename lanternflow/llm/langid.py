@@ -1,12 +1,13 @@
 """Hierarchical language identification: first the family, then the language within it.
 
-Features are hashed character n-grams (1 to 3) of the lower-cased words of the whole text, as
-relative frequencies. One linear support vector machine is trained for each pair of families, and
-one for each pair of languages of a family. Pairs vote; ties go to the larger sum of margins.
-
-Training uses at most ``per_language`` labelled rows of each language, chosen by a hash of their
-id, so the cost of fitting is bounded; the counts behind the choice cover all rows. The weights are a
-few small vectors, which every task gets.
+Features are the square roots of the relative frequencies of hashed character n-grams (1 to 3)
+of the whole lower-cased text, a vector of length one. One linear support vector machine is trained
+for each pair of families, and one for each pair of languages of a family. Pairs vote; ties go
+to the larger sum of margins.
+
+Training uses at most about ``per_language`` labelled rows of each language, chosen by a hash of their
+id, so the cost of fitting is bounded; the counts behind the choice cover all rows. Each machine is
+trained in a task of its own. The weights are a few small vectors, which every task gets.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +35,9 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 DIMS = 2048
-SCALE = 100.0
+COST = 10.0        # of a training row inside the margin
 _LETTER = regex.compile(r"\p{L}")
-_NO_WORD = regex.compile(r"[^\p{L}\p{M}']+")
+_ASCII = np.array([c if chr(c).isalpha() or chr(c) == "'" else 32 for c in range(128)], np.uint32)
 
 
 def family_of(lang: str) -> str:
@@ -49,8 +48,8 @@ def slots(text: str | None) -> np.ndarray | None:
     """Hashed n-gram places of a text, or None if it has no letter."""
     if not text or not _LETTER.search(text):
         return None
-    clean = " " + _NO_WORD.sub(" ", text.lower()).strip() + " "
-    c = np.frombuffer(clean.encode("utf-32-le"), np.uint32).astype(np.uint32)
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
+    c = np.where(c < 128, _ASCII[np.minimum(c, 127)], c)
     h1 = c * np.uint32(0x9E3779B1)
     h2 = (h1[:-1] ^ (h1[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + h1[1:]
     h3 = (h2[:-1] ^ (h2[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + h1[2:]
@@ -58,10 +57,10 @@ def slots(text: str | None) -> np.ndarray | None:
     return (every >> np.uint32(32 - DIMS.bit_length() + 1)).astype(np.int64)
 
 
-def frequencies(text: str | None) -> np.ndarray | None:
-    """Relative frequencies of the n-grams, scaled by ``SCALE``."""
+def features(text: str | None) -> np.ndarray | None:
+    """Square roots of the relative n-gram frequencies: a vector of length one."""
     at = slots(text)
-    return None if at is None else np.bincount(at, minlength=DIMS) * (SCALE / len(at))
+    return None if at is None else np.sqrt(np.bincount(at, minlength=DIMS) / len(at))
 
 
 @dataclass(frozen=True)
@@ -97,7 +96,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score 0 to 1); ``und`` and 0 for a text that is null or has no letter."""
-        x = frequencies(text) if self.families else None
+        x = features(text) if self.families else None
         if x is None:
             return UNKNOWN, 0.0
         family, p = self._vote(sorted(self.families), self.between, x)
@@ -105,48 +104,74 @@ class LanguageModel:
         return lang, p * q
 
 
-def _features():
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(frequencies)
-
-    return features
-
+def train_machine(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 60) -> np.ndarray:
+    """Weights of a linear support vector machine (squared hinge loss), the bias last.
 
-def fit_languages(labelled: DataFrame, per_language: int = 1500, rounds: int = 40, ridge: float = 1e-3) -> LanguageModel:
+    Dual coordinate descent over the rows in their order; ``y`` is 1 or -1.
+    """
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    ridge = 1 / (2 * cost)
+    diagonal = np.einsum("ij,ij->i", x, x) + ridge
+    for _ in range(rounds):
+        moved = 0.0
+        for i in range(len(x)):
+            gradient = y[i] * (x[i] @ w) - 1 + ridge * alpha[i]
+            new = max(alpha[i] - gradient / diagonal[i], 0.0)
+            if (step := new - alpha[i]) != 0.0:
+                w += step * y[i] * x[i]
+                alpha[i] = new
+                moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    return w
+
+
+def fit_languages(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
     """Train on ``labelled(doc_id, text, lang)``; rows with a null text or lang are left out.
 
     At most about ``per_language`` rows of each language are used, chosen by a hash of doc_id.
-    Without rows the model knows no language and answers ``und``.
+    Without usable rows the model knows no language and answers ``und``.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    spark = labelled.sparkSession
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return LanguageModel({}, (), {})
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    data = durable(rows.filter(chosen).select("lang", _features()(F.col("text")).alias("x")).filter("x IS NOT NULL")
-                   .select("lang", "x").repartition(8))
-    vectors = data.select("lang", array_to_vector("x").alias("features"))
-    langs = sorted(r["lang"] for r in data.select("lang").distinct().collect())
     families: dict[str, tuple[str, ...]] = {}
-    for lang in langs:
+    for lang in sorted(counts):
         families[family_of(lang)] = (*families.get(family_of(lang), ()), lang)
-
-    def decide(a: str, b: str, name: Column, part: DataFrame) -> Decision:
-        fitted = LinearSVC(maxIter=rounds, regParam=ridge, standardization=True).fit(
-            part.select("features", (name == a).cast("double").alias("label")))
-        return Decision(a, b, fitted.coefficients.toArray(), float(fitted.intercept))
-
-    family = F.lit(None).cast("string")
-    for f, members in families.items():
-        family = F.when(F.col("lang").isin(*members), f).otherwise(family)
-    between = tuple(decide(a, b, family, vectors.filter(family.isin(a, b))) for a, b in combinations(sorted(families), 2))
-    within = {f: tuple(decide(a, b, F.col("lang"), vectors.filter(F.col("lang").isin(a, b))) for a, b in combinations(members, 2))
-              for f, members in families.items() if len(members) > 1}
-    return LanguageModel(families, between, within)
+    # (level, a, b): a decision; a row serves every decision that its family or language is part of.
+    names = [("", a, b) for a, b in combinations(sorted(families), 2)]
+    names += [(f, a, b) for f, members in families.items() for a, b in combinations(members, 2)]
+    if not names:
+        return LanguageModel(families, (), {})
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    serves = spark.createDataFrame(
+        [(lang, level, a, b, 1.0 if (family_of(lang) if level == "" else lang) == a else -1.0) for level, a, b in names for lang in counts
+         if (family_of(lang) if level == "" else lang) in (a, b)], "lang string, level string, a string, b string, y double")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if (x := features(t)) is None else x.astype(np.float32).tobytes())
+
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = durable(chosen.select("doc_id", "lang", packed(F.col("text")).alias("x")).filter("x IS NOT NULL"))
+
+    def train(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc_id", "lang", "x"])
+        # Both sides in turn, so that neither is seen in one long run.
+        group = group.iloc[np.argsort(group.groupby("y").cumcount().to_numpy(), kind="stable")]
+        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), DIMS).astype(np.float64)
+        w = train_machine(x, group["y"].to_numpy())
+        return pd.DataFrame({"level": group["level"].iloc[:1], "a": group["a"].iloc[:1], "b": group["b"].iloc[:1], "w": [w]})
+
+    learnt = (sample.join(F.broadcast(serves), "lang").groupBy("level", "a", "b")
+              .applyInPandas(train, "level string, a string, b string, w array<double>").collect())
+    decisions = {(r["level"], r["a"], r["b"]): Decision(r["a"], r["b"], np.array(r["w"][:-1]), r["w"][-1]) for r in learnt}
+    # A decision without a usable row is left out; its votes go to nobody.
+    at = lambda level: tuple(decisions[n] for n in names if n[0] == level and n in decisions)
+    return LanguageModel(families, at(""), {f: at(f) for f in families})
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
