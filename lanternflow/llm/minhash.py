@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
                      .mapInArrow(_candidates(percent), shape))
 
     # Full sets, only of classes that have a candidate.
-    ids = wanted.select("rep", "key").distinct()
+    # The same plan at every size: texts are dealt by doc_id against a hash table of the wanted ids.
+    ids = wanted.select("rep", "key").distinct().hint("shuffle_hash")
     sets = _sets(docs.select("doc_id", F.col("text").cast("binary").alias("text"))
                  .join(ids, F.col("doc_id") == F.col("rep")).select("rep", "key", "text"), n).dropDuplicates(["rep", "key"])
     links = (wanted.join(sets, ["rep", "key"]).repartition(*group).sortWithinPartitions(*group)
