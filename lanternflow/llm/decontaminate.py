@@ -24,8 +24,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     """Words of a text after lower-casing A-Z; none for a null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    return _words(F.translate(text, UPPER, LOWER))
+
+
+def _words(lowered: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -42,7 +45,9 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    # Terms are folded by lower(), which is much cheaper than translate(), equates more words than A-Z
+    # does, and cuts at the same places: lists are supersets, and the comparison that follows is exact.
+    return docs.select("doc_id", F.posexplode(_words(F.lower("text"))).alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rarest: int) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +56,7 @@ def build_index(docs: DataFrame, windows: DataFrame, rarest: int) -> tuple[DataF
     A window is looked up at its ``rarest`` places with the least frequent terms; windows with
     a term that no document has can't occur and are left out.
     """
-    places = windows.select("phrase", F.posexplode("terms").alias("off", "term"))
+    places = windows.select("phrase", F.posexplode(F.transform("terms", F.lower)).alias("off", "term"))
     vocabulary = durable(places.select("term").distinct())
     df = durable(_tokens(docs).select("term").join(vocabulary, "term", "left_semi")
                  .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
@@ -89,11 +94,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
     # A document has at most one candidate per start and window length, so the list is no longer than its text.
     per_doc = durable(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("_c")))
     own = docs.drop("n_words", "n_hit", "hit_spans", "item_ids")
-    joined = own.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = own.join(per_doc.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     exact = F.filter("_c", lambda c: F.array_join(F.slice("_w", c["start"] + 1, c["len"]), " ") == c["phrase"])
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    return (joined.withColumn("_w", words_of(F.col("text"))).withColumn("_hits", exact)
-            .withColumn("n_words", F.size("_w").cast("long"))
+    return (joined.withColumn("_w", F.when(F.col("_c").isNotNull(), words_of(F.col("text")))).withColumn("_hits", exact)
+            .withColumn("n_words", F.size(_words(F.lower("text"))).cast("long"))
             .withColumn("n_hit", F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
             .withColumn("hit_spans", F.coalesce(F.transform("_hits", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"))),
                                                 F.array().cast("array<struct<start:int,len:int>>")))
