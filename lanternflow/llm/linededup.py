@@ -123,9 +123,9 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, min_words: int = 10) -> Da
                        .filter("n > 1").select("h", "first"))
     members = durable(chunks.join(repeated, "h").select("doc_id", "k", "h", "first"))
 
-    # Byte comparison of the chunks of each hash.
+    # Byte comparison of the chunks of each hash. Joins on doc_id use one plan at every size.
     def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("k", "h")).alias("marks"))
+        return rows.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("k", "h")).alias("marks")).hint("merge")
 
     same_id: Column = F.col("doc_id").eqNullSafe(F.col("_id"))
     texts = _chunk_texts(base.join(lists(members), same_id).select("doc_id", "text", "marks"), long_line, min_words)
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, min_words: int = 10) -> Da
         firsts = own.groupBy("h", "chunk").agg(F.min(place).alias("first"))
         later = (later.join(differing, "h", "left_anti").select("doc_id", "k", "h")
                  .unionByName(own.join(firsts, ["h", "chunk"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "h")))
-    drop = durable(lists(later))
+    drop = durable(lists(later)).hint("merge")
     own_columns = [c for c in docs.columns if c != "lines_removed"]
     joined = docs.select(*own_columns).join(drop, same_id, "left").drop("_id")
     edited = joined.withColumn("_e", _edit(long_line, min_words)(F.when(F.col("marks").isNotNull(), F.col("text")), F.col("marks")))
