@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanternflow.session import durable
 
-__all__ = ["Memo", "arrow_groups", "connected_components", "durable", "range_bucket", "runs_of", "table"]
+__all__ = ["Memo", "Recent", "arrow_groups", "connected_components", "durable", "range_bucket", "runs_of", "table", "text_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,45 @@ class Memo(dict):
         return value
 
 
+class Recent:
+    """Results of costly look-ups for about ``limit`` to twice ``limit`` keys, the lately used ones."""
+
+    def __init__(self, make_many: Callable[[list], Iterable], limit: int):
+        self.make_many, self.limit = make_many, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def fetch(self, keys: set) -> dict:
+        """The results of all ``keys``; unknown ones are made together."""
+        found, missing, young, old = {}, [], self.young, self.old
+        for k in keys:
+            if (v := young.get(k)) is None:
+                if (v := old.get(k)) is None:
+                    missing.append(k)
+                    continue
+                young[k] = v
+            found[k] = v
+        if missing:
+            made = dict(zip(missing, self.make_many(missing)))
+            found |= made
+            young |= made
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return found
+
+
+def text_groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[list[str]]]:
+    """The runs of each text, for groups of texts of about ``most`` characters."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) < most):
+            size += len(texts[end])
+            end += 1
+        yield [runs_of(t) for t in texts[start:end]]
+        start = end
+
+
 def runs_of(text: str) -> list[str]:
     """Maximal runs without white space; words never reach across. (str.split() alone would also cut at
     U+001C to U+001F, which are no white space for the tokenizer.)"""

@@ -18,6 +18,7 @@ import os
 import re
 import tempfile
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Memo, runs_of
+from lanternflow.llm.common import Recent, runs_of, text_groups
 
-SEEN = 400_000
+SEEN = 250_000   # words, and runs of words, that a worker remembers at least
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -181,6 +182,11 @@ class Bpe:
 
     def split(self, run: str) -> list[int | bytes]:
         """Special ids and words of a run of characters, in order."""
+        if run.isascii():  # the common cases: a word, and a word before a stop or comma
+            if run.isalpha():
+                return [run.lower().encode()]
+            if run[-1] in ".,;:?" and (word := run[:-1]).isalpha():
+                return [word.lower().encode(), run[-1].encode()]
         if self.specials is None or not self.specials.search(run):
             return self.pretokens(run)
         out: list[int | bytes] = []
@@ -206,7 +212,7 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def _bpe(path: str) -> Bpe:
+def bpe_file(path: str) -> Bpe:
     return Bpe(path)
 
 
@@ -215,7 +221,7 @@ def _bpe(path: str) -> Bpe:
 def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
     """``word, n`` over all texts; each task sums up before the shuffle."""
     def run(batches):
-        bpe, seen = _bpe(path), Counter()
+        bpe, seen = bpe_file(path), Counter()
 
         def flush():
             words: Counter = Counter()
@@ -238,7 +244,7 @@ def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, path: str, words: int = 65_536) -> bytes:
     """The ``words`` most frequent words (ties by the word) of all texts, compiled."""
-    bpe = _bpe(path)
+    bpe = bpe_file(path)
     top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     return Lexicon.compile({bytes(r["word"]): bpe.merge(bytes(r["word"])) for r in top})
 
@@ -247,39 +253,31 @@ class Codec:
     """Encodes and decodes texts; keeps the results of a bounded number of runs."""
 
     def __init__(self, path: str, lexicon: bytes):
-        self.bpe, self.lexicon = _bpe(path), Lexicon(lexicon)
-        self.words: Memo = Memo(self._word, SEEN)
-        self.runs: Memo = Memo(self._run, SEEN)
-
-    def _word(self, word: bytes) -> list[int]:
-        rank = int(self.lexicon.ranks([word])[0])
-        return self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(word)
-
-    def _run(self, run: str) -> tuple[int, bytes, bytes]:
-        ids: list[int] = []
-        for w in self.bpe.split(run):
-            ids += [w] if isinstance(w, int) else self.words[w]
-        return len(ids), b" ".join(b"%d" % i for i in ids), b" ".join(self.bpe.token_of[i].encode() for i in ids)
-
-    def learn(self, runs: set[str]) -> None:
-        """Look up many new runs at once: their words walk the automaton together."""
-        if len(self.runs) + len(runs) > SEEN:
-            self.runs.clear()
-        if len(self.words) > SEEN // 2:
-            self.words.clear()
-        new = list({w for r in runs for w in self.bpe.split(r) if isinstance(w, bytes)} - self.words.keys())
-        for w, rank in zip(new, self.lexicon.ranks(new).tolist()):
-            self.words[w] = self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
-        for r in runs:
-            self.runs[r] = self._run(r)
-
-    def __call__(self, text: str) -> tuple[int, bytes, bytes]:
-        """(number of ids, decimal ids joined by a space, decoded text)."""
-        runs = runs_of(text)
-        if new := set(runs) - self.runs.keys():
-            self.learn(new)
-        found = [x for x in map(self.runs.__getitem__, runs) if x[0]]
-        return sum(x[0] for x in found), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
+        self.bpe, self.lexicon = bpe_file(path), Lexicon(lexicon)
+        self.words, self.runs = Recent(self._encode_words, SEEN), Recent(self._encode_runs, SEEN)
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Words walk the automaton together; the ones that it doesn't hold are merged."""
+        token_of = self.bpe.token_of
+        for w, rank in zip(words, self.lexicon.ranks(words).tolist()):
+            ids = self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
+            yield len(ids), " ".join(map(str, ids)).encode(), " ".join([token_of[i] for i in ids]).encode()
+
+    def _encode_runs(self, runs: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        cut = [self.bpe.split(r) for r in runs]
+        known = self.words.fetch({w for c in cut for w in c if isinstance(w, bytes)})
+        for c in cut:
+            parts = [known[w] if isinstance(w, bytes) else (1, b"%d" % w, self.bpe.token_of[w].encode()) for w in c]
+            parts = [x for x in parts if x[0]]
+            yield sum([x[0] for x in parts]), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
+
+    def many(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """(number of ids, decimal ids joined by a space, decoded text) of each text."""
+        for group in text_groups(texts):
+            known = self.runs.fetch(set().union(*group))
+            for runs in group:
+                found = [x for x in map(known.__getitem__, runs) if x[0]]
+                yield sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
 
 
 @lru_cache(maxsize=2)
@@ -323,8 +321,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = 65_536) -> DataFrame:
         codec = codec_of()
         for batch in batches:
             ids, decoded = [], []
-            for text in batch.column("text"):
-                _, i, d = codec(text.as_py() or "")
+            for _, i, d in codec.many([t or "" for t in batch.column("text").to_pylist()]):
                 ids.append(np.array(i.split(), np.int32))
                 decoded.append(d.decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
@@ -342,8 +339,7 @@ def encoding_digest(docs: DataFrame, path: str, words: int = 65_536) -> DataFram
         codec = codec_of()
         for batch in batches:
             out = []
-            for text in batch.column("text"):
-                n, i, d = codec(text.as_py() or "")
+            for n, i, d in codec.many([t or "" for t in batch.column("text").to_pylist()]):
                 out.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
             n, i, d = zip(*out) if out else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],

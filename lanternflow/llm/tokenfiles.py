@@ -13,10 +13,12 @@ so records can be read in any order and by any number of readers.
 
 from __future__ import annotations
 
-import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Memo, durable, runs_of
+from lanternflow.llm.common import Recent, durable, text_groups
+from lanternflow.llm.lexicon import SEEN, bpe_file
 from lanternflow.session import shared_folder
 
 MASK_DELTA = 0xA282EAD8
@@ -54,18 +57,45 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, width: int) -> Memo:
-    """Ids of a run of non-space characters as packed integers, by the tokenizers library.
+class _Encoder:
+    """Ids of texts as packed integers, by the tokenizers library.
 
-    The tokenizers used here normalise and split inside such runs only, so a text's ids are
-    those of its runs. Repeated runs are looked up; the worker keeps them between tasks.
+    Ids of a text are those of its words, as its tokenizer cuts them. New words of many texts go to
+    the library together; repeated words, and repeated runs of words, are looked up. The
+    worker keeps a bounded number of both between tasks.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    kind = np.dtype(f"<u{width}")
-    return Memo(lambda run: np.array(tokenizer.encode(run, add_special_tokens=False).ids, kind).tobytes(), 500_000)
+
+    def __init__(self, path: str, width: int):
+        self.file, self.code = bpe_file(path), "H" if width == 2 else "I"
+        self.words, self.runs = Recent(self._encode_words, SEEN), Recent(self._encode_runs, SEEN)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        tokenize, letters = self.file.library.model.tokenize, self.file.letters
+        for w in words:
+            yield self._pack([t.id for t in tokenize(w.decode() if w.isascii() else "".join([letters[b] for b in w]))])
+
+    def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
+        cut = [self.file.split(r) for r in runs]
+        ids = self.words.fetch({w for c in cut for w in c if isinstance(w, bytes)})
+        for c in cut:
+            yield b"".join([ids[w] if isinstance(w, bytes) else self._pack([w]) for w in c])
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        for group in text_groups(texts):
+            ids = self.runs.fetch(set().union(*group))
+            for runs in group:
+                yield b"".join(map(ids.__getitem__, runs))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, width: int) -> _Encoder:
+    return _Encoder(path, width)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, shards: int | None = None,
@@ -87,12 +117,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         part = f"{root}/.{shard}.{task.taskAttemptId()}"
-        ids_of, end, at = _encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), 0
+        encoder, end, at = _encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), 0
         with files.open_output_stream(part) as out:
             for batch in batches:
                 offsets, lengths, counts = [], [], []
-                for text in batch.column("text"):
-                    record = frame(b"".join([*map(ids_of.__getitem__, runs_of(text.as_py() or "")), end]))
+                for ids in encoder.many([t or "" for t in batch.column("text").to_pylist()]):
+                    record = frame(ids + end)
                     out.write(record)
                     offsets.append(at)
                     lengths.append(len(record))
