@@ -200,14 +200,16 @@ class Bpe:
         if not parts:
             return []
         parts[-1] += self.end
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
-                break
+        rank_of, none = self.rank.get, len(self.rank)
+        ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
         return [self.vocab[p] for p in parts]
 
 
