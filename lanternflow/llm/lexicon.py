@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Recent, runs_of, text_groups
+from lanternflow.llm.common import Recent, durable, runs_of, text_groups
 
-SEEN = 250_000   # words, and runs of words, that a worker remembers at least
+SEEN = 120_000   # words, and runs of words, that a worker remembers at least
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -247,7 +247,8 @@ def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
 def build_lexicon(docs: DataFrame, path: str, words: int = 65_536) -> bytes:
     """The ``words`` most frequent words (ties by the word) of all texts, compiled."""
     bpe = bpe_file(path)
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    # Ranked in the cluster and written, so that only these words come to the driver.
+    top = durable(word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word")).collect()
     return Lexicon.compile({bytes(r["word"]): bpe.merge(bytes(r["word"])) for r in top})
 
 
