@@ -73,7 +73,7 @@ def text_groups(texts: list[str], most: int = 1_000_000) -> Iterator[list[list[s
 
 # Latin letters without combining marks, and no controls: lower-cased alike by Python and by the library.
 _PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017e]*\\Z")
-_STOP_AFTER_SIGN = re.compile(r"[^\w\s][.,]|_[.,]")
+_STOP_AFTER_SIGN = re.compile(r"[.,](?<=[\W_].)(?<!\s.)")
 
 
 def runs_of(text: str) -> list[str]:

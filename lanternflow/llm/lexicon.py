@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lanternflow.llm.common import Recent, durable, runs_of, text_groups
 
-SEEN = 120_000   # words, and runs of words, that a worker remembers at least
+SEEN = 220_000   # pieces of text that a worker remembers at least
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -101,13 +101,11 @@ class Lexicon:
         return b"".join([head.tobytes(), *[parts[k].tobytes() for k, _ in cls.ARRAYS]])
 
     def __init__(self, data: bytes):
-        # One file per content in the worker's own temporary folder; the pages are shared by its workers.
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-                f.write(data)
-            os.replace(f.name, path)
-        mapped = np.memmap(path, np.uint8, "r")
+        # A file without a name in the worker's own temporary folder: it goes with the worker.
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            mapped = np.memmap(f, np.uint8, "r")
         at = 8 * len(self.ARRAYS)
         for (name, kind), n in zip(self.ARRAYS, mapped[:at].view(np.uint64).tolist()):
             size = n * np.dtype(kind).itemsize
@@ -244,7 +242,7 @@ def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, words: int = 65_536) -> bytes:
+def build_lexicon(docs: DataFrame, path: str, words: int = 262_144) -> bytes:
     """The ``words`` most frequent words (ties by the word) of all texts, compiled."""
     bpe = bpe_file(path)
     # Ranked in the cluster and written, so that only these words come to the driver.
@@ -257,22 +255,21 @@ class Codec:
 
     def __init__(self, path: str, lexicon: bytes):
         self.bpe, self.lexicon = bpe_file(path), Lexicon(lexicon)
-        self.words, self.runs = Recent(self._encode_words, SEEN), Recent(self._encode_runs, SEEN)
-
-    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """Words walk the automaton together; the ones that it doesn't hold are merged."""
-        token_of = self.bpe.token_of
-        for w, rank in zip(words, self.lexicon.ranks(words).tolist()):
-            ids = self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
-            yield len(ids), " ".join(map(str, ids)).encode(), " ".join([token_of[i] for i in ids]).encode()
+        self.runs = Recent(self._encode_runs, SEEN)
 
     def _encode_runs(self, runs: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-        cut = [self.bpe.split(r) for r in runs]
-        known = self.words.fetch({w for c in cut for w in c if isinstance(w, bytes)})
+        """All words walk the automaton together; the ones that it doesn't hold are merged."""
+        cut, token_of = [self.bpe.split(r) for r in runs], self.bpe.token_of
+        ranks = iter(self.lexicon.ranks([w for c in cut for w in c if isinstance(w, bytes)]).tolist())
         for c in cut:
-            parts = [known[w] if isinstance(w, bytes) else (1, b"%d" % w, self.bpe.token_of[w].encode()) for w in c]
-            parts = [x for x in parts if x[0]]
-            yield sum([x[0] for x in parts]), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
+            ids: list[int] = []
+            for w in c:
+                if isinstance(w, int):
+                    ids.append(w)
+                else:
+                    rank = next(ranks)
+                    ids += self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
+            yield len(ids), " ".join(map(str, ids)).encode(), " ".join([token_of[i] for i in ids]).encode()
 
     def many(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by a space, decoded text) of each text."""
@@ -310,7 +307,7 @@ def _with_codec(docs: DataFrame, path: str, words: int):
     return lambda: _codec(path, digest, _Load(held))
 
 
-def encode_decode(docs: DataFrame, path: str, words: int = 65_536) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame:
     """``doc_id, n_tokens, ids (list), decoded`` of every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no ids and decode to an empty text. No special ids are added; the
@@ -334,7 +331,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = 65_536) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
-def encoding_digest(docs: DataFrame, path: str, words: int = 65_536) -> DataFrame:
+def encoding_digest(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row (see ``encode_decode``)."""
     codec_of = _with_codec(docs, path, words)
 

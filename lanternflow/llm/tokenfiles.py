@@ -60,14 +60,14 @@ def unframe(record: bytes) -> bytes:
 class _Encoder:
     """Ids of texts as packed integers, by the tokenizers library.
 
-    Ids of a text are those of its words, as its tokenizer cuts them. New words of many texts go to
-    the library together; repeated words, and repeated runs of words, are looked up. The
-    worker keeps a bounded number of both between tasks.
+    Ids of a text are those of its words, as its tokenizer cuts them. New words go to
+    the library's model; repeated pieces are looked up. The worker keeps a bounded number of
+    them between tasks.
     """
 
     def __init__(self, path: str, width: int):
         self.file, self.code = bpe_file(path), "H" if width == 2 else "I"
-        self.words, self.runs = Recent(self._encode_words, SEEN), Recent(self._encode_runs, SEEN)
+        self.runs = Recent(self._encode_runs, SEEN)
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -75,16 +75,14 @@ class _Encoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _encode_words(self, words: list[bytes]) -> Iterator[bytes]:
-        tokenize, letters = self.file.library.model.tokenize, self.file.letters
-        for w in words:
-            yield self._pack([t.id for t in tokenize(w.decode() if w.isascii() else "".join([letters[b] for b in w]))])
-
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
-        cut = [self.file.split(r) for r in runs]
-        ids = self.words.fetch({w for c in cut for w in c if isinstance(w, bytes)})
-        for c in cut:
-            yield b"".join([ids[w] if isinstance(w, bytes) else self._pack([w]) for w in c])
+        tokenize, letters = self.file.library.model.tokenize, self.file.letters
+        for r in runs:
+            ids: list[int] = []
+            for w in self.file.split(r):
+                ids += [w] if isinstance(w, int) else [t.id for t in tokenize(
+                    w.decode() if w.isascii() else "".join([letters[b] for b in w]))]
+            yield self._pack(ids)
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         for group in text_groups(texts):
