@@ -62,9 +62,16 @@ def assemble_parts(spark, sf):
     listing = spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "`No.` int, ` Name` string")
     sinks.write_table(listing.coalesce(1), f"{path}/names", "csv")
     found = files.feature_names(spark, f"{path}/names", len(names))
-    rows = files.assemble_parts(spark, [f"{path}/parts/part={i}" for i in range(4)], found)
-    return rows.withColumn("props", F.regexp_replace("props", '""', '"')).withColumn(
-        "props", F.trim(F.regexp_replace("props", r'^"|"$', "")))
+    return files.assemble_parts(spark, [f"{path}/parts/part={i}" for i in range(4)], found)
+
+
+@query("A1_read_csv", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, chr(10), ' "q", ') AS text, source FROM documents""")
+def read_csv(spark, sf):
+    """Texts with quotes and commas, written as CSV and read back."""
+    path = scratch(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(' "q", ')).alias("text"), "source")
+    sinks.write_table(docs, path, "csv")
+    return files.read_table(spark, path)
 
 
 @query("A4_write_clean_events", f"""{WITH} SELECT event_row_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS "timestamp",

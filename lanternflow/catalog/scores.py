@@ -191,7 +191,7 @@ def histogram(spark, sf):
 @query("E16_entity_timelines", f"""{C}, al AS (SELECT DISTINCT entity_id, "timestamp", token_str FROM sst CROSS JOIN thr WHERE score >= t),
  fl AS (SELECT s.*, al.entity_id IS NOT NULL AS is_alert FROM sst s LEFT JOIN al ON s.entity_id = al.entity_id
   AND s."timestamp" = al."timestamp" AND s.token_str = al.token_str),
- pick AS (SELECT entity_id, count(*) AS n FROM fl GROUP BY 1 ORDER BY max(is_alert) DESC, entity_id LIMIT 50)
+ pick AS (SELECT entity_id, count(*) AS n FROM fl GROUP BY 1)
 SELECT entity_id, event_row_id, round(score, 6) AS score, is_alert FROM fl WHERE entity_id IN (SELECT entity_id FROM pick WHERE n >= 2)""")
 def timelines(spark, sf):
     s = shared.stream(spark, sf)

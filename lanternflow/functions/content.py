@@ -7,32 +7,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the scan of a binary stops after this many bytes.
-ENTROPY_BYTES = 2_000_000
-
-
 def symbol_entropy(df: DataFrame, key: str, text: Column) -> DataFrame:
     """Shannon entropy in bits over the characters of a text, one row per key.
 
-    Characters are counted map-side, so the shuffle carries one row per text and distinct
-    character; sum(-p log2 p) = log2(N) - sum(n log2 n) / N then needs one pass.
+    Local to the row: each distinct character is counted as the length that the text loses
+    without it, and sum(-p log2 p) = log2(N) - sum(n log2 n) / N. Null and empty texts have 0.
     """
-    chars = df.select(key, F.explode(F.split(text, "")).alias("c")).filter(F.col("c") != "")
-    counts = chars.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2(F.col("n"))) / F.sum("n")
-    found = counts.groupBy(key).agg(bits.alias("entropy"))
-    empty = df.filter(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, F.lit(0.0).alias("entropy"))
-    return found.unionByName(empty)
+    t = F.coalesce(text, F.lit(""))
+    size = F.length(t)
+    counts = F.transform(F.filter(F.array_distinct(F.split(t, "")), lambda c: c != ""),
+                         lambda c: size - F.length(F.replace(t, c, F.lit(""))))
+    weighed = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
+    return df.select(key, F.when(size > 0, F.log2(size.cast("double")) - weighed / size).otherwise(F.lit(0.0)).alias("entropy"))
 
 
-def byte_entropy(content: Column, limit: int = ENTROPY_BYTES) -> Column:
-    """Shannon entropy in bits over the leading bytes of a binary column."""
+def byte_entropy(content: Column, limit: int | None = None) -> Column:
+    """Shannon entropy in bits over all bytes of a binary column, or over the first ``limit``."""
     @F.pandas_udf("double")
     def entropy(blobs: pd.Series) -> pd.Series:
         def one(blob: bytes | None) -> float:
             if not blob:
                 return 0.0
-            share = np.bincount(np.frombuffer(blob[:limit], np.uint8), minlength=256) / min(len(blob), limit)
+            seen = np.frombuffer(blob, np.uint8)[:limit]
+            share = np.bincount(seen, minlength=256) / len(seen)
             share = share[share > 0]
             return float(-(share * np.log2(share)).sum()) + 0.0
         return blobs.map(one)

@@ -159,14 +159,19 @@ def with_alert_index(alerts: DataFrame, score: str) -> DataFrame:
     return ranked.withColumn("alert_index", F.col("alert_index").cast("int")).drop("_down")
 
 
-def entity_timelines(scored: DataFrame, alerts: DataFrame, score: str, max_entities: int = 50) -> DataFrame:
-    """Score series of the chosen entities, alerting ones first, with an alert flag."""
+def entity_timelines(scored: DataFrame, alerts: DataFrame, score: str, max_entities: int | None = None) -> DataFrame:
+    """Score series of entities with two rows or more, with an alert flag.
+
+    With ``max_entities`` only that many, alerting ones first.
+    """
     key = ["entity_id", "timestamp", "token_str"]
     marks = alerts.select(*key).distinct().withColumn("_hit", F.lit(True))
     flagged = scored.join(marks, key, "left").withColumn("is_alert", F.coalesce("_hit", F.lit(False))).drop("_hit")
     chosen = (flagged.groupBy("entity_id").agg(F.max("is_alert").alias("_any"), F.count(F.lit(1)).alias("_n"))
-              .orderBy(F.desc("_any"), F.asc("entity_id")).limit(max_entities).filter(F.col("_n") >= 2))
-    return (flagged.join(F.broadcast(chosen.select("entity_id")), "entity_id", "left_semi")
+              .filter(F.col("_n") >= 2))
+    if max_entities is not None:
+        chosen = chosen.orderBy(F.desc("_any"), F.asc("entity_id")).limit(max_entities)
+    return (flagged.join(chosen.select("entity_id"), "entity_id", "left_semi")
             .select("entity_id", "timestamp", "event_row_id", score, "is_alert"))
 
 

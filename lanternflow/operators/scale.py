@@ -20,8 +20,7 @@ POS = "_pos"
 CHUNK = "_chunk"
 INDEX = "_index"
 BLOCK = "_block"
-# At most this many keys can exceed total / HOT_KEYS rows, so a table of hot keys is
-# bounded whatever the input size and is safe to broadcast.
+# Up to this many hot keys are broadcast.
 HOT_KEYS = 100_000
 
 
@@ -38,7 +37,8 @@ class HotKeys:
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if self.table is None:
             return df, None
-        keys = F.broadcast(self.table)
+        # rows / limit bounds the number of hot keys; when that is too many to broadcast, they are joined by a shuffle.
+        keys = F.broadcast(self.table) if self.rows // self.limit <= HOT_KEYS else self.table.hint("merge")
         on = list(self.columns)
         return df.join(keys, on, "left_anti"), df.join(keys, on, "left_semi")
 
@@ -48,10 +48,9 @@ def hot_keys(df: DataFrame, columns: Sequence[str], limit: int | None = None) ->
     limit = limit or max_group_rows(df.sparkSession)
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     top, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
-    bar = max(limit, (rows or 0) // HOT_KEYS)
-    if (top or 0) <= bar:
+    if (top or 0) <= limit:
         return HotKeys(tuple(columns), 0, limit, None, rows or 0)
-    table = durable(counts.filter(F.col("_n") > bar))
+    table = durable(counts.filter(F.col("_n") > limit))
     hot_rows = table.agg(F.sum("_n")).first()[0]
     return HotKeys(tuple(columns), hot_rows, limit, table.select(*columns), rows)
 
@@ -170,7 +169,8 @@ def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[s
                   .withColumn(f"hi_{v}", F.lit(None).cast(types[v])))
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
     measured = None
-    for _ in range(8):
+    before = None
+    while True:
         aggs = []
         for v in values:
             x, lo, hi = F.col(v), F.col(f"lo_{v}"), F.col(f"hi_{v}")
@@ -185,6 +185,9 @@ def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[s
                                             F.col(f"in_{v}"))).alias(v) for v in values]).first()
         if max((x or 0) for x in worst) <= limit:
             break
+        if tuple(worst) == before:
+            raise RuntimeError(f"value ranges of {list(values)} stay above {limit} rows: {tuple(worst)}")
+        before = tuple(worst)
         cols = [*by]
         for v in values:
             below, inner = F.col(f"below_{v}"), F.greatest(F.col(f"in_{v}"), F.lit(1))

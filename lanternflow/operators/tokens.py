@@ -74,17 +74,10 @@ class Tokenizer:
         return self.kinds * self.buckets * self.bins + FIRST_KNOWN_ID
 
 
-# Up to this many event types are kept as literals instead of a stored table.
-LITERAL_TYPES = 500
-
-
 def build_tokenizer(destinations: list[str], event_types: DataFrame, edges: list[float]) -> Tokenizer:
-    some = sorted(r[0] for r in event_types.limit(LITERAL_TYPES + 1).collect())
-    if 0 < len(some) <= LITERAL_TYPES:
-        ranked = literal_table(event_types.sparkSession, [
-            F.struct(F.lit(t).alias("event_type"), F.lit(i).alias("ei")) for i, t in enumerate(some)])
-        return Tokenizer(sorted(destinations), ranked, len(some), list(edges))
-    ranked = durable(global_rank(event_types, ["event_type"], "ei").withColumn("ei", F.col("ei").cast("int")))
+    """Number the event types in their order. A null type is no type: its tokens are unknown."""
+    kinds = event_types.filter(F.col("event_type").isNotNull()).distinct()
+    ranked = durable(global_rank(kinds, ["event_type"], "ei").withColumn("ei", F.col("ei").cast("int")))
     return Tokenizer(sorted(destinations), ranked, ranked.count(), list(edges))
 
 

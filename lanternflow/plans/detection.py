@@ -181,7 +181,7 @@ def describe_scores(scored: DataFrame, d: Detector, k: int = 5) -> DataFrame:
 
 
 def top_alerts(events: DataFrame, seq_len: int = 3, top_n: int = 5, buckets: int = 4, target_fpr: float = 0.01,
-               top_k: int = 100, max_per_entity: int = 10) -> DataFrame:
+               top_k: int | None = None, max_per_entity: int | None = None) -> DataFrame:
     """Train on benign training rows, calibrate on benign development rows, list test alerts."""
     from dataclasses import replace
 

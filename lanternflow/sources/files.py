@@ -15,13 +15,18 @@ from lanternflow.schema import EVENT_COLUMNS
 # Columns of the UNSW full release, and a UTF-8 byte order mark read as Latin-1.
 UNSW_COLUMN_COUNT = 49
 LATIN1_BOM = "^ï»¿"
+# A quote inside quoted text is doubled (RFC 4180).
+CSV = {"quote": '"', "escape": '"'}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet by extension, anything else as CSV text with a header; casts come later."""
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Parquet by extension, anything else as CSV text with a header; casts come later.
+
+    ``multi_line`` allows line breaks inside quotes; such files are read whole by one task each.
+    """
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(**CSV).option("header", True).option("multiLine", multi_line).csv(path)
 
 
 def number_rows(events: DataFrame, name: str = "event_row_id") -> DataFrame:
@@ -37,7 +42,7 @@ def load_events(spark: SparkSession, path: str, fmt: str = "auto", **options) ->
 
 def feature_names(spark: SparkSession, path: str, expected: int = UNSW_COLUMN_COUNT) -> list[str]:
     """Column names from the feature description file, in file order of its number column."""
-    rows = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    rows = spark.read.options(**CSV).option("header", True).option("encoding", "ISO-8859-1").csv(path)
     rows = rows.toDF(*[_clean_name(c) for c in rows.columns])
     # One row per column of the data files.
     found = [r["Name"].strip() for r in rows.orderBy(F.col(f"`{rows.columns[0]}`").cast("int")).select("Name").collect()]
@@ -53,7 +58,7 @@ def _clean_name(name: str) -> str:
 def assemble_parts(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Union of headerless CSV parts under the given names, without byte order marks."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("encoding", "ISO-8859-1").csv(list(paths))
+    rows = spark.read.schema(schema).options(**CSV).option("encoding", "ISO-8859-1").csv(list(paths))
     first = names[0]
     return rows.withColumn(first, F.regexp_replace(F.col(f"`{first}`"), LATIN1_BOM, ""))
 

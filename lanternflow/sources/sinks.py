@@ -18,7 +18,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 
