@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from lanternflow.session import durable
 
-__all__ = ["Memo", "Recent", "arrow_groups", "connected_components", "durable", "range_bucket", "runs_of", "table", "text_groups"]
+__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "range_bucket", "runs_of", "table", "text_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, *replaced: str) -> DataFrame:
+    """All columns but the ``replaced`` ones inside one column ``_row``, so that no name inside an operator clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in replaced]).alias("_row"))
+
+
 class Memo(dict):
     """``make(key)`` remembered, for at most ``limit`` keys; then it starts afresh."""
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import durable
+from lanternflow.llm.common import boxed, durable
 from lanternflow.llm.urlfilter import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,18 +93,18 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
     found = phrase_candidates(lookups, postings).join(windows.select("phrase", "len", "items"), "phrase")
     # A document has at most one candidate per start and window length, so the list is no longer than its text.
     per_doc = durable(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("_c")))
-    own = docs.drop("n_words", "n_hit", "hit_spans", "item_ids")
-    joined = own.join(per_doc.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    own = boxed(docs, "n_words", "n_hit", "hit_spans", "item_ids")
+    joined = own.join(per_doc.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left")
     exact = F.filter("_c", lambda c: F.array_join(F.slice("_w", c["start"] + 1, c["len"]), " ") == c["phrase"])
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    return (joined.withColumn("_w", F.when(F.col("_c").isNotNull(), words_of(F.col("text")))).withColumn("_hits", exact)
-            .withColumn("n_words", F.size(_words(F.lower("text"))).cast("long"))
+    return (joined.withColumn("_w", F.when(F.col("_c").isNotNull(), words_of(F.col("_row.text")))).withColumn("_hits", exact)
+            .withColumn("n_words", F.size(_words(F.lower("_row.text"))).cast("long"))
             .withColumn("n_hit", F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
             .withColumn("hit_spans", F.coalesce(F.transform("_hits", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"))),
                                                 F.array().cast("array<struct<start:int,len:int>>")))
             .withColumn("item_ids", F.coalesce(F.array_sort(F.array_distinct(F.transform(
                 F.flatten(F.transform("_hits", lambda c: c["items"])), lambda i: i.cast("string")))), F.array().cast("array<string>")))
-            .drop("_w", "_hits", "_c"))
+            .select("_row.*", "n_words", "n_hit", "hit_spans", "item_ids"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 5) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import durable
+from lanternflow.llm.common import boxed, durable
 
 # Language codes by family. A code that is missing is a family by itself.
 FAMILIES = {
@@ -186,9 +186,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return (docs.select(*own).withColumn("_p", predict(F.col("text")))
-            .select(*own, F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score")))
+    return (boxed(docs, "lang_pred", "score").withColumn("_p", predict(F.col("_row.text")))
+            .select("_row.*", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score")))
 
 
 def fold(doc_id: Column) -> Column:

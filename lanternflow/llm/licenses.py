@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternflow.llm.common import boxed
+
 TRIGGER = r"(?i)licen[cs]e|copyright|all rights reserved|spdx|public domain|without warranty|permission is hereby"
 
 # Notices of common licenses, several wordings each.
@@ -147,7 +149,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def scan(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([scan_text(t) for t in texts], columns=["n", "notices"])
 
-    own = [c for c in docs.columns if c not in ("n_blocks", "notices", "licenses")]
-    found = docs.select(*own).withColumn("_s", scan(F.when(F.col("text").rlike(TRIGGER), F.col("text"))))
-    return found.select(*own, F.col("_s.n").alias("n_blocks"), F.col("_s.notices").alias("notices"),
+    found = boxed(docs, "n_blocks", "notices", "licenses").withColumn(
+        "_s", scan(F.when(F.col("_row.text").rlike(TRIGGER), F.col("_row.text"))))
+    return found.select("_row.*", F.col("_s.n").alias("n_blocks"), F.col("_s.notices").alias("notices"),
                         F.array_sort(F.array_distinct(F.transform("_s.notices", lambda x: x["license"]))).alias("licenses"))

@@ -1,8 +1,8 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-Lines are hashed; a rolling hash over the last two line hashes ends a chunk where it falls
-into one of ``DIVISOR`` classes, so the same run of lines is cut the same way wherever it
-stands. A chunk holds at least two lines. A line of ``long_line`` words or more is a
+Lines are hashed; a chunk ends where the rolling hash over the last two line hashes is smaller
+than at the lines before and after, so the same run of lines is cut the same way wherever it
+stands, and two ends are never neighbours: chunks hold three lines on average. A line of ``long_line`` words or more is a
 passage by itself and always a chunk of its own. Chunks of several lines, and long lines,
 are compared over all documents; the first occurrence (by doc_id, then place) stays and
 later ones are removed.
@@ -22,31 +22,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import durable
+from lanternflow.llm.common import boxed, durable
 
-DIVISOR = 3
 _M = (1 << 64) - 1
 
 
 def line_chunks(text: str, long_line: int = 50) -> list[tuple[int, int, bool]]:
     """(first line, end line, is a long line) of every chunk; together they cover all lines."""
     lines = text.split("\n")
-    chunks, start, before = [], 0, 0
+    chunks: list[tuple[int, int, bool]] = []
+    run: list[int] = []     # rolling hashes of the lines since the last long one
+    start = before = 0
+
+    def cut(end: int) -> None:
+        nonlocal start
+        first, n = start, len(run)
+        for i in range(1, n - 1):
+            if run[i] < run[i - 1] and run[i] <= run[i + 1]:
+                chunks.append((start, first + i + 1, False))
+                start = first + i + 1
+        if start < end:
+            chunks.append((start, end, False))
+        run.clear()
+
     for i, line in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(line)
         if line.count(" ") >= long_line - 1 and len(line.split()) >= long_line:
-            if i > start:
-                chunks.append((start, i, False))
+            cut(i)
             chunks.append((i, i + 1, True))
             start, before = i + 1, 0
-            continue
-        rolled = (h * 0x9E3779B97F4A7C15 + before * 0xC2B2AE3D27D4EB4F) & _M
-        if i > start and (rolled >> 32) % DIVISOR == 0:
-            chunks.append((start, i + 1, False))
-            start = i + 1
-        before = h
-    if start < len(lines):
-        chunks.append((start, len(lines), False))
+        else:
+            h = xxhash.xxh3_64_intdigest(line)
+            run.append((h * 0x9E3779B97F4A7C15 + before * 0xC2B2AE3D27D4EB4F & _M) >> 20)
+            before = h
+    cut(len(lines))
     return chunks
 
 
@@ -137,8 +145,8 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, min_words: int = 10) -> Da
         later = (later.join(differing, "h", "left_anti").select("doc_id", "k", "h")
                  .unionByName(own.join(firsts, ["h", "chunk"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "h")))
     drop = durable(lists(later)).hint("merge")
-    own_columns = [c for c in docs.columns if c != "lines_removed"]
-    joined = docs.select(*own_columns).join(drop, same_id, "left").drop("_id")
-    edited = joined.withColumn("_e", _edit(long_line, min_words)(F.when(F.col("marks").isNotNull(), F.col("text")), F.col("marks")))
-    return (edited.withColumn("text", F.coalesce("_e.text", "text")).withColumn("lines_removed", F.coalesce("_e.lines", F.lit(0)))
-            .select(*own_columns, "lines_removed"))
+    joined = boxed(docs, "lines_removed").join(drop, F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left")
+    edited = joined.withColumn("_e", _edit(long_line, min_words)(F.when(F.col("marks").isNotNull(), F.col("_row.text")), F.col("marks")))
+    own = [F.col(f"_row.`{c}`").alias(c) if c != "text" else F.coalesce("_e.text", "_row.text").alias(c)
+           for c in docs.columns if c != "lines_removed"]
+    return edited.select(*own, F.coalesce("_e.lines", F.lit(0)).alias("lines_removed"))

@@ -81,7 +81,7 @@ class _Encoder:
             ids: list[int] = []
             for w in self.file.split(r):
                 ids += [w] if isinstance(w, int) else [t.id for t in tokenize(
-                    w.decode() if w.isascii() else "".join([letters[b] for b in w]))]
+                    w.decode() if w.isalpha() else "".join([letters[b] for b in w]))]
             yield self._pack(ids)
 
     def many(self, texts: list[str]) -> Iterator[bytes]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import durable, range_bucket
+from lanternflow.llm.common import boxed, durable, range_bucket
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,8 +57,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     """
     spark = urls.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = urls.drop("host", "path", "rule", "verdict")
-    parsed = own.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    address = F.col(f"_row.`{url}`")
+    parsed = boxed(urls, "host", "path", "rule", "verdict").withColumn("host", host_of(address)).withColumn("path", path_of(address))
     known = durable(rules.filter("host IS NOT NULL AND path IS NOT NULL")
                     .groupBy(F.translate("host", UPPER, LOWER).alias("host"), "path")
                     .agg(F.max("verdict").alias("verdict")))
@@ -100,6 +100,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     best = (swept.filter("_kind = 2 AND _top IS NOT NULL").groupBy("host", "path")
             .agg(F.max(F.struct("_n", "_top")).alias("_best")).select("host", "path", "_best._top"))
     found = parsed.join(best, ["host", "path"], "left")
-    return found.select(*[c for c in own.columns], "host", "path",
+    return found.select("_row.*", "host", "path",
                         F.concat(F.col("_top.host"), F.col("_top.path")).alias("rule"),
                         F.coalesce("_top.verdict", F.lit(default)).alias("verdict"))
