@@ -64,16 +64,19 @@ class Recent:
         return found
 
 
-def text_groups(texts: list[str], most: int = 1_000_000) -> Iterator[list[list[str]]]:
-    """The runs of each text, for groups of texts of about ``most`` characters."""
-    start = 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) < most):
-            size += len(texts[end])
-            end += 1
-        yield [runs_of(t) for t in texts[start:end]]
-        start = end
+def text_groups(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[list[str]]]:
+    """The runs of each text (a null is empty), for groups of texts of about ``most`` characters."""
+    group: list[list[str]] = []
+    size = 0
+    for t in texts:
+        t = t.as_py() or ""
+        group.append(runs_of(t))
+        size += len(t)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 # Latin letters without combining marks, and no controls: lower-cased alike by Python and by the library.

@@ -109,22 +109,22 @@ def train_machine(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int
 
     Dual coordinate descent over the rows in their order; ``y`` is 1 or -1.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
     ridge = 1 / (2 * cost)
-    diagonal = np.einsum("ij,ij->i", x, x) + ridge
+    diagonal = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1 + ridge
     for _ in range(rounds):
         moved = 0.0
         for i in range(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + ridge * alpha[i]
+            gradient = y[i] * (x[i] @ w + bias) - 1 + ridge * alpha[i]
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             if (step := new - alpha[i]) != 0.0:
                 w += step * y[i] * x[i]
+                bias += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def fit_languages(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
@@ -162,7 +162,9 @@ def fit_languages(labelled: DataFrame, per_language: int = 1000) -> LanguageMode
         group = group.sort_values(["doc_id", "lang", "x"])
         # Both sides in turn, so that neither is seen in one long run.
         group = group.iloc[np.argsort(group.groupby("y").cumcount().to_numpy(), kind="stable")]
-        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), DIMS).astype(np.float64)
+        x = np.empty((len(group), DIMS), np.float32)
+        for i, packed_row in enumerate(group["x"]):
+            x[i] = np.frombuffer(packed_row, np.float32)
         w = train_machine(x, group["y"].to_numpy())
         return pd.DataFrame({"level": group["level"].iloc[:1], "a": group["a"].iloc[:1], "b": group["b"].iloc[:1], "w": [w]})
 

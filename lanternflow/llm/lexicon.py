@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lanternflow.llm.common import Recent, durable, runs_of, text_groups
 
-SEEN = 220_000   # pieces of text that a worker remembers at least
+SEEN = 100_000   # pieces of text that a worker remembers at least
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -271,7 +271,7 @@ class Codec:
                     ids += self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
             yield len(ids), " ".join(map(str, ids)).encode(), " ".join([token_of[i] for i in ids]).encode()
 
-    def many(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+    def many(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by a space, decoded text) of each text."""
         for group in text_groups(texts):
             known = self.runs.fetch(set().union(*group))
@@ -321,7 +321,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame
         codec = codec_of()
         for batch in batches:
             ids, decoded = [], []
-            for _, i, d in codec.many([t or "" for t in batch.column("text").to_pylist()]):
+            for _, i, d in codec.many(batch.column("text")):
                 ids.append(np.array(i.split(), np.int32))
                 decoded.append(d.decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
@@ -339,7 +339,7 @@ def encoding_digest(docs: DataFrame, path: str, words: int = 262_144) -> DataFra
         codec = codec_of()
         for batch in batches:
             out = []
-            for n, i, d in codec.many([t or "" for t in batch.column("text").to_pylist()]):
+            for n, i, d in codec.many(batch.column("text")):
                 out.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
             n, i, d = zip(*out) if out else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],

@@ -84,7 +84,7 @@ class _Encoder:
                     w.decode() if w.isalpha() else "".join([letters[b] for b in w]))]
             yield self._pack(ids)
 
-    def many(self, texts: list[str]) -> Iterator[bytes]:
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
         for group in text_groups(texts):
             ids = self.runs.fetch(set().union(*group))
             for runs in group:
@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
         with files.open_output_stream(part) as out:
             for batch in batches:
                 offsets, lengths, counts = [], [], []
-                for ids in encoder.many([t or "" for t in batch.column("text").to_pylist()]):
+                for ids in encoder.many(batch.column("text")):
                     record = frame(ids + end)
                     out.write(record)
                     offsets.append(at)
