@@ -87,11 +87,17 @@ def test_default_event_types_make_the_standard_grid(spark):
     assert tok.kinds == 7
 
 
-def test_many_event_types_use_a_stored_table(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "LITERAL_TYPES", 3)
+def test_event_types_are_numbered_in_order(spark):
     df = events(spark, 40).withColumn("event_type", F.concat(F.lit("t"), (F.col("event_row_id") % 7).cast("string")))
     tok = tokens.fit_tokenizer(df, 2, 3)
     assert [(r.event_type, r.ei) for r in tok.event_types.orderBy("ei").collect()] == [(f"t{i}", i) for i in range(7)]
     grid = {r.token_str: r.token_id for r in tokens.vocabulary(tok).collect()}
     assert len(grid) == tok.size - 2
     assert all(grid[r.token_str] == r.token_id for r in tokens.tokenize(df, tok).collect())
+
+
+def test_null_event_type_is_unknown(spark):
+    df = events(spark, 12).withColumn("event_type", F.when(F.col("event_row_id") % 4 != 0, F.col("event_type")))
+    tok = tokens.fit_tokenizer(df, 2, 2)
+    assert tok.kinds == 1
+    assert {r.event_row_id for r in tokens.tokenize(df, tok).filter(F.col("token_id") == tokens.UNK_ID).collect()} == {0, 4, 8}
