@@ -90,4 +90,26 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_url_filter, op4_line_dedup, op5_decontaminate, op6_main_text,
                                    op7_token_files, op8_bpe, op9_minhash, op10_language, pipeline)}
-SQL: dict[str, str] = {}
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_WORDS = "regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL: dict[str, str] = {
+    "op3_url_filter": f"""WITH rules(rh, rp, v) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+ u AS (SELECT page_id, {_FOLD.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, {_REST} AS rest FROM pages)),
+ f AS (SELECT page_id, arg_max({{'r': rh || rp, 'v': v}}, length(rh) * 100000 + length(rp)) AS b FROM u JOIN rules
+  ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)""",
+    "op5_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ win AS (SELECT item_id, s, list_slice(w, s, s + 9) AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+ ph AS (SELECT DISTINCT item_id, len(t) AS n, array_to_string(t, ' ') AS p FROM win),
+ lens AS (SELECT DISTINCT n FROM ph),
+ dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d CROSS JOIN lens WHERE len(w) >= n),
+ g AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS p FROM dw),
+ m AS (SELECT doc_id, s, n, item_id FROM g JOIN ph USING (n, p)),
+ hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM m) GROUP BY 1),
+ its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM
+  (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
