@@ -155,6 +155,8 @@ def fit_languages(labelled: DataFrame, per_language: int = 1000) -> LanguageMode
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if (x := features(t)) is None else x.astype(np.float32).tobytes())
 
+    packed = packed.asNondeterministic()  # else a filter on its result is pushed below and computes it again
+
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     sample = durable(chosen.select("doc_id", "lang", packed(F.col("text")).alias("x")).filter("x IS NOT NULL"))
 
@@ -188,6 +190,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang", "score"])
 
+    predict = predict.asNondeterministic()  # as above: once a row, even if the caller filters by it
+
     return (boxed(docs, "lang_pred", "score").withColumn("_p", predict(F.col("_row.text")))
             .select("_row.*", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score")))
 

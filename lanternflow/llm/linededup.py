@@ -112,7 +112,7 @@ def _edit(long_line: int, min_words: int):
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in dropped), len(dropped)))
         return pd.DataFrame(out, columns=["text", "lines"])
 
-    return edit
+    return edit.asNondeterministic()  # else a filter on its result is pushed below and edits again
 
 
 def dedup_lines(docs: DataFrame, long_line: int = 50, min_words: int = 10) -> DataFrame:
