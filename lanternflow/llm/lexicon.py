@@ -280,7 +280,7 @@ class Codec:
                 yield sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker goes on to other jobs; it need not keep the lexicon of an earlier one
 def _codec(path: str, digest: str, load) -> Codec:
     return Codec(path, load())
 
