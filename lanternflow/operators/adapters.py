@@ -64,7 +64,7 @@ def drop_or_fail(df: DataFrame, bad: Column, drop_malformed: bool) -> DataFrame:
     if not drop_malformed:
         n = df.filter(bad).count()
         if n:
-            raise MalformedRows(f"{n} malformed required rows")
+            raise MalformedRows(f"{n} rows lack a required value or hold one that cannot be read")
     return df.filter(~bad)
 
 
@@ -127,7 +127,7 @@ def adapt_unsw(df: DataFrame, drop_malformed: bool = True, event_types: str = "p
     if event_types not in UNSW_EVENT_TYPES:
         raise ValueError(f"event_types must be one of {UNSW_EVENT_TYPES}")
     df = trim_columns(df)
-    _require(df.columns, UNSW_REQUIRED, "UNSW full-release columns: table")
+    _require(df.columns, UNSW_REQUIRED, "UNSW flow table")
     flag = next((c for c in ("label", "Label") if c in df.columns), None)
     proto = F.lower(F.trim(F.col("proto").cast("string")))
     port = F.trim(F.col("dsport").cast("string"))

@@ -69,7 +69,7 @@ def drift_study(scored: DataFrame, variants: Sequence[str], dev_day: str, target
     """Daily operating points of every threshold policy; the stream must start on ``dev_day``."""
     first = scored.agg(F.min(V.day_of(F.col("timestamp")))).first()[0]
     if first != dev_day:
-        raise ValueError(f"stream must start on the development day {dev_day}")
+        raise ValueError(f"the first day of the data is {first}, not {dev_day}")
     limits = durable(T.day_thresholds(scored, variants, dev_day, target_fpr))
     rows = scored.withColumn("day", V.day_of(F.col("timestamp"))).filter(F.col("day") > dev_day)
     long = long_scores(rows, variants, ["day", "label"])
@@ -187,7 +187,7 @@ def select_candidate(validation: DataFrame, columns: Sequence[str], target_fpr:
     """The winning candidate; an error when none meets the FPR constraint."""
     winner = durable(screen_candidates(validation, columns, target_fpr, latency_p95_ms).filter(F.col("rank") == 1))
     if winner.first() is None:
-        raise RuntimeError("no candidate met the validation FPR constraint")
+        raise RuntimeError("every candidate raises too many false alarms on the validation rows")
     return winner
 
 
@@ -225,7 +225,7 @@ def seed_aggregate(runs: DataFrame, require_seeds: Sequence[int] | None = SEEDS)
                .filter(F.col("seeds") != F.array(*[F.lit(int(s)).cast("bigint") for s in sorted(require_seeds)])))
         bad = odd.first()
         if bad:
-            raise ValueError(f"{bad['dataset']} must contain exactly seeds {list(require_seeds)}; got {bad['seeds']}")
+            raise ValueError(f"runs of {bad['dataset']} have the seeds {bad['seeds']}, wanted {list(require_seeds)}")
     keys = [k for k in [*POINT_KEYS, "macro_recall", "p95_latency_ms"] if k in runs.columns]
     long = runs.select("dataset", *[F.col(k).cast("double") for k in keys]).unpivot(
         ["dataset"], keys, "metric", "value").filter(F.col("value").isNotNull())

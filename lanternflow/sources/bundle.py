@@ -59,7 +59,7 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
     if config.get("schema_version") != SCHEMA_VERSION:
         raise BundleError(f"unsupported bundle schema {config.get('schema_version')!r}")
     if config.get("payload_sha256") != _payload_digest(config):
-        raise BundleError("bundle payload digest mismatch")
+        raise BundleError("the payload of the bundle was changed: its digest differs")
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
     for name, df in tables.items():
         if table_digest(df) != config["table_digests"][name]:

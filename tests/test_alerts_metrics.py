@@ -9,13 +9,27 @@ from lanternflow.plans import studies
 from lanternflow.session import durable
 
 
-def scores(spark):
-    return spark.createDataFrame([("a", 5.0, "x", 1), ("a", 4.0, "allow", 2), ("a", 1.0, "x", 3), ("b", 3.0, "x", 4), ("b", 2.5, "allow", 5)],
-                                 "entity_id string, s double, dst_id string, event_row_id bigint").withColumn("timestamp", F.timestamp_seconds("event_row_id"))
+def scored_flows(spark, n, seed):
+    """Plain rows (entity, time, destination, score, label, id) and the same as a table; scores tie often."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"cam{rng.integers(4)}", int(40 * i + rng.integers(30)), str(rng.choice(["ntp", "proxy", "nas"])),
+             float(rng.integers(0, 13)) / 2, str(rng.choice(["BENIGN", "Worms"], p=[0.7, 0.3])), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id string, t bigint, dst_id string, score double, label string, event_row_id bigint")
+    return rows, durable(df.withColumn("timestamp", F.timestamp_seconds("t")))
+
 
+def open_rows(rows, threshold, listed=(), margin=0.0):
+    return [r for r in rows if r[3] >= threshold + (margin if r[2] in listed else 0)]
 
-def picked(df):
-    return [r.s for r in df.collect()]
+
+def walk(rows, gap):
+    """Ids of the rows that a greedy walk keeps: the first of an entity, then those ``gap`` seconds after the last kept."""
+    kept, last = set(), {}
+    for e, t, *_, i in sorted(rows, key=lambda r: (r[1], r[5])):
+        if e not in last or t - last[e] >= gap:
+            kept.add(i)
+            last[e] = t
+    return kept
 
 
 def test_threshold_rules(spark):
@@ -30,21 +44,29 @@ def test_threshold_rules(spark):
     assert T.operating_thresholds(odd, ["s"], 0.01, {}, {"s": 9.0}) == {"s": 9.0}
 
 
-def test_selection_caps_and_allowlist(spark):
-    assert picked(A.select_alerts(scores(spark), "s", 2.0, 10, 1)) == [5.0, 3.0]
-    assert picked(A.select_alerts(scores(spark), "s", 2.0, 10, 10, ["allow"], 1.5)) == [5.0, 4.0, 3.0]
-    assert picked(A.select_alerts(scores(spark), "s", 2.0, 2)) == [5.0, 4.0]
-    assert picked(A.select_alerts(scores(spark), "s", 2.0)) == [5.0, 4.0, 3.0, 2.5]
+@pytest.mark.parametrize("top, each, listed", [(None, None, []), (9, None, []), (None, 3, ["ntp"]), (7, 2, ["ntp", "nas"])])
+def test_selected_alerts_follow_the_definition(spark, top, each, listed):
+    rows, df = scored_flows(spark, 80, 31)
+    best = sorted(open_rows(rows, 2.5, listed, 1.25), key=lambda r: (-r[3], r[5]))
+    taken = [r for i, r in enumerate(best) if each is None or sum(q[0] == r[0] for q in best[:i]) < each]
+    got = A.select_alerts(df, "score", 2.5, top, each, listed, 1.25).collect()
+    assert [r.event_row_id for r in got] == [r[5] for r in taken[:top]]
 
 
-def test_suppression_before_any_cap(spark):
-    rows = [("e", 0, "ok", 2.1, "BENIGN", 1), ("e", 60, "x", 3.0, "A", 2), ("e", 600, "x", 3.0, "A", 3)]
-    df = spark.createDataFrame(rows, "entity_id string, t bigint, dst_id string, score double, label string, event_row_id bigint")
-    m = durable(A.suppression_masks(df.withColumn("timestamp", F.timestamp_seconds("t")), "score", 2.0, ["ok"], 0.5, 300))
-    got = m.orderBy("event_row_id").collect()
-    assert [r.raw for r in got] == [True] * 3 and [r.kept for r in got] == [False, True, True]
-    rep = A.suppression_report(m).first()
-    assert (rep.raw_alerts, rep.post_suppression_alerts, rep.recall_loss, rep.enabled_by_default) == (3, 2, 0.0, True)
+@pytest.mark.parametrize("seed, gap", [(41, 200), (42, 900)])
+def test_suppression_masks_and_report(spark, seed, gap):
+    rows, df = scored_flows(spark, 120, seed)
+    masks = durable(A.suppression_masks(df, "score", 3.0, ["nas"], 1.0, gap))
+    raw, kept = {r[5] for r in open_rows(rows, 3.0)}, walk(open_rows(rows, 3.0, ["nas"], 1.0), gap)
+    got = masks.collect()
+    assert len(got) == len(rows) and kept < raw
+    assert {r.event_row_id for r in got if r.raw} == raw and {r.event_row_id for r in got if r.kept} == kept
+    worms = {r[5] for r in rows if r[4] == "Worms"}
+    rep = A.suppression_report(masks).first()
+    loss = (len(raw & worms) - len(kept & worms)) / len(worms)
+    assert (rep.raw_alerts, rep.post_suppression_alerts) == (len(raw), len(kept))
+    assert rep.alert_reduction == pytest.approx(1 - len(kept) / len(raw)) and rep.recall_loss == pytest.approx(loss)
+    assert rep.enabled_by_default is (len(kept - worms) <= 0.8 * len(raw - worms) and loss <= 0.01)
 
 
 @pytest.mark.parametrize("gap", [1, 5, 17])
@@ -64,11 +86,16 @@ def labelled(spark, rows):
     return durable(spark.createDataFrame(rows, "label string, score double"))
 
 
-def test_operating_point_with_ties(spark):
-    p = M.operating_point(labelled(spark, [("BENIGN", 0.5), ("BENIGN", 1.0), ("A", 1.0), ("A", 0.0)]), "score", 1.0).first()
-    assert (p.tp, p.fp, p.tn, p.fn, p.benign_alerts_per_10000) == (1, 1, 1, 1, 5000)
-    empty = M.operating_point(labelled(spark, [("A", 1.0)]), "score", 2.0).first()
-    assert (empty.precision, empty.fpr, empty.f1) == (0.0, 0.0, 0.0)
+@pytest.mark.parametrize("cut", [-1.0, 2.5, 3.0, 99.0])
+def test_operating_point_counts(spark, cut):
+    rows, df = scored_flows(spark, 90, 51)
+    tp, fp, fn, tn = (sum((r[4] != "BENIGN") == bad and (r[3] >= cut) == alert for r in rows)
+                      for alert, bad in ((True, True), (True, False), (False, True), (False, False)))
+    p = M.operating_point(df, "score", cut).first()
+    assert (p.tp, p.fp, p.fn, p.tn) == (tp, fp, fn, tn)
+    assert p.precision == (tp / (tp + fp) if tp + fp else 0.0) and p.fpr == fp / (fp + tn)
+    assert p.benign_alerts_per_10000 == pytest.approx(1e4 * fp / (fp + tn))
+    assert p.f1 == pytest.approx(2 * tp / (2 * tp + fp + fn) if tp else 0.0)
 
 
 def brute(y, s):
@@ -99,94 +126,118 @@ def test_ranking_metrics_with_ties_and_families(spark):
         assert fams[f].sample_count == (label == f).sum() and fams[f].n_benign == benign.sum()
 
 
-def test_perfect_and_single_class(spark):
-    f = M.family_metrics(labelled(spark, [("BENIGN", 0.0), ("BENIGN", 0.1), ("A", 0.9), ("A", 0.2)]), "score", 0.5).first()
-    assert (f.sample_count, f.false_negative_count, f.recall, f.roc_auc) == (2, 1, 0.5, 1.0)
-    s = M.detection_summary(labelled(spark, [("BENIGN", 0.0), ("normal", 2.0)]), "score", 1.0).first()
-    assert s.note == "single-class data" and s.roc_auc is None and (s.fp, s.n_total) == (1, 2)
-    only = M.detection_summary(labelled(spark, [("A", 0.0)]), "score", 1.0).first()
-    assert only.note == "single-class data" and only.fn == 1
-
-
-def frame(spark, benign, attacks, cols):
-    rows = [("BENIGN", *[float(i)] * len(cols)) for i in range(benign)] + attacks
-    return durable(spark.createDataFrame(rows, "label string, " + ", ".join(f"{c} double" for c in cols)))
-
-
-def test_candidate_selection_rules(spark):
-    df = frame(spark, 100, [("A", 200.0, 200.0)] * 10 + [("B", 0.0, 200.0)] * 10, ["one", "both"])
-    assert studies.select_candidate(df, ["one", "both"], 0.01, {"one": 1, "both": 2}).first().variant == "both"
-    slack = frame(spark, 37, [("A", 200.0)] * 5, ["score"])
-    assert studies.select_candidate(slack, ["score"], 0.1).first().fpr == pytest.approx(4 / 37)
-    tie = frame(spark, 100, [("A", 200.0, 200.0)] * 10, ["a", "b"])
-    win = studies.select_candidate(tie, ["a", "b"], 0.01, {"b": 5.0}).first()
-    assert (win.variant, win.p95_latency_ms) == ("b", 5.0)
-    flat = durable(spark.createDataFrame([("BENIGN", 1.0)] * 50 + [("A", 1.0)], "label string, s double"))
-    with pytest.raises(RuntimeError, match="no candidate"):
-        studies.select_candidate(flat, ["s"], 0.01)
-
-
-@pytest.mark.parametrize("cand, want", [((0.52, 0.02, 11.0), True), ((0.519, 0.01, 10.0), False), ((0.6, 0.021, 10.0), False), ((0.6, 0.01, None), False)])
-def test_improvement_gate(spark, cand, want):
+@pytest.mark.parametrize("keep", ["BENIGN", "Worms"])
+def test_one_class_alone_has_no_ranking(spark, keep):
+    rows, df = scored_flows(spark, 70, 61)
+    own = [r for r in rows if r[4] == keep]
+    alerts = sum(r[3] >= 2.0 for r in own)
+    s = M.detection_summary(df.filter(F.col("label") == keep), "score", 2.0).first()
+    assert (s.roc_auc, s.pr_auc, s.tpr_at_fpr) == (None, None, None) and s.note
+    assert (s.n_total, s.n_positive, s.fp + s.tp) == (len(own), len(own) if keep == "Worms" else 0, alerts)
+
+
+def test_separated_classes_rank_perfectly(spark):
+    rows, df = scored_flows(spark, 70, 62)
+    apart = df.withColumn("score", F.col("score") + F.when(F.col("label") == "Worms", 50.0).otherwise(0.0))
+    f = M.family_metrics(apart, "score", 51.0).first()
+    worms = [r[3] for r in rows if r[4] == "Worms"]
+    assert (f.family, f.sample_count, f.roc_auc) == ("Worms", len(worms), 1.0)
+    assert f.false_negative_count == sum(v < 1.0 for v in worms) and f.recall == pytest.approx(np.mean(np.array(worms) >= 1.0))
+
+
+def plain_quantile(values, fpr):
+    return float(np.quantile(values, 1 - fpr, method="higher"))
+
+
+def test_winning_candidate_follows_the_definition(spark):
+    rng = np.random.default_rng(71)
+    label = np.array(["BENIGN"] * 140 + ["Worms"] * 25 + ["Generic"] * 9)
+    cols = {"wide": rng.normal(size=174) + (label == "Worms") * 4, "fair": rng.normal(size=174) + (label != "BENIGN") * 3,
+            "dull": rng.normal(size=174), "flat": np.ones(174)}
+    df = durable(spark.createDataFrame([(str(a), *map(float, v)) for a, *v in zip(label, *cols.values())],
+                                       "label string, " + ", ".join(f"{c} double" for c in cols)))
+    benign, want = label == "BENIGN", {}
+    for c, v in cols.items():
+        t = plain_quantile(v[benign], 0.05)
+        want[c] = (t, (v[benign] >= t).mean(), np.mean([(v[label == f] >= t).mean() for f in ("Worms", "Generic")]))
+    got = {r.variant: r for r in studies.screen_candidates(df, list(cols), 0.05).collect()}
+    for c, (t, fpr, macro) in want.items():
+        assert (got[c].threshold, got[c].fpr, got[c].macro_recall) == pytest.approx((t, fpr, macro))
+        assert got[c].eligible is bool(fpr <= 0.05 + 1 / 140 + 1e-12)
+    best = max((c for c in cols if got[c].eligible), key=lambda c: want[c][2])
+    assert studies.select_candidate(df, list(cols), 0.05).first().variant == best
+    twins = df.select("label", "fair", F.col("fair").alias("also"))
+    for fast in ("fair", "also"):
+        assert studies.select_candidate(twins, ["fair", "also"], 0.05, {"fair": 8.0, "also": 8.0, fast: 3.0}).first().variant == fast
+    with pytest.raises(RuntimeError, match="every candidate"):
+        studies.select_candidate(df, ["flat"], 0.05)
+
+
+def test_gate_on_a_grid(spark):
     schema = "macro_recall double, fpr double, p95_latency_ms double"
-    got = M.improvement_gate(spark.createDataFrame([(0.5, 0.01, 10.0)], schema), spark.createDataFrame([cand], schema))
-    assert got.first().improves is want
-    both = M.improvement_gate(spark.createDataFrame([(0.5, 0.01, None)], schema), spark.createDataFrame([(0.6, 0.01, None)], schema))
-    assert both.first().improves is True
-
-
-def drift_rows(relabel=False, future=None):
+    base = (0.25, 0.125, 40.0)
+    for gain in (0.0, 0.015, 0.03):
+        for more in (-0.05, 0.005, 0.02):
+            for slower in (None, 0.5, 1.05, 1.5):
+                new = (base[0] + gain, base[1] + more, slower and base[2] * slower)
+                got = M.improvement_gate(spark.createDataFrame([base], schema), spark.createDataFrame([new], schema)).first().improves
+                assert got is (gain > 0.02 and more < 0.01 and slower is not None and slower < 1.1), new
+
+
+def weeks(spark, seed=81):
+    """Hourly rows of four days; scores rise from day to day, a fifth of the later rows is an attack."""
+    rng = np.random.default_rng(seed)
     rows = []
-    for day, shift in ((4, 0.0), (5, 2.0), (6, 2.0)):
-        rng = np.random.default_rng(0)
-        for i, v in enumerate(rng.normal(shift, 1.0, 200)):
-            attack = day > 4 and i < 20
-            s = 9.0 if attack else float(v)
-            s = future if future is not None and day == 6 else s
-            rows.append((f"2017-07-0{day} 00:{i // 60:02d}:{i % 60:02d}", s, "PortScan" if attack and not (relabel and day == 5) else "BENIGN"))
-    return rows
-
-
-def drift(spark, **kw):
-    df = spark.createDataFrame(drift_rows(**kw), "t string, score double, label string")
-    df = durable(df.select(F.col("t").cast("timestamp").alias("timestamp"), "score", "label"))
-    return {(r.policy, r.day): r for r in studies.drift_study(df, ["score"], "2017-07-04", 0.05).collect()}
-
-
-def test_drift_policies_follow_benign_drift(spark):
-    a = drift(spark)
-    assert set(a) == {(p, f"2017-07-0{d}") for p in T.POLICIES for d in (5, 6)}
-    assert a["frozen", "2017-07-06"].fpr > 0.3 and a["prev_day_benign", "2017-07-06"].fpr < 0.15
-    assert not a["prev_day_unlabeled", "2017-07-05"].labels_used and a["frozen", "2017-07-05"].labels_used
-    t = lambda r: r["prev_day_unlabeled", "2017-07-06"].threshold
-    assert t(a) == t(drift(spark, relabel=True)) == t(drift(spark, future=100.0))
-    with pytest.raises(ValueError, match="development day"):
-        df = spark.createDataFrame(drift_rows(), "t string, score double, label string").withColumn("timestamp", F.col("t").cast("timestamp"))
-        studies.drift_study(df, ["score"], "2017-07-01", 0.05)
-
-
-def fp_stream(spark):
-    rows = [("2017-07-04 00:00:00", "a", "peer", v, "BENIGN", "dst_uniq") for v in np.linspace(0, 1, 100).tolist()]
-    rows += [("2017-07-05 01:00:00", "a", "peer", 0.5, "BENIGN", "dst_uniq")] * 100
-    rows += [("2017-07-05 02:00:00", "new_host", "scanner", 5.0, "BENIGN", "bytes_mean")] * 20
-    rows += [("2017-07-05 03:00:00", "attacker", "peer", 9.0, "PortScan", "dst_uniq")] * 10
-    df = spark.createDataFrame(rows, "t string, entity_id string, dst_id string, score double, label string, top_contributing_feature string")
-    return durable(df.withColumn("timestamp", F.col("t").cast("timestamp")).drop("t"))
-
-
-def test_false_positives_are_attributed(spark):
-    known = spark.createDataFrame([("a",)], "entity_id string")
-    m = durable(studies.mark_false_positives(fp_stream(spark), known, "2017-07-04", 0.05))
-    c = studies.fp_concentration(m).first()
-    assert (c.benign_rows, c.false_positives, c.fp_share_top_1, c.fpr_without_top_5) == (120, 20, 1.0, 0.0)
-    top = studies.fp_top_entities(m).orderBy("rank").first()
-    assert (top.entity_id, top.benign_rows, top.false_positives, top.entity_fpr, top.has_baseline) == ("new_host", 20, 20, 1.0, False)
-    cold = studies.fp_cold_start(m).first()
-    assert (cold.fp_share, cold.fpr_with_baseline) == (1.0, 0.0)
-    peer = studies.fp_top_peers(m).first()
-    assert (peer.peer, peer.false_positives, peer.fp_share, peer.fpr_without_peer) == ("scanner", 20, 1.0, 0.0)
-    assert [tuple(r)[1:] for r in studies.fp_by_feature(m).collect()] == [("bytes_mean", 20, 1.0)]
-    assert {r.hour: r.fpr for r in studies.fp_by_hour(m).collect()} == {1: 0.0, 2: 1.0}
+    for d in range(4):
+        for i in range(120):
+            bad = bool(d and rng.random() < 0.2)
+            rows.append((f"2021-03-{11 + d}", i % 24, f"cam{rng.integers(6 + d)}", str(rng.choice(["ntp", "nas"])),
+                         float(np.round(rng.gamma(2.0, 1.0 + d / 2) + 3 * bad, 1)), "Worms" if bad else "BENIGN", str(rng.choice(["rate", "size"]))))
+    df = spark.createDataFrame(rows, "d string, h int, entity_id string, dst_id string, score double, label string, top_contributing_feature string")
+    return rows, durable(df.withColumn("timestamp", F.expr("cast(d as timestamp) + make_interval(0, 0, 0, 0, h)")).drop("d", "h"))
+
+
+def test_daily_thresholds_of_all_policies(spark):
+    rows, df = weeks(spark)
+    days = sorted({r[0] for r in rows})
+    got = {(r.policy, r.day): r for r in studies.drift_study(df, ["score"], days[0], 0.1).collect()}
+    assert set(got) == {(p, d) for p in T.POLICIES for d in days[1:]}
+    of = lambda day, benign: [r[4] for r in rows if r[0] == day and (r[5] == "BENIGN" or not benign)]
+    for before, day in zip(days, days[1:]):
+        for policy, source in (("frozen", of(days[0], True)), ("prev_day_benign", of(before, True)), ("prev_day_unlabeled", of(before, False))):
+            r, t = got[policy, day], plain_quantile(source, 0.1)
+            assert r.threshold == t and r.labels_used is (policy != "prev_day_unlabeled")
+            assert r.fpr == pytest.approx(np.mean([v >= t for v in of(day, True)]))
+    with pytest.raises(ValueError, match="first day"):
+        studies.drift_study(df, ["score"], days[1], 0.1)
+
+
+def test_false_positive_tables_by_counting(spark):
+    rows, df = weeks(spark, 82)
+    known = {f"cam{i}" for i in range(6)}
+    dev = min(r[0] for r in rows)
+    t = plain_quantile([r[4] for r in rows if r[0] == dev], 0.1)
+    m = durable(studies.mark_false_positives(df, spark.createDataFrame([(k,) for k in known], "entity_id string"), dev, 0.1))
+    benign = [r for r in rows if r[0] > dev and r[5] == "BENIGN"]
+    tables = {name: f(m).collect() for name, f in (("all", studies.fp_concentration), ("top", studies.fp_top_entities), ("cold", studies.fp_cold_start),
+                                                   ("peer", studies.fp_top_peers), ("feature", studies.fp_by_feature), ("hour", studies.fp_by_hour))}
+    for day in sorted({r[0] for r in benign}):
+        at = {name: [r for r in found if r.day == day] for name, found in tables.items()}
+        own = [r for r in benign if r[0] == day]
+        bad = [r for r in own if r[4] >= t]
+        assert (at["all"][0].benign_rows, at["all"][0].false_positives) == (len(own), len(bad))
+        per = {e: sum(r[2] == e for r in bad) for e in {r[2] for r in own}}
+        ranked = sorted(per, key=lambda e: (-per[e], e))
+        assert [r.entity_id for r in sorted(at["top"], key=lambda r: r.rank)] == ranked[:10]
+        assert all(r.has_baseline is (r.entity_id in known) for r in at["top"])
+        assert at["all"][0].fp_share_top_1 == pytest.approx(per[ranked[0]] / len(bad))
+        rest = [r for r in own if r[2] not in ranked[:5]]
+        assert at["all"][0].fpr_without_top_5 == pytest.approx(np.mean([r[4] >= t for r in rest]) if rest else 0.0)
+        assert at["cold"][0].fp_share == pytest.approx(sum(r[2] not in known for r in bad) / len(bad))
+        assert {r.peer: r.false_positives for r in at["peer"]} == {p: n for p in ("ntp", "nas") if (n := sum(r[3] == p for r in bad))}
+        assert {r.top_contributing_feature: r.fp for r in at["feature"]} == {k: n for k in ("rate", "size") if (n := sum(r[6] == k for r in bad))}
+        assert {r.hour: (r.benign_rows, r.fp) for r in at["hour"]} == {
+            h: (sum(r[1] == h for r in own), sum(r[1] == h for r in bad)) for h in {r[1] for r in own}}
 
 
 def test_packets_skip_unknown_rows(spark):
