@@ -152,12 +152,11 @@ def alerts_feed(spark, sf):
  lc AS (SELECT entity_id, max(token_id) FILTER (r = 1) AS t1, max(token_id) FILTER (r = 2) AS t2 FROM lr WHERE r <= 3 GROUP BY 1 HAVING count(*) >= 3),
  {ALL_P.replace('SELECT DISTINCT t2, t1 FROM wst', 'SELECT DISTINCT t2, t1 FROM lc')},
  ents AS (SELECT t2, t1, -sum(p * ln(p + 1e-10)) AS entropy FROM allp GROUP BY ALL)
-SELECT entity_id, round(sum(p), 6) AS p_top5, round(max(p), 6) AS p_best, count(*) AS k, round(any_value(entropy), 6) AS entropy
- FROM lc JOIN ranked USING (t2, t1) JOIN ents USING (t2, t1) WHERE rank <= 5 GROUP BY 1""")
+SELECT entity_id, CAST(rank AS INT) AS rank, CAST(token_id AS INT) AS token_id, round(p, 6) AS p, round(entropy, 6) AS entropy
+ FROM lc JOIN ranked USING (t2, t1) JOIN ents USING (t2, t1) WHERE rank <= 5""")
 def predict(spark, sf):
     p = live.predict_next(flows(spark, sf), shared.detector(spark, sf))
-    return p.groupBy("entity_id").agg(r6(F.sum("p")).alias("p_top5"), r6(F.max("p")).alias("p_best"), F.count(F.lit(1)).alias("k"),
-                                      r6(F.first("entropy")).alias("entropy"))
+    return p.select("entity_id", "rank", "token_id", r6("p").alias("p"), r6("entropy").alias("entropy"))
 
 
 @query("H8_stream_cooldown", recursive("(t / 2)") + f""" SELECT s.event_row_id, coalesce(w.keep, false) AS is_anomaly,

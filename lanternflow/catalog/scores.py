@@ -83,12 +83,13 @@ def next_event_nll(spark, sf):
     return N.with_nll(w, d.model).select("event_row_id", r6("nll").alias("nll"))
 
 
-# Brute force over the whole vocabulary for every context that occurs.
+# Brute force over the whole vocabulary for every context that occurs. Doubles in the order of
+# the Spark expression, so equal probabilities are equal on both sides and ranks compare by row.
 ALL_P = f"""ctx AS (SELECT DISTINCT t2, t1 FROM wst), ids AS (SELECT unnest(range(v)) AS token_id FROM voc),
 allp AS MATERIALIZED (SELECT ctx.t2, ctx.t1, ids.token_id,
-   coalesce(0.5 * coalesce(tri.c, 0) / h2.c2, 0) + coalesce(0.3 * coalesce(pr.c1y, 0) / h1.c1, 0)
-   + (0.2 + CASE WHEN h2.c2 IS NULL THEN 0.5 ELSE 0 END + CASE WHEN h1.c1 IS NULL THEN 0.3 ELSE 0 END)
-     * (coalesce(u.cy, 0) + 0.1) / (tot.n + 0.1 * voc.v) AS p, coalesce(u.cy, 0) AS cy
+   coalesce(0.5::DOUBLE * coalesce(tri.c, 0) / h2.c2, 0.0::DOUBLE) + coalesce(0.3::DOUBLE * coalesce(pr.c1y, 0) / h1.c1, 0.0::DOUBLE)
+   + (0.2::DOUBLE + CASE WHEN h2.c2 IS NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN h1.c1 IS NULL THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+     * ((coalesce(u.cy, 0) + 0.1::DOUBLE) / (tot.n + 0.1::DOUBLE * voc.v)) AS p, coalesce(u.cy, 0) AS cy
  FROM ctx CROSS JOIN ids CROSS JOIN tot CROSS JOIN voc
  LEFT JOIN tri ON ctx.t2 = tri.t2 AND ctx.t1 = tri.t1 AND ids.token_id = tri.token_id
  LEFT JOIN h2 ON ctx.t2 = h2.t2 AND ctx.t1 = h2.t1 LEFT JOIN h1 ON ctx.t1 = h1.t1
@@ -96,12 +97,11 @@ allp AS MATERIALIZED (SELECT ctx.t2, ctx.t1, ids.token_id,
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t2, t1 ORDER BY p DESC, token_id) AS rank FROM allp)"""
 
 
-@query("E9_top_predictions", f"""{C}, {ALL_P} SELECT CAST(t2 AS INT) AS t2, CAST(t1 AS INT) AS t1, round(sum(p), 6) AS p_top5,
- round(max(p), 6) AS p_best, count(*) AS k FROM ranked WHERE rank <= 5 GROUP BY t2, t1""")
+@query("E9_top_predictions", f"""{C}, {ALL_P} SELECT CAST(t2 AS INT) AS t2, CAST(t1 AS INT) AS t1, CAST(rank AS INT) AS rank,
+ CAST(token_id AS INT) AS token_id, round(p, 6) AS p FROM ranked WHERE rank <= 5""")
 def top_predictions(spark, sf):
     top = N.top_predictions(shared.stream(spark, sf), shared.detector(spark, sf).model)
-    return top.groupBy("t2", "t1").agg(r6(F.sum("p")).alias("p_top5"), r6(F.max("p")).alias("p_best"),
-                                       F.count(F.lit(1)).alias("k"))
+    return top.select("t2", "t1", "rank", "token_id", r6("p").alias("p"))
 
 
 @query("E9_prediction_entropy", f"""{C}, {ALL_P} SELECT CAST(t2 AS INT) AS t2, CAST(t1 AS INT) AS t1,
@@ -131,15 +131,18 @@ def bands(spark, sf):
                                            V.severity_band(F.col("score")).alias("severity"))
 
 
-@query("E13_described_scores", f"""{C}, {VOCAB} SELECT event_row_id, coalesce(v.token_str, 'UNK') AS true_next_event,
+@query("E13_described_scores", f"""{C}, {VOCAB}, {ALL_P}, named AS (SELECT t2, t1,
+  string_agg(coalesce(token_str, CASE token_id WHEN 0 THEN 'PAD' ELSE 'UNK' END), ', ' ORDER BY rank) AS predicted_events,
+  string_agg(printf('%.3f', p), ', ' ORDER BY rank) AS predicted_probs
+  FROM ranked LEFT JOIN vocabulary USING (token_id) WHERE rank <= 5 GROUP BY t2, t1)
+SELECT event_row_id, coalesce(v.token_str, 'UNK') AS true_next_event,
  CASE WHEN token_id = 1 THEN '' WHEN di IS NULL THEN 'OTHER' ELSE dst_id END AS dst_parsed, {REASON} AS reason,
- top_contributing_feature || ' deviates from entity baseline' AS combo_reason, 5 AS predicted
- FROM sst LEFT JOIN vocabulary v USING (token_id)""")
+ top_contributing_feature || ' deviates from entity baseline' AS combo_reason, predicted_events, predicted_probs
+ FROM sst LEFT JOIN vocabulary v USING (token_id) LEFT JOIN named USING (t2, t1)""")
 def described(spark, sf):
     d = shared.detector(spark, sf)
     out = D.describe_scores(shared.stream(spark, sf), d)
-    return out.select("event_row_id", "true_next_event", "dst_parsed", "reason", "combo_reason",
-                      F.size(F.split("predicted_events", ", ")).alias("predicted"))
+    return out.select("event_row_id", "true_next_event", "dst_parsed", "reason", "combo_reason", "predicted_events", "predicted_probs")
 
 
 @query("E14_score_stream", f"""{C} SELECT event_row_id, entity_id, round(nll, 6) AS nll, round(nll_z, 6) AS nll_z,

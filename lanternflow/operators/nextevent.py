@@ -20,7 +20,13 @@ CONTEXT = ["t2", "t1"]
 
 @dataclass(frozen=True)
 class NextEventModel:
+    """Stored counts of training triples and of every smaller context."""
+
     triples: DataFrame   # t2, t1, token_id, c
+    contexts: DataFrame  # t2, t1, c2
+    pairs: DataFrame     # t1, token_id, c1y
+    firsts: DataFrame    # t1, c1
+    tokens: DataFrame    # token_id, cy
     total: int
     vocab: int
     l2: float = 0.5
@@ -28,14 +34,6 @@ class NextEventModel:
     l0: float = 0.2
     a: float = 0.1
 
-    @property
-    def pairs(self) -> DataFrame:
-        return self.triples.groupBy("t1", "token_id").agg(F.sum("c").alias("c1y"))
-
-    @property
-    def tokens(self) -> DataFrame:
-        return self.triples.groupBy("token_id").agg(F.sum("c").alias("cy"))
-
     def base_rate(self, cy: Column) -> Column:
         return (F.coalesce(cy, F.lit(0)) + F.lit(self.a)) / F.lit(self.total + self.a * self.vocab)
 
@@ -52,17 +50,22 @@ class NextEventModel:
 
 
 def fit_next_event(windows: DataFrame, vocab: int, **weights: float) -> NextEventModel:
-    """Count (t2, t1, y) on training windows. All smaller contexts are sums of it."""
+    """Count (t2, t1, y) on training windows. All smaller contexts are sums of it.
+
+    Every count table is stored, so that no use and no micro-batch counts again.
+    """
     triples = durable(windows.groupBy(*CONTEXT, "token_id").agg(F.count(F.lit(1)).alias("c")))
-    total = triples.agg(F.sum("c")).first()[0] or 0
-    return NextEventModel(triples, total, vocab, **weights)
+    pairs = durable(triples.groupBy("t1", "token_id").agg(F.sum("c").alias("c1y")))
+    contexts = durable(triples.groupBy(*CONTEXT).agg(F.sum("c").alias("c2")))
+    firsts = durable(pairs.groupBy("t1").agg(F.sum("c1y").alias("c1")))
+    tokens = durable(pairs.groupBy("token_id").agg(F.sum("c1y").alias("cy")))
+    total = tokens.agg(F.sum("cy")).first()[0] or 0
+    return NextEventModel(triples, contexts, pairs, firsts, tokens, total, vocab, **weights)
 
 
 def _with_context_counts(contexts: DataFrame, m: NextEventModel) -> DataFrame:
     """Add ``c2`` and ``c1``, null for contexts that training never saw."""
-    c2 = m.triples.groupBy(*CONTEXT).agg(F.sum("c").alias("c2"))
-    c1 = m.triples.groupBy("t1").agg(F.sum("c").alias("c1"))
-    return contexts.join(c2, CONTEXT, "left").join(c1, "t1", "left")
+    return contexts.join(m.contexts, CONTEXT, "left").join(m.firsts, "t1", "left")
 
 
 def _score_triples(triples: DataFrame, m: NextEventModel) -> DataFrame:
@@ -93,53 +96,75 @@ def with_nll_by_lookup(windows: DataFrame, m: NextEventModel) -> DataFrame:
             .drop("p", "c2y", "c2", "c1y", "c1", "cy"))
 
 
+def _followers(m: NextEventModel) -> DataFrame:
+    """Tokens seen after each t1, ``t1, token_id, u``, with their probability less the share
+    of t2: ``seen`` where training knows the whole context, ``new`` where it knows t1 alone."""
+    near = F.lit(m.l1) * F.col("c1y") / F.col("c1")
+    return m.pairs.join(m.firsts, "t1").join(m.tokens, "token_id").select(
+        "t1", "token_id", m.base_rate(F.col("cy")).alias("u"),
+        (near + F.lit(m.l0) * m.base_rate(F.col("cy"))).alias("seen"),
+        (near + F.lit(m.l0 + m.l2) * m.base_rate(F.col("cy"))).alias("new"))
+
+
 def top_predictions(contexts: DataFrame, m: NextEventModel, k: int = 5) -> DataFrame:
     """The k likeliest next tokens per distinct context: ``t2, t1, rank, token_id, p``.
 
-    Candidates are the tokens seen after t1 and the k most common tokens overall. Any
-    other token has the base rate only, and k candidates are at least as likely.
+    Candidates are the tokens seen after (t2, t1), the k best of those seen after t1 and the k
+    most common ones. Any other token lacks the share of t2, so k candidates come before it: the
+    k best followers if it was seen after t1, else the k most common tokens. Equal probabilities
+    are ranked by the id. The work grows with contexts * k and the triples.
     """
-    distinct = contexts.select(*CONTEXT).distinct()
-    common = m.tokens.orderBy(F.desc("cy"), F.asc("token_id")).limit(k).select("token_id")
+    known = _with_context_counts(contexts.select(*CONTEXT).distinct(), m)
     # At most k ids.
-    ids = [r["token_id"] for r in common.collect()]
-    followers = m.triples.groupBy("t1").agg(F.collect_set("token_id").alias("after"))
-    either = F.array_union(F.coalesce("after", F.array().cast("array<int>")),
-                           F.array(*[F.lit(i) for i in ids]).cast("array<int>"))
-    cand = (distinct.join(followers, "t1", "left")
-            .select(*CONTEXT, F.explode(either).alias("token_id")))
+    ids = [r["token_id"] for r in m.tokens.orderBy(F.desc("cy"), F.asc("token_id")).limit(k).collect()]
+    followers, none = _followers(m), F.array().cast("array<int>")
+
+    def best(value: str) -> DataFrame:
+        w = Window.partitionBy("t1").orderBy(F.desc(value), F.asc("token_id"))
+        ranked = followers.select("t1", "token_id", value).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+        return ranked.groupBy("t1").agg(F.collect_list(F.col("token_id").cast("int")).alias(f"best_{value}"))
+
+    after = F.when(F.col("c2").isNull(), F.col("best_new")).otherwise(F.col("best_seen"))
+    shared = F.array_union(F.coalesce(after, none), F.array(*[F.lit(i) for i in ids]).cast("array<int>"))
+    general = (known.join(best("seen"), "t1", "left").join(best("new"), "t1", "left")
+               .select(*CONTEXT, F.explode(shared).alias("token_id")))
+    own = m.triples.join(known.select(*CONTEXT), CONTEXT, "left_semi").select(*CONTEXT, F.col("token_id").cast("int").alias("token_id"))
     rank = F.row_number().over(Window.partitionBy(*CONTEXT).orderBy(F.desc("p"), F.asc("token_id")))
-    return (_score_triples(cand, m).select(*CONTEXT, "token_id", "p").withColumn("rank", rank)
+    return (_score_triples(general.unionByName(own).distinct(), m).select(*CONTEXT, "token_id", "p").withColumn("rank", rank)
             .filter(F.col("rank") <= k))
 
 
 def prediction_entropy(contexts: DataFrame, m: NextEventModel) -> DataFrame:
     """Entropy of the whole next-token distribution per distinct context.
 
-    Tokens that never follow t1 only have the base rate, so their share of the sum is
-    the sum over all tokens (one number per base weight) minus the followers' part.
+    The sum over all tokens by base rate alone is one number per base weight. The tokens seen
+    after t1 correct it once per t1, those seen after (t2, t1) once per context, so the work
+    grows with the pairs and triples of the model.
     """
     def part(p: Column) -> Column:
         return -(p * F.ln(p + F.lit(1e-10)))
 
-    distinct = _with_context_counts(contexts.select(*CONTEXT).distinct(), m)
-    weighted = distinct.withColumn("w0", m.base_weight(F.col("c2"), F.col("c1")))
+    known = _with_context_counts(contexts.select(*CONTEXT).distinct(), m)
     levels = [(x, y, m.l0 + (m.l2 if x else 0.0) + (m.l1 if y else 0.0)) for x in (True, False) for y in (True, False)]
-    seen = m.tokens.select(m.base_rate(F.col("cy")).alias("u")).agg(
+    rates = m.tokens.select(m.base_rate(F.col("cy")).alias("u")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(part(F.lit(w) * F.col("u"))).alias(f"s{i}") for i, (_, _, w) in enumerate(levels)]).first()
     u0 = m.a / (m.total + m.a * m.vocab)
     whole: Column = F.lit(None).cast("double")
     for i, (no_h2, no_h1, w) in enumerate(levels):
-        total = F.lit(seen[f"s{i}"] or 0.0) + (m.vocab - seen["n"]) * part(F.lit(w * u0))
+        total = F.lit(rates[f"s{i}"] or 0.0) + (m.vocab - rates["n"]) * part(F.lit(w * u0))
         whole = F.when((F.col("c2").isNull() == no_h2) & (F.col("c1").isNull() == no_h1), total).otherwise(whole)
-    followers = m.triples.select("t1", "token_id").distinct()
-    pairs = weighted.select(*CONTEXT, "w0").join(followers, "t1")
-    gain = (_score_triples(pairs, m).select(*CONTEXT, (
-        part(F.col("p")) - part(F.col("w0") * m.base_rate(F.col("cy")))).alias("d"))
-        .groupBy(*CONTEXT).agg(F.sum("d").alias("d")))
-    return weighted.join(gain, CONTEXT, "left").select(
-        *CONTEXT, (whole + F.coalesce("d", F.lit(0.0))).alias("entropy"))
+    followers = _followers(m)
+    by_first = followers.groupBy("t1").agg(
+        F.sum(part(F.col("seen")) - part(F.lit(m.l0) * F.col("u"))).alias("d_seen"),
+        F.sum(part(F.col("new")) - part(F.lit(m.l0 + m.l2) * F.col("u"))).alias("d_new"))
+    full = F.lit(m.l2) * F.col("c") / F.col("c2") + F.col("seen")
+    by_context = (m.triples.join(known.filter("c2 IS NOT NULL").select(*CONTEXT, "c2"), CONTEXT)
+                  .join(followers, ["t1", "token_id"])
+                  .groupBy(*CONTEXT).agg(F.sum(part(full) - part(F.col("seen"))).alias("d_own")))
+    first = F.when(F.col("c2").isNull(), F.col("d_new")).otherwise(F.col("d_seen"))
+    return known.join(by_first, "t1", "left").join(by_context, CONTEXT, "left").select(
+        *CONTEXT, (whole + F.coalesce(first, F.lit(0.0)) + F.coalesce("d_own", F.lit(0.0))).alias("entropy"))
 
 
 def evaluate_next_event(windows: DataFrame, m: NextEventModel, k: int = 5) -> DataFrame:

@@ -12,8 +12,9 @@ from lanternflow.operators.tokens import Tokenizer
 from lanternflow.plans.detection import Detector
 from lanternflow.sources.digests import table_digest
 
-SCHEMA_VERSION = "1.0"
-TABLES = ["profiles", "triples", "event_types"]
+SCHEMA_VERSION = "1.1"
+COUNTS = ["triples", "contexts", "pairs", "firsts", "tokens"]
+TABLES = ["profiles", "event_types", *COUNTS]
 
 
 class BundleError(RuntimeError):
@@ -27,7 +28,7 @@ def _payload_digest(config: dict) -> str:
 
 
 def _tables(d: Detector) -> dict[str, DataFrame]:
-    return {"profiles": d.profiles, "triples": d.model.triples, "event_types": d.tokenizer.event_types}
+    return {"profiles": d.profiles, "event_types": d.tokenizer.event_types} | {n: getattr(d.model, n) for n in COUNTS}
 
 
 def save_detector(d: Detector, path: str, dataset: dict | None = None) -> str:
@@ -70,7 +71,7 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
         raise BundleError("bundle and model vocabulary sizes differ")
     if config["seq_len"] < 2:
         raise BundleError("the next-event model needs two context tokens")
-    return Detector(tok, NextEventModel(tables["triples"], **config["model"]), tables["profiles"],
+    return Detector(tok, NextEventModel(*[tables[n] for n in COUNTS], **config["model"]), tables["profiles"],
                     config["global_nll"]["mean"], config["global_nll"]["std"], config["global_median"],
                     config["global_scale"], config["seq_len"], config["features"], config["variant"],
                     config["threshold"], config["allowlist"], config["allowlist_margin"],
