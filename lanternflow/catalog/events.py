@@ -328,21 +328,23 @@ def chronological_split_ties(spark, sf):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_at"))
 
 
-@query("B15_entity_holdout", f"""{WITH}, n AS (SELECT count(DISTINCT entity_id) AS n FROM flows),
- p AS (SELECT n, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS a, greatest(1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) AS b FROM n)
-SELECT 'train' AS split, a AS entities, a AS own FROM p UNION ALL SELECT 'val', b, b FROM p UNION ALL SELECT 'test', n - a - b, n - a - b FROM p""")
+# Entities in the order of 60 bits of the SHA-256 of "42:entity"; the first 70% and the next 15% of them.
+HELD = """ents AS (SELECT entity_id, row_number() OVER (ORDER BY CAST('0x' || substr(sha256('42:' || entity_id), 1, 15) AS BIGINT), entity_id) - 1 AS k,
+  count(*) OVER () AS n FROM (SELECT DISTINCT entity_id FROM flows)),
+held AS (SELECT entity_id, CASE WHEN k < greatest(1, floor(n * 0.7::DOUBLE)) THEN 'train'
+  WHEN k < greatest(1, floor(n * 0.7::DOUBLE)) + greatest(1, floor(n * 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM ents)"""
+
+
+@query("B15_entity_holdout", f"{WITH}, {HELD} SELECT event_row_id, entity_id, part AS split FROM flows JOIN held USING (entity_id)")
 def entity_holdout(spark, sf):
-    """Part sizes in entities; ``own`` counts those that occur in no other part."""
-    parts = splits.entity_holdout(flows(spark, sf).drop("split"), 0.7, 0.15, 42).select("entity_id", "split").distinct()
-    single = parts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split"))
-    own = single.filter(F.col("n") == 1).groupBy("split").agg(F.count(F.lit(1)).alias("own"))
-    return parts.groupBy("split").agg(F.count(F.lit(1)).alias("entities")).join(own, "split", "left")
+    return splits.entity_holdout(flows(spark, sf).drop("split"), 0.7, 0.15, 42).select("event_row_id", "entity_id", "split")
 
 
-@query("B16_entity_then_time")
+@query("B16_entity_then_time", f"""{WITH}, {HELD}, placed AS (SELECT event_row_id, part, count(*) OVER (PARTITION BY part) AS m,
+  row_number() OVER (PARTITION BY part ORDER BY "timestamp", event_row_id) - 1 AS i FROM flows JOIN held USING (entity_id))
+SELECT event_row_id, part AS split FROM placed WHERE i < floor(m * CASE part WHEN 'train' THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END)""")
 def entity_then_time(spark, sf):
-    return splits.entity_then_time(flows(spark, sf).drop("split"), 0.7, 0.15, 42).groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("timestamp").alias("last"))
+    return splits.entity_then_time(flows(spark, sf).drop("split"), 0.7, 0.15, 42).select("event_row_id", "split")
 
 
 @query("B17_early_stop_cut", f"{WITH} " + _rank_sql(
@@ -358,11 +360,11 @@ def content_hash_split(spark, sf):
     return splits.content_hash_split(table(spark, sf, "documents"), F.sha2("text", 256), 0.2).select("doc_id", "split")
 
 
-@query("B20_seeded_random_split", """WITH n AS (SELECT count(*) AS n FROM documents)
-SELECT 'train' AS split, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS "rows" FROM n UNION ALL SELECT 'val', n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) FROM n""")
+@query("B20_seeded_random_split", """SELECT doc_id, CASE WHEN k < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (
+ SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY CAST('0x' || substr(sha256('42:' || doc_id), 1, 15) AS BIGINT), doc_id) - 1 AS k
+ FROM documents)""")
 def seeded_random_split(spark, sf):
-    return splits.seeded_random_split(table(spark, sf, "documents"), "doc_id", 0.2, 42).groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"))
+    return splits.seeded_random_split(table(spark, sf, "documents"), "doc_id", 0.2, 42).select("doc_id", "split")
 
 
 TOK = f"WITH {TOKENS}"

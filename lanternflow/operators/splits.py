@@ -53,13 +53,19 @@ def early_stop_cut(df: DataFrame, fraction: float = 0.9, tie: str = "event_row_i
     return _by_cuts(timed, ["_at", tie], {"train": int(n * fraction)}, "early", n).drop("_at")
 
 
+def _seeded_rank(key: str, seed: int) -> Column:
+    """Sixty bits of the SHA-256 of ``seed:key``, which any engine can compute; a null key counts as empty."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 15), 16, 10).cast("long")
+
+
 def entity_holdout(df: DataFrame, train: float, val: float, seed: int) -> DataFrame:
     """Disjoint entities per part, in the order of a seeded hash.
 
     Parts hold ``max(1, int(n*f))`` entities. The rows are labelled by comparing their
     hash with two cut values, without a join.
     """
-    hashed = df.withColumn("_h", F.xxhash64("entity_id", F.lit(seed)))
+    hashed = df.withColumn("_h", _seeded_rank("entity_id", seed))
     entities = hashed.select("_h", "entity_id").distinct()
     n = entities.count()
     a = max(1, int(n * train))
@@ -91,6 +97,6 @@ def content_hash_split(df: DataFrame, digest: Column, val_fraction: float) -> Da
 
 def seeded_random_split(df: DataFrame, key: str, val_fraction: float, seed: int) -> DataFrame:
     """Random split of exact size that does not depend on the partitioning."""
-    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    hashed = df.withColumn("_h", _seeded_rank(key, seed))
     n = df.count()
     return _by_cuts(hashed, ["_h", key], {"train": int(n * (1.0 - val_fraction))}, "val", n).drop("_h")
