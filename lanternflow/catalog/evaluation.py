@@ -24,12 +24,12 @@ D = f"WITH {DOCS}"
 POINT = ["recall", "precision", "f1", "fpr", "benign_alerts_per_10000"]
 
 
-def point_sql(source: str, by: str = "", hit: str = "score >= t") -> str:
+def point_sql(source: str, by: str = "", hit: str = "score >= t", digits: int = 6) -> str:
     keys = f"{by}, " if by else ""
     group = f" GROUP BY {by}" if by else ""
-    return f"""SELECT {keys}tp, fp, tn, fn, round(coalesce(recall, 0), 6) AS recall, round(coalesce("precision", 0), 6) AS "precision",
- round(coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0), 6) AS f1, round(coalesce(fpr, 0), 6) AS fpr,
- round(coalesce(10000 * fpr, 0), 6) AS benign_alerts_per_10000 FROM (SELECT *, tp / nullif(tp + fn, 0) AS recall,
+    return f"""SELECT {keys}tp, fp, tn, fn, round(coalesce(recall, 0), {digits}) AS recall, round(coalesce("precision", 0), {digits}) AS "precision",
+ round(coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0), {digits}) AS f1, round(coalesce(fpr, 0), {digits}) AS fpr,
+ round(coalesce(10000 * fpr, 0), {digits}) AS benign_alerts_per_10000 FROM (SELECT *, tp / nullif(tp + fn, 0) AS recall,
  coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", fp / nullif(fp + tn, 0) AS fpr FROM (SELECT {keys}
  count(*) FILTER (label <> 'BENIGN' AND {hit}) AS tp, count(*) FILTER (label = 'BENIGN' AND {hit}) AS fp,
  count(*) FILTER (label = 'BENIGN' AND NOT {hit}) AS tn, count(*) FILTER (label <> 'BENIGN' AND NOT {hit}) AS fn FROM {source}{group}))"""
@@ -163,10 +163,10 @@ def candidate_scores(spark, sf):
 
 
 def _multi_timescale_sql() -> str:
-    names = multiscale_names((8,))
+    names = multiscale_names((8, 32, 128))
     order = '"timestamp", event_row_id'
-    fit = multiscale_sql("tr", (8,), order, "entity_id", rounded=False)
-    dev = multiscale_sql("(SELECT * FROM flows WHERE split = 'dev')", (8,), order, "event_row_id, entity_id", rounded=False)
+    fit = multiscale_sql("tr", (8, 32, 128), order, "entity_id", rounded=False)
+    dev = multiscale_sql("(SELECT * FROM flows WHERE split = 'dev')", (8, 32, 128), order, "event_row_id, entity_id", rounded=False)
     gmed = ", ".join(f"median({f}) AS med_{f}, greatest(0.25 * stddev_pop({f}), 1e-3) AS floor_{f}" for f in names)
     gall = ", ".join(f"any_value(g.med_{f}) AS med_{f}, greatest(1.4826 * median(abs(n.{f} - g.med_{f})), any_value(g.floor_{f})) AS scale_{f}"
                      for f in names)
@@ -185,9 +185,9 @@ FROM mdev d JOIN sst s ON s.event_row_id = d.event_row_id CROSS JOIN mga g LEFT
 @query("G10_candidate_join", _multi_timescale_sql())
 def candidate_join(spark, sf):
     """The candidates that SQL can express, joined on the row id."""
-    names = multiscale_names((8,))
-    train = durable(multiscale_features(shared.benign_train(spark, sf), (8,)).select("entity_id", "event_row_id", *names))
-    dev = multiscale_features(flows(spark, sf).filter(F.col("split") == "dev"), (8,)).select("entity_id", "event_row_id", *names)
+    names = multiscale_names((8, 32, 128))
+    train = durable(multiscale_features(shared.benign_train(spark, sf), (8, 32, 128)).select("entity_id", "event_row_id", *names))
+    dev = multiscale_features(flows(spark, sf).filter(F.col("split") == "dev"), (8, 32, 128)).select("entity_id", "event_row_id", *names)
     z = B.with_combo_score(B.with_robust_z(dev, B.fit_baselines(train, names)), names, name="multi_timescale")
     scored = shared.stream(spark, sf).select("event_row_id", "label", "nll_z", "score")
     return scored.join(z.select("event_row_id", "multi_timescale"), "event_row_id").select(
@@ -334,11 +334,11 @@ def _fold_runs(spark, sf):
     return files.read_runs(spark, path, "docs")
 
 
-_FOLDS = f"""{D}, d AS (SELECT doc_id % 3 + 42 AS seed, label, score, 500.0 AS t FROM docs), p AS ({point_sql('d', 'seed')}),
+_FOLDS = f"""{D}, d AS (SELECT doc_id % 3 + 42 AS seed, label, score, 500.0 AS t FROM docs), p AS ({point_sql('d', 'seed', digits=12)}),
  fam AS (SELECT seed, label AS family, count(*) AS sample_count, avg(CAST(score >= t AS DOUBLE)) AS recall FROM d WHERE label <> 'BENIGN' GROUP BY ALL)"""
 
 
-@query("A8_read_runs", f"""{_FOLDS} SELECT seed, recall, "precision", f1, fpr, round(macro, 6) AS macro_recall FROM p
+@query("A8_read_runs", f"""{_FOLDS} SELECT seed, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(f1, 6) AS f1, round(fpr, 6) AS fpr, round(macro, 6) AS macro_recall FROM p
  JOIN (SELECT seed, avg(recall) AS macro FROM fam GROUP BY 1) USING (seed)""")
 def read_runs(spark, sf):
     return _fold_runs(spark, sf).select("seed", *[r6(c).alias(c) for c in ("recall", "precision", "f1", "fpr", "macro_recall")])
@@ -346,11 +346,12 @@ def read_runs(spark, sf):
 
 @query("G15_seed_aggregate", f"""{_FOLDS}, w AS (SELECT p.*, macro AS macro_recall FROM p JOIN (SELECT seed, avg(recall) AS macro FROM fam GROUP BY 1) USING (seed)),
  l AS (UNPIVOT (SELECT CAST(recall AS DOUBLE) AS recall, CAST("precision" AS DOUBLE) AS "precision", CAST(f1 AS DOUBLE) AS f1, CAST(fpr AS DOUBLE) AS fpr,
-  CAST(macro_recall AS DOUBLE) AS macro_recall FROM w) ON COLUMNS(*) INTO NAME metric VALUE v)
-SELECT metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, count(*) AS n_runs FROM l GROUP BY 1""")
+  CAST(benign_alerts_per_10000 AS DOUBLE) AS benign_alerts_per_10000, CAST(macro_recall AS DOUBLE) AS macro_recall FROM w)
+  ON COLUMNS(*) INTO NAME metric VALUE v)
+SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_runs FROM l GROUP BY 1""")
 def seed_aggregate(spark, sf):
-    a = studies.seed_aggregate(_fold_runs(spark, sf)).filter(F.col("metric") != "benign_alerts_per_10000")
-    return a.select("metric", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n_runs")
+    a = studies.seed_aggregate(_fold_runs(spark, sf))
+    return a.select("metric", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
 
 
 @query("G16_family_aggregate", f"""{_FOLDS} SELECT family, round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS std, count(*) AS n_runs,

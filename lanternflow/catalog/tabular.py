@@ -92,8 +92,8 @@ def evaluation_row(spark, sf):
 @query("E11_isolation_forest")
 def isolation_forest(spark, sf):
     """Forest on the training behaviour, scores for every later event."""
-    names = multiscale_names((8,))
-    train = durable(multiscale_features(shared.benign_train(spark, sf), (8,)).select("event_row_id", *names))
+    names = multiscale_names((8, 32, 128))
+    train = durable(multiscale_features(shared.benign_train(spark, sf), (8, 32, 128)).select("event_row_id", *names))
     forest, size = iforest.fit_forest(train, "event_row_id", names, 42)
-    rows = multiscale_features(flows(spark, sf).filter(F.col("split") != "train"), (8,))
+    rows = multiscale_features(flows(spark, sf).filter(F.col("split") != "train"), (8, 32, 128))
     return iforest.with_isolation_score(rows, forest, size, names).select("event_row_id", "isolation_forest")

@@ -85,15 +85,15 @@ SUPPLIER = """supplier_flows AS (SELECT l_orderkey * 8 + l_linenumber AS event_r
 
 
 @query("D3_multiscale_long_entities", f"WITH {SUPPLIER} SELECT * FROM (" + multiscale_sql(
-    "supplier_flows", (8, 32), '"timestamp", event_row_id, dst_id, bytes', 'entity_id, event_row_id, dst_id') + ")")
+    "supplier_flows", (8, 32, 128), '"timestamp", event_row_id, dst_id, bytes', 'entity_id, event_row_id, dst_id') + ")")
 def multiscale_long(spark, sf):
     """Hundreds of rows per entity, many on the same day; the row id is made unique for ties."""
     rows = supplier_flows(spark, sf)
     # Two lines may share order and line number, so the tie key gets the part and price as well.
     rows = rows.withColumn("event_row_id", F.struct("event_row_id", "dst_id", "bytes"))
-    out = W.multiscale_features(rows, (8, 32))
+    out = W.multiscale_features(rows, (8, 32, 128))
     return out.select("entity_id", F.col("event_row_id.event_row_id").alias("event_row_id"), "dst_id",
-                      *[r6(c).alias(c) for c in W.multiscale_names((8, 32))])
+                      *[r6(c).alias(c) for c in W.multiscale_names((8, 32, 128))])
 
 
 @query("D4_last_token_accuracy", f"WITH {MODEL} SELECT round(avg(CAST(t1 = token_id AS DOUBLE)), 6) AS last_token_accuracy FROM wtr")
