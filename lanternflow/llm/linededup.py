@@ -3,9 +3,16 @@
 Lines are hashed; a chunk ends where the rolling hash over the last two line hashes is smaller
 than at the lines before and after, so the same run of lines is cut the same way wherever it
 stands, and two ends are never neighbours: chunks hold three lines on average. A line of ``long_line`` words or more is a
-passage by itself and always a chunk of its own. Chunks of several lines, and long lines,
-are compared over all documents; the first occurrence (by doc_id, then place) stays and
-later ones are removed.
+passage by itself and always a chunk of its own.
+
+A run that is shared by two documents need not hold a whole chunk. So from every line the
+shortest run of lines that reaches ``long_line`` words is taken too, once down and once up. Any
+shared run of that many words is covered by such runs inside it: of a line in it, either the
+rest down to its end or up to its start is long enough, or the run that begins at its start
+reaches over the line.
+
+Chunks of several lines, long lines and these runs are compared over all documents; the first
+occurrence (by doc_id, then place) stays and later ones are removed.
 
 A chunk hash is 128 bits wide. Before anything is removed, the bytes of all chunks with one
 hash are compared: their smallest and largest text, combined map-side, must be the same.
@@ -58,14 +65,39 @@ def line_chunks(text: str, long_line: int = 50) -> list[tuple[int, int, bool]]:
     return chunks
 
 
-def _repeatable(text: str, long_line: int, min_words: int) -> Iterator[tuple[int, bytes, str]]:
-    """(index, hash, text) of the chunks that may be removed."""
+def passage_spans(words: list[int], reach: int) -> set[tuple[int, int]]:
+    """(first line, end line) of the shortest runs of lines with ``reach`` words, from every line down and up.
+
+    ``words`` are the counts of the lines. Runs neither begin nor end with a line without words.
+    """
+    spans = set()
+    end = total = 0
+    for a, n in enumerate(words):
+        while total < reach and end < len(words):
+            total += words[end]
+            end += 1
+        if total >= reach and n:
+            spans.add((a, end))
+        total -= n
+    start = total = 0
+    for b, n in enumerate(words):
+        total += n
+        while total - words[start] >= reach:
+            total -= words[start]
+            start += 1
+        if total >= reach and n:
+            spans.add((start, b + 1))
+    return spans
+
+
+def _repeatable(text: str, long_line: int, min_words: int) -> Iterator[tuple[int, bytes, str, tuple[int, int]]]:
+    """(index, hash, text, lines) of the chunks and runs that may be removed, in order of their lines."""
     lines = text.split("\n")
-    for k, (a, b, long) in enumerate(line_chunks(text, long_line)):
-        if b - a > 1 or long:
-            chunk = "\n".join(lines[a:b])
-            if len(chunk.split()) >= min_words:
-                yield k, xxhash.xxh3_128_digest(chunk), chunk
+    words = [len(line.split()) for line in lines]
+    spans = {(a, b) for a, b, long in line_chunks(text, long_line) if (b - a > 1 or long) and sum(words[a:b]) >= min_words}
+    for k, (a, b) in enumerate(sorted(spans | passage_spans(words, max(long_line, min_words)))):
+        chunk = "\n".join(lines[a:b])
+        yield k, xxhash.xxh3_128_digest(chunk), chunk, (a, b)
 
 
 def _chunk_rows(base: DataFrame, long_line: int, min_words: int) -> DataFrame:
@@ -73,7 +105,7 @@ def _chunk_rows(base: DataFrame, long_line: int, min_words: int) -> DataFrame:
         for batch in batches:
             ids, at, hashes = [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                for k, h, _ in _repeatable(text.as_py() or "", long_line, min_words):
+                for k, h, *_ in _repeatable(text.as_py() or "", long_line, min_words):
                     ids.append(doc_id.as_py())
                     at.append(k)
                     hashes.append(h)
@@ -89,7 +121,7 @@ def _chunk_texts(listed: DataFrame, long_line: int, min_words: int) -> DataFrame
             out = []
             for doc_id, text, marks in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")]):
                 wanted = {(m["k"], bytes(m["h"])) for m in marks}
-                out += [(h, chunk, doc_id, k) for k, h, chunk in _repeatable(text or "", long_line, min_words) if (k, h) in wanted]
+                out += [(h, chunk, doc_id, k) for k, h, chunk, _ in _repeatable(text or "", long_line, min_words) if (k, h) in wanted]
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64(), pa.int32()))],
                                   ["h", "chunk", "doc_id", "k"])
@@ -106,9 +138,17 @@ def _edit(long_line: int, min_words: int):
                 out.append((None, None))
                 continue
             gone = {(m["k"], bytes(m["h"])) for m in drop}
-            spans, lines = line_chunks(text, long_line), text.split("\n")
-            cut = [spans[k][:2] for k, h, _ in _repeatable(text, long_line, min_words) if (k, h) in gone]
-            dropped = {i for a, b in cut for i in range(a, b)}
+            hashes = {h for _, h in gone}
+            lines, dropped = text.split("\n"), set()
+            firsts: dict[str, tuple[int, int]] = {}     # lines of the first occurrence, if it is in this text
+            for k, h, chunk, (a, b) in _repeatable(text, long_line, min_words):
+                if (k, h) in gone:
+                    c, d = firsts.get(chunk, (0, 0))
+                    dropped.update(i for i in range(a, b) if not c <= i < d)
+                elif h in hashes:
+                    firsts.setdefault(chunk, (a, b))
+            if dropped and not any(x.strip() for i, x in enumerate(lines) if i not in dropped):
+                dropped.update(range(len(lines)))
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in dropped), len(dropped)))
         return pd.DataFrame(out, columns=["text", "lines"])
 
@@ -119,8 +159,10 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, min_words: int = 10) -> Da
     """``docs(doc_id, text, ...)`` with repeated chunks taken out of ``text``, and ``lines_removed``.
 
     The first occurrence of a chunk, in the smallest doc_id (null before all) and there the
-    first, stays. Chunks of fewer than ``min_words`` words stay. A text is null only if it was;
-    one whose every line was removed is empty. Rows that repeat a doc_id and a text are the
+    first, stays; a later one that overlaps it loses only its other lines. Runs of lines with
+    ``long_line`` words or more are all found; shorter ones are if they make whole chunks of at
+    least ``min_words`` words. A text is null only if it was; one of which only lines without
+    words would be left is empty. Rows that repeat a doc_id and a text are the
     same occurrence, so neither loses to the other. All other columns stay; a column
     ``lines_removed`` is replaced. An empty table gives none.
     """

@@ -140,6 +140,41 @@ def test_line_chunks_are_removed_after_the_first(spark):
     assert found[8][1] >= 28
 
 
+@pytest.mark.parametrize("lines,words", [(5, 12), (3, 40), (4, 13), (2, 26), (7, 8)])
+def test_short_runs_of_fifty_words_are_removed(spark, lines, words):
+    texts, want = [], {}
+    for seed in range(12):
+        passage = [prose(1000 * seed + i, words) for i in range(lines)]
+        if seed % 3 == 0:
+            passage = [prose(9000 + seed, 60), "short line", *passage[:-1], "", passage[-1]]
+        for copy in range(2):
+            around = [[prose(7 * (100 * seed + 10 * copy + i) + 5, 9) for i in range(4)] for _ in range(2)]
+            around[1] = [x + " z" for x in around[1]]
+            texts.append("\n".join([*around[0], *passage, *around[1]]))
+            want[len(texts) - 1] = ("\n".join([*around[0], *around[1]]), len(passage)) if copy else (texts[-1], 0)
+    assert by_id(linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)), "text", "lines_removed") == want
+
+
+def test_overlapping_repeats_leave_the_first(spark):
+    line = prose(3, 20)
+    texts = ["\n".join([line] * 7), "\n".join(["", "", prose(4, 30), "", prose(5, 30), ""]), "\n".join([prose(4, 30), "", prose(5, 30), "", ""])]
+    found = by_id(linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)), "text", "lines_removed")
+    assert found == {0: ("\n".join([line] * 3), 4), 1: (texts[1], 0), 2: ("", 5)}
+
+
+def test_spans_cover_every_shared_run():
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [rng.choice([0, 1, 7, 20, 60]) for _ in range(rng.randint(1, 25))]
+        spans = linededup.passage_spans(words, 50)
+        assert all(sum(words[a:b]) >= 50 and words[a] and words[b - 1] for a, b in spans)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if sum(words[a:b]) >= 50:
+                    inside = {i for c, d in spans if a <= c and d <= b for i in range(c, d)}
+                    assert {i for i in range(a, b) if words[i]} <= inside
+
+
 def test_chunks_cover_all_lines():
     for seed in range(20):
         text = "\n".join(prose(seed * 50 + i, random.Random(i * seed).choice([0, 1, 5, 60])) for i in range(25))
