@@ -254,6 +254,24 @@ def test_licenses_by_compression(spark):
     assert saved == 1 and diff == ["+very"]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [40, 80])
+def test_wrapped_standard_notices_are_found(mark, width):
+    import textwrap
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            lines = "\n".join(mark + x for x in textwrap.wrap(wording, width))
+            for text in (lines, f"Some words before it.\n\n{lines}\n\nSome words after it."):
+                assert {x["license"] for x in licenses.scan_text(text)[1]} == {name}, (name, wording)
+
+
+def test_every_license_of_a_block_is_found():
+    gpl, mit = licenses.TEMPLATES["GPL-3.0"][-1], licenses.TEMPLATES["MIT"][-1]
+    found = licenses.scan_text(f"Licensed under CC BY-NC 4.0. Released under the MIT License. Copyright. All rights reserved.\n{gpl}\n{mit}")[1]
+    assert [x["license"] for x in found] == ["CC-BY-NC-4.0", "MIT", "Proprietary", "GPL-3.0", "MIT"] and not any(x["differences"] for x in found)
+    assert licenses.scan_text("He reserved all the rooms. All of the rights were his, and copyright law is dull.")[1] == []
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     path = queries.tokenizer_path()
