@@ -3,9 +3,10 @@
 A page is read once into text blocks, each with its root-to-leaf tag path. For every path the
 length of its text and its punctuation, both per block, are summed up. The two ratios are
 smoothed over the blocks in page order, fused, and compared with the page's strongest path. The
-paths above the threshold give the content container: the deepest common path that holds nearly
-all of their text. Its blocks are the main text, but for parts whose tag, class, id or role
-names something else (menus, adverts, notices, comments and so on).
+paths above the threshold give the content container: the article or main element that holds
+all of them, or else the deepest element that holds all of them and doesn't stand among
+headings and paragraphs. All its blocks are the main text, but for parts whose tag, class, id
+or role names something else (menus, adverts, notices, comments and so on).
 
 Pages are independent rows, so the work is a map over the table with bounded state.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title|select|math|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|svg|iframe|title|select|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
@@ -47,28 +48,48 @@ OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner
                         "recommended related replies reply respond share sharing sidebar sidebars signup skip social sponsor "
                         "sponsored subscribe subscription toolbar widget alert alerts discussion complementary contentinfo search "
                         "teaser teasers tags pagination pager feedback reviews".split())
-_WORDS = re.compile(r"[a-z]+")
+# Words that say nothing by themselves, beside one of the names above.
+NEUTRAL = frozenset("area bar block bottom box btn button buttons center container content fixed global group header icons inner item items left "
+                    "link links list main mobile outer page panel post posts primary right row secondary section site sticky thread top "
+                    "unit wrap wrapper zone".split())
+REPLIES = frozenset("comment comments comentarios kommentare commentaires disqus replies reply respond discussion".split())
+_WORDS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.15   # of the strongest block
-HOLDS = 0.9        # of the chosen blocks' text lies in the container
+CONTAINERS = frozenset("html body main article section div".split())
 
 
-def _other(tag: str, attrs: str) -> bool:
-    if tag in OTHER_TAGS:
-        return True
-    if attrs and tag not in ("html", "body", "main", "article"):
-        for _, a, b, c in _ATTR.findall(attrs):
-            if not OTHER_NAMES.isdisjoint(_WORDS.findall((a or b or c).lower())):
-                return True
-    return False
+def _names_other(token: str) -> bool:
+    """A whole token, or label, of nothing but names of other things and neutral words."""
+    words = set(_WORDS.findall(token.lower()))
+    return not words.isdisjoint(OTHER_NAMES) and words <= OTHER_NAMES | NEUTRAL
 
 
-def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(tag path, text, is something else) of every block in page order. The text has its character
-    references decoded and its white space folded; blocks without text are left out."""
-    stack: list[tuple[str, str, bool]] = []   # tag, step of the path, within something else
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+def _other(tag: str, attrs: str, in_article: bool = False) -> str:
+    """"tag", "replies", "name" or empty: by what an element is something else than the article."""
+    if tag in OTHER_TAGS:
+        return "tag"
+    if attrs and tag not in ("html", "body", "main", "article"):
+        for kind, a, b, c in _ATTR.findall(attrs):
+            kind, value = kind.lower(), a or b or c
+            # Ids of headings are made from their text, and of sections within the article too.
+            if kind == "id" and (tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p") or tag == "section" and in_article):
+                continue
+            for token in [value] if kind == "aria-label" else value.split():
+                if _names_other(token):
+                    return "replies" if not REPLIES.isdisjoint(_WORDS.findall(token.lower())) else "name"
+    return ""
+
+
+def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, str]]:
+    """(tag path, text, what makes it something else) of every block in page order. The text has its
+    character references decoded and its white space folded; blocks without text are left out.
+
+    The last is empty for none, "tag" or "replies", or "name" with the number of the outermost
+    element whose class, id, role or label says so."""
+    stack: list[tuple[str, str, str]] = []   # tag, step of the path, within something else
+    out: list[tuple[tuple[str, ...], str, str]] = []
     held: list[str] = []
-    at: tuple[tuple[str, ...], bool] | None = None
+    at: tuple[tuple[str, ...], str] | None = None
 
     def flush() -> None:
         nonlocal at
@@ -83,7 +104,7 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     for m in _PART.finditer(page):
         if (text := m["text"]) is not None:
             if at is None:
-                at = tuple(s for t, s, _ in stack if t in BLOCKS), bool(stack) and stack[-1][2]
+                at = tuple(s for t, s, _ in stack if t in BLOCKS), stack[-1][2] if stack else ""
             held.append(text)
             continue
         if (tag := m["tag"]) is None:
@@ -100,9 +121,9 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 i = len(names) - 1 - names[::-1].index(tag)
                 # An inline end tag doesn't reach out of its block.
                 if block or not any(t in BLOCKS for t in names[i + 1:]):
-                    was = stack[i][2] if i < len(stack) else False
+                    was = stack[i][2]
                     del stack[i:]
-                    if not block and was != (bool(stack) and stack[-1][2]):
+                    if not block and was != (stack[-1][2] if stack else ""):
                         flush()
             continue
         if block:
@@ -117,19 +138,32 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         counter += 1
-        other = _other(tag, m["attrs"])
-        inside = bool(stack) and stack[-1][2]
-        if other and not inside and not block:
+        inside = stack[-1][2] if stack else ""
+        other = _other(tag, m["attrs"], any(t in ("article", "main") for t, _, _ in stack)) if inside not in ("tag", "replies") else ""
+        if other == "name":
+            other = inside or f"name#{counter}"
+        now = other or inside
+        if now != inside and not block:
             flush()
         name = f"{tag}#{counter}" if tag in SCOPES else tag
-        stack.append((tag, name, inside or other))
+        stack.append((tag, name, now))
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space; empty for null, empty or contentless pages."""
-    blocks = [(p, t) for p, t, other in text_blocks(page or "") if not other]
+    parts = text_blocks(page or "")
+    size: dict[str, int] = {}
+    for path, text, other in parts:
+        if other not in ("tag", "replies"):
+            size[other] = size.get(other, 0) + len(text)
+    # A name is not believed of what holds most of the text, unless an article lies outside of it.
+    most = max(size, key=size.get, default="")
+    if most and (2 * size[most] <= sum(size.values()) or any(
+            not other and s.split("#")[0] in ("article", "main") for path, _, other in parts for s in path)):
+        most = ""
+    blocks = [(p, t) for p, t, other in parts if other in ("", most)]
     if not blocks:
         return ""
     # Sums by path; copies of a container are told apart, the tags inside them are not.
@@ -143,19 +177,23 @@ def main_text(page: str | None) -> str:
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = np.stack([np.convolve(np.pad(c, 1, mode="edge"), kernel, mode="valid") for c in ratio.T], axis=1)
     fused = np.sqrt(smooth[:, 0] * smooth[:, 1])
-    chosen = [(p, len(t)) for (p, t), f in zip(blocks, fused) if f >= THRESHOLD * fused.max()]
-    total = sum(n for _, n in chosen)
+    chosen = [p for (p, _), f in zip(blocks, fused) if f >= THRESHOLD * fused.max()]
     container: tuple[str, ...] = ()
     while True:
-        below: dict[str, int] = {}
-        for p, n in chosen:
-            if p[:len(container)] == container and len(p) > len(container):
-                below[p[len(container)]] = below.get(p[len(container)], 0) + n
-        step = max(below, key=below.get, default=None)
-        # A leaf kind like p isn't a container: only elements that were told apart are.
-        if step is None or "#" not in step and step not in ("html", "body") or below[step] < HOLDS * total:
+        below = {p[len(container)] if len(p) > len(container) else None for p in chosen}
+        step = below.pop() if len(below) == 1 else None
+        # A leaf kind like p, a list, a table or a quotation isn't a container.
+        if step is None or step.split("#")[0] not in CONTAINERS:
+            break
+        # Nor is what stands among headings and paragraphs: they belong together.
+        n = len(container)
+        if n and any(p[:n] == container and (len(p) == n or p[n].split("#")[0] not in CONTAINERS) for p, _ in blocks) and \
+                not any(s.split("#")[0] in ("article", "main") for s in chosen[0][n:] if all(s in p for p in chosen)):
             break
         container = (*container, step)
+        if step.startswith("article#") or step.startswith("main#") and not any(
+                s.startswith("article#") for s in chosen[0] if all(s in p for p in chosen)):
+            break
     return " ".join(t for p, t in blocks if p[:len(container)] == container)
 
 

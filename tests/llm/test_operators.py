@@ -244,6 +244,26 @@ def test_main_text(page, text):
     assert mainhtml.main_text(page) == text
 
 
+LONG = "A long part of the story, with many words, goes on here. " * 12
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article><h1>Title</h1><p>Intro.</p><div class=body><p>{LONG}</p></div><p>End.</p></article>", f"Title Intro. {LONG}End."),
+    (f"<body><div><a>Top</a></div><div class=post><h1>Title</h1><p>Intro.</p><div class=body><p>{LONG}</p></div><p>End.</p></div></body>", f"Title Intro. {LONG}End."),
+    (f"<article><p>Before.</p><ul><li>{LONG}<li>{LONG}</ul><p>After.</p></article>", f"Before. {LONG}{LONG}After."),
+    (f"<div><p>Before.</p><blockquote><p>{LONG}</p></blockquote><p>After.</p></div>", f"Before. {LONG}After."),
+    (f"<main><div><p>Lead.</p></div><div><article><p>Begin.</p><p>{LONG}</p><p>End.</p></article></div></main>", f"Lead. Begin. {LONG}End."),
+    (f"<article><p>{LONG}</p><section id=discussion><h2 id='search-methods'>Methods</h2><p class='notice-of-terms'>Terms.</p></section>"
+     "<section id='related-work'><h2 id=social-effects>Effects</h2><p id=share>Work.</p></section></article>", f"{LONG}Methods Terms. Effects Work."),
+    (f"<div class='post with-sidebar'><p>{LONG}</p></div><div class='related-posts'><p>{ARTICLE}</p></div><div id=main-nav>Home</div>", LONG.strip()),
+    (f"<div class='entry has-comments tags-news'><p>{LONG}</p></div><div class='comment-list'><p>{LONG}{LONG}</p></div>", LONG.strip()),
+    (f"<div class=widget><p>{LONG}</p></div>", LONG.strip()),
+    (f"<article><p>{LONG}<math><mi>x</mi></math> <object>fallback</object></p><noscript><p>Plain.</p></noscript></article>", f"{LONG}x fallback Plain."),
+])
+def test_main_text_is_whole(page, text):
+    assert mainhtml.main_text(page) == text
+
+
 def test_licenses_by_compression(spark):
     texts = ["Some prose.\nReleased under the MIT License.\nMore prose.", "This work is licensed under the GNU General Public License, version 2.",
              "Licensed under the Apache License, Version 2.0.", "I lost my driving license yesterday, near the public library.", None, "", "All rights reserved."]
