@@ -31,6 +31,11 @@ def _words(lowered: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _folded(text: Column) -> Column:
+    """``lower()`` that doesn't depend on the neighbours: a capital sigma becomes one of two letters by its place."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct windows: ``phrase, len, terms, items`` (ids of the items that hold it).
 
@@ -46,8 +51,9 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
 def _tokens(docs: DataFrame) -> DataFrame:
     # Terms are folded by lower(), which is much cheaper than translate(), equates more words than A-Z
-    # does, and cuts at the same places: lists are supersets, and the comparison that follows is exact.
-    return docs.select("doc_id", F.posexplode(_words(F.lower("text"))).alias("pos", "term"))
+    # does, and cuts at the same places; with both sigmas made one, a word folds alike alone and in its
+    # text. So lists are supersets, and the comparison that follows is exact.
+    return docs.select("doc_id", F.posexplode(_words(_folded(F.col("text")))).alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rarest: int) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +62,7 @@ def build_index(docs: DataFrame, windows: DataFrame, rarest: int) -> tuple[DataF
     A window is looked up at its ``rarest`` places with the least frequent terms; windows with
     a term that no document has can't occur and are left out.
     """
-    places = windows.select("phrase", F.posexplode(F.transform("terms", F.lower)).alias("off", "term"))
+    places = windows.select("phrase", F.posexplode(F.transform("terms", _folded)).alias("off", "term"))
     vocabulary = durable(places.select("term").distinct())
     df = durable(_tokens(docs).select("term").join(vocabulary, "term", "left_semi")
                  .groupBy("term").agg(F.count(F.lit(1)).alias("n")))

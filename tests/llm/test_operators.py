@@ -127,6 +127,15 @@ def test_contamination_equals_brute_force(spark, docs, rows):
     assert {r["doc_id"] for r in near.collect()} >= {7, 107}
 
 
+def test_contamination_with_sigmas(spark):
+    passages = ["Α.Σ. Β γ δ ε ζ η θ ι κ λ μ", "ΟΔΟΣ'Α β γ δ ε ζ η θ ι κ λ", "one Σ two ΑΣ three four five six seven eight nine"]
+    rows = [(i, f"before it {p} after it") for i, p in enumerate(passages)] + [(9, "none of it")]
+    items = list(enumerate(passages))
+    found = by_id(decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), rarest=10),
+                  "n_words", "n_hit", "item_ids")
+    assert found == brute.contaminated(rows, items) and all(found[i][2] == [str(i)] for i in range(3))
+
+
 def test_line_chunks_are_removed_after_the_first(spark):
     a, b = [f"line {i} {prose(i, 6)}" for i in range(30)], [f"other {i} {prose(50 + i, 6)}" for i in range(9)]
     long = prose(99, 60)
