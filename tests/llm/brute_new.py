@@ -70,3 +70,28 @@ def audited(turns):
     illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
     return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit,
             sha256("\n".join(repaired).encode()).hexdigest())
+
+
+def simhash64(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    terms = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def hamming_components(values, radius=3):
+    """{value: smallest value it reaches} over all pairs."""
+    values, label = sorted(set(values)), {}
+    for v in values:
+        if v in label:
+            continue
+        label[v], open_ = v, [v]
+        while open_:
+            x = open_.pop()
+            for y in values:
+                if y not in label and (x ^ y).bit_count() <= radius:
+                    label[y] = v
+                    open_.append(y)
+    return label
