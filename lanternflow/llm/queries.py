@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternflow.llm import decontaminate, langid, lexicon, licenses, linededup, mainhtml, minhash, simhash, tokenfiles, urlfilter
+from lanternflow.llm import (bktree, conversations, decontaminate, langid, lexicon, licenses, linededup, mainhtml, minhash, negatives, simhash,
+                             tokenfiles, urlfilter)
 from lanternflow.llm.common import durable, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,13 +84,29 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.audit_conversations(conversations.damaged(table(spark, sf, "conversations")))
+
+
+def op12_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return bktree.near_components(table(spark, sf, "documents").select("doc_id", "text"), radius=3)
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors are every fiftieth vector; labels of every seventh are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vectors = negatives.quantised(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), moved)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_url_filter, op4_line_dedup, op5_decontaminate, op6_main_text,
-                                   op7_token_files, op8_bpe, op9_minhash, op10_language, pipeline)}
+                                   op7_token_files, op8_bpe, op9_minhash, op10_language, op11_conversations, op12_simhash_groups,
+                                   op13_hard_negatives, pipeline)}
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REST = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
 _WORDS = "regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -112,4 +129,15 @@ SELECT page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM
   (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM m) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.l = c.l AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS r
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3""",
 }

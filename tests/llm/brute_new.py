@@ -95,3 +95,19 @@ def hamming_components(values, radius=3):
                     label[y] = v
                     open_.append(y)
     return label
+
+
+def mined(rows, is_anchor, positives=5, negatives=3, least=50, most=95):
+    """Sorted result rows for ``rows`` [(vec_id, label, integer vector)] by scoring everything."""
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    out = []
+    for i, (anchor, label, v) in enumerate(rows):
+        if not is_anchor(anchor):
+            continue
+        score = [(-dot(v, w), n) for n, _, w in rows]
+        same = sorted(score[j] for j, r in enumerate(rows) if r[1] == label and j != i)[:positives]
+        other = sorted(score[j] for j, r in enumerate(rows) if r[1] != label)
+        for p, pid in same:
+            fit = [(n, m) for n, m in other if least * -p <= 100 * -n <= most * -p][:negatives]
+            out += [(anchor, pid, r + 1, m, -p, -n) for r, (n, m) in enumerate(fit)]
+    return sorted(out)
