@@ -262,6 +262,17 @@ def cooldown_long(spark, sf):
         "entity_id", F.unix_seconds("timestamp").alias("sec")).distinct()
 
 
+@query("F3c_cooldown_flood", """WITH RECURSIVE inst AS (SELECT DISTINCT epoch_us(ts) AS us FROM events),
+ walk AS (SELECT min(us) AS us FROM inst UNION ALL
+  SELECT (SELECT min(i.us) FROM inst i WHERE i.us >= walk.us + 7200000000) FROM walk WHERE walk.us IS NOT NULL)
+SELECT us FROM walk WHERE us IS NOT NULL""")
+def cooldown_flood(spark, sf):
+    """All events as one entity without a quiet slot, two hours of cooldown, walked in some forty blocks."""
+    rows = flows(spark, sf).withColumn("entity_id", F.lit("all"))
+    kept = A.cooldown(rows, 7200, limit=max(1, rows.count() // 40))
+    return rows.join(kept, "event_row_id", "left_semi").select(F.unix_micros("timestamp").alias("us"))
+
+
 @query("F3d_cap_per_entity", f"""{C} SELECT event_row_id FROM (SELECT event_row_id, row_number() OVER (PARTITION BY entity_id
  ORDER BY score DESC, event_row_id) AS r FROM sst CROSS JOIN thr WHERE score >= t / 3) WHERE r <= 2""")
 def capped(spark, sf):

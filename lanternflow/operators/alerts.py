@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
-from lanternflow.operators.scale import HotKeys, global_rank, positions
+from lanternflow.operators.scale import HotKeys, global_rank, hot_keys, positions
+from lanternflow.operators.timeblocks import walk_in_blocks
 from lanternflow.schema import TIME_ORDER
+from lanternflow.session import durable
 
 
 def passes_allowlist(score: str, threshold: Column, allowlist: Sequence[str], margin: float,
@@ -53,12 +55,13 @@ def _first_after_gap(seconds: int):
     return run
 
 
-def cooldown(candidates: DataFrame, seconds: int) -> DataFrame:
-    """Row ids that survive the per-entity cooldown, in time order.
+def cooldown(candidates: DataFrame, seconds: int, limit: int | None = None) -> DataFrame:
+    """Row ids that survive the per-entity cooldown.
 
     A time slot as long as the cooldown without any candidate resets it, so an entity's
-    history falls apart into independent segments. Each segment is reduced to distinct
-    instants and streamed through one task in constant memory.
+    history falls apart into independent segments, each reduced to distinct instants. Segments of up
+    to ``limit`` instants stream through one task in constant memory; longer ones are walked
+    in blocks of about that size (see ``timeblocks``), with the same result.
     """
     if seconds <= 0:
         return candidates.select("event_row_id")
@@ -71,11 +74,14 @@ def cooldown(candidates: DataFrame, seconds: int) -> DataFrame:
     w = Window.partitionBy("entity_id").orderBy("slot")
     quiet = slots.withColumn("gap", (F.col("slot") - F.lag("slot").over(w) > 1).cast("int"))
     segments = quiet.select("entity_id", "slot", F.coalesce(F.sum("gap").over(w), F.lit(0)).alias("segment"))
-    ordered = (instants.join(segments, ["entity_id", "slot"])
-               .select("entity_id", "segment", "at", "event_row_id")
-               .repartition("entity_id", "segment")
-               .sortWithinPartitions("entity_id", "segment", "at"))
-    return ordered.mapInPandas(_first_after_gap(seconds), "event_row_id bigint")
+    placed = durable(instants.join(segments, ["entity_id", "slot"]).select("entity_id", "segment", "at", "event_row_id"))
+    hot = hot_keys(placed, ["entity_id", "segment"], limit)
+    short, long = hot.split(placed)
+    ordered = short.repartition("entity_id", "segment").sortWithinPartitions("entity_id", "segment", "at")
+    kept = ordered.mapInPandas(_first_after_gap(seconds), "event_row_id bigint")
+    if long is None:
+        return kept
+    return kept.unionByName(walk_in_blocks(long, seconds, -(-hot.rows // hot.limit)))
 
 
 def suppression_masks(scored: DataFrame, score: str, threshold: float, allowlist: Sequence[str] = (),

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternflow.operators import alerts as A
+from lanternflow.operators import timeblocks as TB
 from lanternflow.operators import metrics as M
 from lanternflow.operators import thresholds as T
 from lanternflow.plans import studies
@@ -82,6 +83,40 @@ def test_cooldown_equals_greedy_walk(spark, gap):
     assert {r.event_row_id for r in A.cooldown(df.repartition(6), gap).collect()} == want
 
 
+def greedy(times, gap):
+    """Positions kept of ascending times."""
+    out, last = [], None
+    for i, t in enumerate(times):
+        if last is None or t - last >= gap:
+            out.append(i)
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("gap,steps", [(300, [1]), (40, [1, 1, 1, 2, 39]), (7, [1, 2, 3, 11]), (5000, [1, 3])])
+def test_block_functions_compose_to_the_walk(gap, steps):
+    rng = np.random.default_rng(gap)
+    at = np.cumsum(rng.choice(steps, 3000))
+    blocks = np.split(at, np.sort(rng.choice(np.arange(1, 3000), 60, replace=False)))
+    entry = TB.START
+    for b in blocks:
+        entry = int(TB.apply_function(*TB.block_function(b, gap), np.array([entry]), gap)[0])
+    assert entry == at[greedy(at, gap)[-1]]
+
+
+@pytest.mark.parametrize("gap,steps", [(300, [1]), (40, [1, 1, 1, 2, 39]), (5000, [1, 3])])
+def test_one_flood_over_many_tasks(spark, gap, steps, monkeypatch):
+    """Uninterrupted sequences of 3,000 instants in blocks of at most about 20, composed in several rounds."""
+    monkeypatch.setattr(TB, "FAN", 4)
+    rng = np.random.default_rng(len(steps))
+    rows = [(e, int(t), 10_000 * k + i) for k, e in enumerate(["a", "b"])
+            for i, t in enumerate(np.cumsum(rng.choice(steps, 3000 if e == "a" else 50)))]
+    df = spark.createDataFrame(rows, "entity_id string, t bigint, event_row_id bigint").withColumn("timestamp", F.timestamp_seconds("t"))
+    want = {10_000 * k + i for k, e in enumerate(["a", "b"]) for i in greedy([r[1] for r in rows if r[0] == e], gap)}
+    assert {r.event_row_id for r in A.cooldown(df, gap, limit=20).collect()} == want
+    assert {r.event_row_id for r in A.cooldown(df, gap).collect()} == want
+
+
 def labelled(spark, rows):
     return durable(spark.createDataFrame(rows, "label string, score double"))
 
