@@ -9,6 +9,7 @@ from lanternflow.catalog.chain import CHAIN, threshold_of
 from lanternflow.catalog.events import scratch
 from lanternflow.catalog.registry import query, r6
 from lanternflow.catalog.scores import DEV_DAY, day_thresholds_sql
+from lanternflow.catalog.tabular import forest_sql
 from lanternflow.catalog.views import DOCS, attack_days, flows
 from lanternflow.catalog.windows import multiscale_sql
 from lanternflow.operators import baselines as B
@@ -153,19 +154,10 @@ def gate(spark, sf):
     return M.improvement_gate(s.filter(F.col("variant") == "nll_z"), s.filter(F.col("variant") == "score"))
 
 
-@query("G10_candidate_scores")
-def candidate_scores(spark, sf):
-    """Four candidates on the development rows: forest scores have no SQL twin."""
-    dev = flows(spark, sf).filter(F.col("split") == "dev")
-    scored = shared.stream(spark, sf).filter(F.col("split") == "dev")
-    return studies.candidate_scores(shared.benign_train(spark, sf), dev, scored, 42).select(
-        "event_row_id", "label", "next_event_nll", "equal_weight_combined", "multi_timescale", "isolation_forest")
-
-
-def _multi_timescale_sql() -> str:
+def _multi_timescale_sql(forest: bool = False) -> str:
     names = multiscale_names((8, 32, 128))
     order = '"timestamp", event_row_id'
-    fit = multiscale_sql("tr", (8, 32, 128), order, "entity_id", rounded=False)
+    fit = multiscale_sql("tr", (8, 32, 128), order, "event_row_id, entity_id", rounded=False)
     dev = multiscale_sql("(SELECT * FROM flows WHERE split = 'dev')", (8, 32, 128), order, "event_row_id, entity_id", rounded=False)
     gmed = ", ".join(f"median({f}) AS med_{f}, greatest(0.25 * stddev_pop({f}), 1e-3) AS floor_{f}" for f in names)
     gall = ", ".join(f"any_value(g.med_{f}) AS med_{f}, greatest(1.4826 * median(abs(n.{f} - g.med_{f})), any_value(g.floor_{f})) AS scale_{f}"
@@ -177,9 +169,19 @@ def _multi_timescale_sql() -> str:
                    for f in names)
     return f"""{C}, mtr AS MATERIALIZED ({fit}), mdev AS MATERIALIZED ({dev}), mg AS (SELECT {gmed} FROM mtr),
 mga AS MATERIALIZED (SELECT {gall} FROM mtr n CROSS JOIN mg g), me AS (SELECT entity_id, {emed} FROM mtr GROUP BY 1 HAVING count(*) >= 30),
-mea AS MATERIALIZED (SELECT n.entity_id, {eall} FROM mtr n JOIN me m USING (entity_id) CROSS JOIN mg g GROUP BY 1)
-SELECT d.event_row_id, s.label, round(s.nll_z, 6) AS next_event_nll, round(s.score, 6) AS equal_weight_combined, round(({z}) / {len(names)}.0, 6) AS multi_timescale
-FROM mdev d JOIN sst s ON s.event_row_id = d.event_row_id CROSS JOIN mga g LEFT JOIN mea e ON e.entity_id = d.entity_id"""
+mea AS MATERIALIZED (SELECT n.entity_id, {eall} FROM mtr n JOIN me m USING (entity_id) CROSS JOIN mg g GROUP BY 1){', ' + forest_sql("mtr", "mdev", names, 42) if forest else ''}
+SELECT d.event_row_id, s.label, round(s.nll_z, 6) AS next_event_nll, round(s.score, 6) AS equal_weight_combined, round(({z}) / {len(names)}.0, 6) AS multi_timescale{", round(i.isolation_forest, 6) AS isolation_forest" if forest else ""}
+FROM mdev d JOIN sst s ON s.event_row_id = d.event_row_id{" JOIN forest i ON i.event_row_id = d.event_row_id" if forest else ""}
+ CROSS JOIN mga g LEFT JOIN mea e ON e.entity_id = d.entity_id"""
+
+
+@query("G10_candidate_scores", _multi_timescale_sql(forest=True))
+def candidate_scores(spark, sf):
+    """Four candidates on the development rows."""
+    dev = flows(spark, sf).filter(F.col("split") == "dev")
+    scored = shared.stream(spark, sf).filter(F.col("split") == "dev")
+    return studies.candidate_scores(shared.benign_train(spark, sf), dev, scored, 42).select("event_row_id", "label", *[
+        r6(c).alias(c) for c in ("next_event_nll", "equal_weight_combined", "multi_timescale", "isolation_forest")])
 
 
 @query("G10_candidate_join", _multi_timescale_sql())

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lanternflow.catalog import shared
 from lanternflow.catalog.registry import query, r6
-from lanternflow.catalog.views import flows, table
+from lanternflow.catalog.views import FLOWS, flows, table
+from lanternflow.catalog.windows import multiscale_sql
 from lanternflow.functions import content
 from lanternflow.operators import iforest, tabular
 from lanternflow.operators.splits import content_hash_split
@@ -89,11 +90,53 @@ def evaluation_row(spark, sf):
     return e.select("val_size", "temperature", *[r6(c).alias(c) for c in ("positive_rate", "tpr_at_fpr_1pct", "tpr_at_fpr_0_1pct")])
 
 
-@query("E11_isolation_forest")
+def forest_sql(fit: str, rows: str, names, seed: int, trees: int = iforest.TREES, sample: int = iforest.SAMPLE) -> str:
+    """Common table expressions that end in ``forest(event_row_id, isolation_forest)``: grown on ``fit``, scored over ``rows``."""
+    limit = (sample - 1).bit_length()
+    number = lambda at: f"CAST('0x' || substr(h, {at}, 15) AS BIGINT)"
+    x = "[" + ", ".join(names) + "]"
+    spread = ", ".join(f"{{'i': {i}, 'lo': min({f}) OVER w, 'hi': max({f}) OVER w}}" for i, f in enumerate(names))
+    rounded = ", ".join(f"round({f}, {iforest.PLACES}) AS {f}" for f in names)
+    path = lambda n: (f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE "
+                      f"ELSE 2 * (ln({n} - 1) + {iforest.EULER_GAMMA}::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} END")
+    out = [f"""fplan AS (SELECT n, c, least(1.0::DOUBLE, {2.0 * trees * sample}::DOUBLE / (n * c)) * {iforest.UNIT}::DOUBLE AS lim FROM
+  (SELECT n, greatest(1, ({2 * trees * sample - 1} + greatest(n, 1)) // greatest(n, 1)) AS c FROM (SELECT count(*) AS n FROM {fit}))),
+fdraw AS (SELECT *, {number(1)} % {trees} AS tree_id, {number(16)} AS u FROM
+  (SELECT *, sha256('{seed}:' || copy || ':' || event_row_id) AS h FROM (SELECT event_row_id, {rounded}, unnest(range(c)) AS copy FROM {fit} CROSS JOIN fplan))),
+g0 AS MATERIALIZED (SELECT tree_id, 1 AS node, {', '.join(names)} FROM (SELECT * FROM fdraw CROSS JOIN fplan WHERE u < lim
+  QUALIFY row_number() OVER (PARTITION BY tree_id, event_row_id ORDER BY u) = 1)
+  QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY u, event_row_id) <= {sample})"""]
+    for d in range(limit + 1):
+        out.append(f"""a{d} AS (SELECT *, count(*) OVER w AS n, sha256('{seed}:' || tree_id || ':' || node) AS h,
+  list_filter([{spread}], lambda c: c.hi > c.lo) AS ok FROM g{d} WINDOW w AS (PARTITION BY tree_id, node)),
+p{d} AS MATERIALIZED (SELECT *, s.lo + {number(16)} / {float(iforest.UNIT)}::DOUBLE * (s.hi - s.lo) AS cut FROM
+  (SELECT *, CASE WHEN len(ok) > 0 AND {d} < {limit} THEN ok[{number(1)} % len(ok) + 1] END AS s FROM a{d})),
+g{d + 1} AS (SELECT * EXCLUDE (n, h, ok, s, cut, node), CASE WHEN s IS NULL THEN node ELSE 2 * node + CAST({x}[s.i + 1] > cut AS INT) END AS node FROM p{d})""")
+    cells = " UNION ALL ".join(f"SELECT tree_id, node, coalesce(s.i, -1) AS feature, coalesce(cut, 0) AS cut, n FROM p{d}" for d in range(limit + 1))
+    out.append(f"""nodes AS MATERIALIZED (SELECT tree_id, node, max(feature) AS feature, max(cut) AS cut, max(n) AS n FROM ({cells}) GROUP BY ALL),
+leaves AS MATERIALIZED (SELECT tree_id, node, (floor(log2(node)) + {path('n')}) / greatest(any_value({path('n')}) FILTER (node = 1) OVER (PARTITION BY tree_id), 1e-12) AS depth,
+  feature FROM nodes),
+w0 AS (SELECT event_row_id, tree_id, 1 AS node, {x} AS x FROM (SELECT event_row_id, {rounded} FROM {rows}) CROSS JOIN (SELECT DISTINCT tree_id FROM nodes))""")
+    for d in range(limit):
+        out.append(f"""w{d + 1} AS (SELECT w.event_row_id, w.tree_id, CASE WHEN feature < 0 THEN w.node ELSE 2 * w.node + CAST(x[feature + 1] > cut AS INT) END AS node, x
+  FROM w{d} w JOIN nodes USING (tree_id, node))""")
+    out.append(f"""forest AS (SELECT event_row_id, power(2.0::DOUBLE, -avg(depth)) AS isolation_forest FROM w{limit} JOIN leaves USING (tree_id, node) GROUP BY 1)""")
+    return ",\n".join(out)
+
+
+_WIDTHS = (8, 32, 128)
+_ORDER = '"timestamp", event_row_id'
+
+
+@query("E11_isolation_forest", f"""WITH {FLOWS}, ftrain AS MATERIALIZED ({multiscale_sql("(SELECT * FROM flows WHERE split = 'train' AND label = 'BENIGN')", _WIDTHS,
+       _ORDER, "event_row_id", rounded=False)}),
+ frows AS MATERIALIZED ({multiscale_sql("(SELECT * FROM flows WHERE split <> 'train')", _WIDTHS, _ORDER, "event_row_id", rounded=False)}),
+ {forest_sql("ftrain", "frows", multiscale_names(_WIDTHS), 42)}
+SELECT event_row_id, round(isolation_forest, 6) AS isolation_forest FROM forest""")
 def isolation_forest(spark, sf):
     """Forest on the training behaviour, scores for every later event."""
-    names = multiscale_names((8, 32, 128))
-    train = durable(multiscale_features(shared.benign_train(spark, sf), (8, 32, 128)).select("event_row_id", *names))
-    forest, size = iforest.fit_forest(train, "event_row_id", names, 42)
-    rows = multiscale_features(flows(spark, sf).filter(F.col("split") != "train"), (8, 32, 128))
-    return iforest.with_isolation_score(rows, forest, size, names).select("event_row_id", "isolation_forest")
+    names = multiscale_names(_WIDTHS)
+    train = durable(multiscale_features(shared.benign_train(spark, sf), _WIDTHS).select("event_row_id", *names))
+    forest = iforest.fit_forest(train, "event_row_id", names, 42)
+    rows = multiscale_features(flows(spark, sf).filter(F.col("split") != "train"), _WIDTHS)
+    return iforest.with_isolation_score(rows, forest, names).select("event_row_id", r6("isolation_forest").alias("isolation_forest"))

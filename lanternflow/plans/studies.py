@@ -197,10 +197,10 @@ def candidate_scores(train: DataFrame, dev: DataFrame, scored: DataFrame, seed:
     names = multiscale_names(widths)
     fit_rows = durable(multiscale_features(train, widths).select("entity_id", "event_row_id", *names))
     base = B.fit_baselines(fit_rows, names)
-    forest, size = iforest.fit_forest(fit_rows, "event_row_id", names, seed, trees)
+    forest = iforest.fit_forest(fit_rows, "event_row_id", names, seed, trees)
     rows = multiscale_features(dev, widths).select("entity_id", "event_row_id", *names)
     z = B.with_combo_score(B.with_robust_z(rows, base), names, name="multi_timescale")
-    other = iforest.with_isolation_score(z, forest, size, names).select(
+    other = iforest.with_isolation_score(z, forest, names).select(
         "event_row_id", "multi_timescale", "isolation_forest")
     return scored.join(other, "event_row_id", "inner").withColumns(
         {"next_event_nll": F.col("nll_z"), "equal_weight_combined": F.col("score")})

@@ -151,9 +151,14 @@ def test_forest_ranks_outliers_first_and_is_repeatable(spark):
     df = durable(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, a double, b double"))
     runs = []
     for rows in (df, df.repartition(7)):
-        forest, size = iforest.fit_forest(rows, "id", ["a", "b"], 42, trees=60)
-        assert forest.groupBy("tree_id").count().count() == 60
-        runs.append({r.id: r.isolation_forest for r in iforest.with_isolation_score(df, forest, size, ["a", "b"]).collect()})
+        forest = durable(iforest.fit_forest(rows, "id", ["a", "b"], 42, trees=60))
+        roots = forest.filter("node = 1").collect()
+        assert len(roots) == 60 and all(200 < r.n <= 256 for r in roots)
+        inner = {(r.tree_id, r.node): r for r in forest.collect()}
+        for (t, v), r in inner.items():
+            if r.feature >= 0:
+                assert inner[t, 2 * v].n + inner[t, 2 * v + 1].n == r.n
+        runs.append({r.id: r.isolation_forest for r in iforest.with_isolation_score(df, forest, ["a", "b"]).collect()})
     assert runs[0] == pytest.approx(runs[1])
     assert sorted(runs[0], key=runs[0].get)[-2:] in ([600, 601], [601, 600])
     assert all(0 < v < 1 for v in runs[0].values())
