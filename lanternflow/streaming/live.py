@@ -2,31 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import values as V
 from lanternflow.operators import nextevent as N
 from lanternflow.operators import tokens as K
 from lanternflow.plans.detection import Detector
-from lanternflow.streaming.scoring import use_rocksdb
+from lanternflow.streaming.scoring import tally, use_rocksdb
 
 
-def batch_counts(scored: DataFrame) -> DataFrame:
-    """Events and anomalies per entity of one micro-batch."""
-    return scored.groupBy("entity_id").agg(F.count(F.lit(1)).alias("events"),
-                                           F.count_if("is_anomaly").alias("anomalies"))
+def _each_batch(stream: DataFrame, mode: str, checkpoint: str, save) -> None:
+    use_rocksdb(stream.sparkSession)
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .foreachBatch(save).start())
+    q.awaitTermination()
+
 
+SNAPSHOT = "batch_id long, total_events long, anomalies long, active_entities long, anomaly_rate double"
 
-def write_counts(scored: DataFrame, path: str, checkpoint: str) -> None:
-    """Append each micro-batch's counts under its batch id; a replay overwrites the same folder."""
+
+def write_snapshots(scored: DataFrame, path: str, checkpoint: str) -> None:
+    """One row of running totals for each micro-batch of a stream with ``entity_id, is_anomaly``.
+
+    A batch adds its own counts to the newest snapshot before it and overwrites its own folder, so a replayed
+    batch gives the same row. Which entities are new is known from keyed state. A batch reads one
+    row, whatever came before.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch_counts(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        n = batch.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("events", "anomalies", "fresh")]).first()
+        if not n[0]:
+            return  # a batch without rows only moves the watermark
+        before = read_snapshots(spark, path).filter(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first()
+        old = [before[c] if before else 0 for c in ("total_events", "anomalies", "active_entities")]
+        now = [o + int(x) for o, x in zip(old, n[1:])]
+        row = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), *_with_trends(
+            [F.lit(x).cast("long") for x in now], [F.lit(x).cast("long") for x in old]))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
 
-    use_rocksdb(scored.sparkSession)
-    q = (scored.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-         .foreachBatch(save).start())
-    q.awaitTermination()
+    _each_batch(tally(scored), "update", checkpoint, save)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All snapshots that ``write_snapshots`` has made so far."""
+    shape = SNAPSHOT + ", " + ", ".join(f"{c}_trend double" for c in TOTALS)
+    try:
+        return spark.read.schema(shape).option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+    except AnalysisException:  # none yet
+        return spark.createDataFrame([], shape)
+
+
+TOTALS = ("total_events", "anomalies", "active_entities")
+
+
+def _with_trends(now: list[Column], before: list[Column]) -> list[Column]:
+    """The totals with their anomaly rate and the percent trend against the batch before."""
+    rate = F.round(F.coalesce(F.try_divide(now[1] * 100.0, now[0]), F.lit(0.0)), 2)
+    return [*[n.alias(c) for n, c in zip(now, TOTALS)], rate.alias("anomaly_rate"),
+            *[V.percent_trend(n.cast("double"), b.cast("double")).alias(f"{c}_trend") for n, b, c in zip(now, before, TOTALS)]]
+
+
+def write_timeline(scored: DataFrame, path: str, checkpoint: str, watermark: str | None = None) -> None:
+    """Keep the hourly timeline of a stream: every micro-batch writes the hours that it changed.
+
+    The aggregation runs in update mode, so an hour is there from its first event on; the watermark (given here
+    or set on the stream) only lets go of old hours in the state. A batch overwrites its own folder, so a replay changes nothing.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
+
+    _each_batch(hourly_timeline(scored, watermark), "update", checkpoint, save)
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every hour."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    cells = ("events", "anomalies", "mean_nll")
+    return rows.groupBy("hour").agg(F.max_by(F.struct(*cells), "batch_id").alias("s")).select("hour", *[F.col(f"s.{c}") for c in cells])
 
 
 def stats_snapshots(counts: DataFrame) -> DataFrame:
@@ -43,12 +97,7 @@ def stats_snapshots(counts: DataFrame) -> DataFrame:
     run = totals.join(fresh, "batch_id", "left").select(
         "batch_id", F.sum("e").over(upto).alias("total_events"), F.sum("a").over(upto).alias("anomalies"),
         F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("active_entities"))
-    out = run.withColumn("anomaly_rate", F.round(F.coalesce(F.try_divide(
-        F.col("anomalies") * 100.0, F.col("total_events")), F.lit(0.0)), 2))
-    for c in ("total_events", "anomalies", "active_entities"):
-        before = F.coalesce(F.lag(c).over(order), F.lit(0))
-        out = out.withColumn(f"{c}_trend", V.percent_trend(F.col(c).cast("double"), before.cast("double")))
-    return out
+    return run.select("batch_id", *_with_trends([F.col(c) for c in TOTALS], [F.coalesce(F.lag(c).over(order), F.lit(0)) for c in TOTALS]))
 
 
 def hourly_timeline(scored: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -1,17 +1,23 @@
 """Stateful scoring of event streams.
 
-Per entity the state holds the last seq_len events (token, destination, log bytes) and,
-for the cooldown, the instant of the last alert. Everything else - tokens, features,
+Per entity the state holds the last seq_len events (token, destination, log bytes) and the instant of the
+newest one; for the cooldown, the instant of the last alert. Everything else - tokens, features,
 z-scores - uses the same column expressions as the batch plan. Within a micro-batch an
-entity's rows are ordered by time and row id; a row older than the state is scored on
-arrival. One entity's share of a micro-batch is handled together, so the batch size
+entity's rows are ordered by time and row id; a row older than what its entity was scored on in
+earlier batches is late and left out. One entity's share of a micro-batch is handled together, so the batch size
 limits (maxFilesPerTrigger, maxOffsetsPerTrigger) bound the memory of a task.
+
+With an ``idle`` time, a silence of more than that many seconds ends an entity's context, wherever the batches
+are cut. So state that is older than the watermark by ``idle`` can matter to no accepted row, and an event-time
+timer of the entity drops it. The cooldown's state goes in the same way when the cooldown has passed. Both need a
+stream with a watermark on ``timestamp``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,91 +45,196 @@ def _in_time_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "event_row_id"], kind="stable")
 
 
-class ContextWindows(StatefulProcessor):
-    """Emit each event with a full context together with its window arrays."""
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
 
-    def __init__(self, seq_len: int):
-        self.seq_len = seq_len
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", _ARRAYS)
+class _Expiring(StatefulProcessor):
+    """State that is of use for ``keep`` seconds after an instant; an entity has at most one timer."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_time_order(rows)
-        toks, dsts, logs = ([list(part) for part in self.recent.get()] if self.recent.exists() else ([], [], []))
-        toks += [int(v) for v in batch["token_id"]]
-        dsts += [str(v) for v in batch["dst_id"]]
-        logs += [float(v) for v in batch["x"]]
-        width, first = self.seq_len + 1, len(toks) - len(batch)
-        full = [i for i in range(len(batch)) if first + i >= self.seq_len]
-        if full:
-            out = batch.iloc[full].drop(columns=["x"])
-            spans = [slice(first + i + 1 - width, first + i + 1) for i in full]
-            yield out.assign(toks=[toks[s] for s in spans], dsts=[dsts[s] for s in spans], logs=[logs[s] for s in spans])
-        keep = slice(-self.seq_len, None)
-        self.recent.update((toks[keep], dsts[keep], logs[keep]))
+    keep: int | None = None
+
+    def _expire(self, new: bool, last: int) -> None:
+        """Set the timer of state that has just come up; ``last`` in microseconds."""
+        if new and self.keep is not None:
+            self.handle.registerTimer(last // 1000 + self.keep * 1000 + 1)
+
+    def _last(self) -> int | None:
+        raise NotImplementedError
+
+    def _clear(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self._last()
+        if last is not None:
+            if last // 1000 + self.keep * 1000 < timerValues.getCurrentWatermarkInMs():
+                self._clear()
+            else:
+                self._expire(True, last)
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-class Cooldown(StatefulProcessor):
-    """Set is_anomaly and suppressed from the last emitted alert of the entity."""
+def _sessions(at: np.ndarray, last: int | None, idle: int | None) -> np.ndarray:
+    """For each row, how many rows of this batch its unbroken run holds before it; -1 per row if the run began earlier."""
+    n = len(at)
+    if idle is None:
+        return np.full(n, -1) if last is not None else np.arange(n)
+    before = np.r_[at[0] if last is None else last, at[:-1]]
+    breaks = at - before > idle * 1_000_000
+    breaks[0] |= last is None
+    begin = np.maximum.accumulate(np.where(breaks, np.arange(n), -1))
+    return np.where(begin >= 0, np.arange(n) - begin, -1)
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+
+class ContextWindows(_Expiring):
+    """Emit each event with a full context together with its window arrays."""
+
+    def __init__(self, seq_len: int, idle: int | None = None):
+        self.seq_len, self.keep = seq_len, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
+        self.handle = handle
+        self.recent = handle.getValueState("recent", _ARRAYS + ", last_at bigint")
+
+    def _last(self) -> int | None:
+        return self.recent.get()[3] if self.recent.exists() else None
+
+    def _clear(self) -> None:
+        self.recent.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_time_order(rows)
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        seen, gap = last, pd.Timedelta(seconds=self.seconds)
-        alert, held = [], []
-        for at, candidate, listed in zip(batch["timestamp"], batch["candidate"], batch["listed"]):
-            repeat = last is not None and at - last < gap
-            fires = bool(candidate and not listed and not repeat)
-            alert.append(fires)
-            held.append(bool(listed or repeat))
-            last = at if fires else last
-        if last is not seen:
-            self.last.update((last.to_pydatetime(),))
-        yield batch.drop(columns=["candidate", "listed"]).assign(is_anomaly=alert, suppressed=held)
+        *held, last = self.recent.get() if self.recent.exists() else ([], [], [], None)
+        if last is not None:
+            batch = batch[_micros(batch["timestamp"]) >= last]
+            if batch.empty:
+                return
+        at = _micros(batch["timestamp"])
+        own = _sessions(at, last, self.keep)
+        carried = len(held[0])
+        toks, dsts, logs = (np.concatenate([np.array(h, dtype=kind), batch[c].to_numpy(dtype=kind)]) for h, c, kind in zip(
+            held, ("token_id", "dst_id", "x"), (np.int32, object, np.float64)))
+        context = np.where(own >= 0, own, carried + np.arange(len(at)))
+        full = np.flatnonzero(context >= self.seq_len)
+        if len(full):
+            first = carried + full - self.seq_len
+            spans = first[:, None] + np.arange(self.seq_len + 1)
+            yield batch.iloc[full].drop(columns=["x"]).assign(toks=list(toks[spans]), dsts=list(dsts[spans]), logs=list(logs[spans]))
+        left = min(self.seq_len, int(context[-1]) + 1)
+        self.recent.update((*[x[len(x) - left:].tolist() for x in (toks, dsts, logs)], int(at[-1])))
+        self._expire(last is None, int(at[-1]))
+
+
+class Cooldown(_Expiring):
+    """Set is_anomaly and suppressed from the last emitted alert of the entity."""
 
-    def close(self) -> None:
-        pass
+    def __init__(self, seconds: int, expire: bool = False):
+        self.seconds, self.keep = seconds, seconds if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
+
+    def _last(self) -> int | None:
+        return self.last.get()[0] if self.last.exists() else None
 
+    def _clear(self) -> None:
+        self.last.clear()
 
-class RecentEvents(StatefulProcessor):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_time_order(rows)
+        gap, before = self.seconds * 1_000_000, self._last()
+        at = _micros(batch["timestamp"])
+        open_ = np.flatnonzero(batch["candidate"].to_numpy(bool) & ~batch["listed"].to_numpy(bool))
+        times = at[open_]
+        alert, i = np.zeros(len(at), bool), 0 if before is None else int(np.searchsorted(times, before + gap))
+        follows = np.searchsorted(times, times + gap).tolist()  # the next candidate that a kept one lets through
+        while i < len(times):
+            alert[open_[i]] = True
+            i = follows[i]
+        # The last alert strictly before each row.
+        fired = np.where(alert, at, np.iinfo(np.int64).min)
+        newest = np.maximum.accumulate(np.r_[np.iinfo(np.int64).min if before is None else before, fired[:-1]])
+        known = newest > np.iinfo(np.int64).min
+        repeat = known & (at - np.where(known, newest, 0) < gap)
+        if alert.any():
+            last = int(at[alert][-1])
+            self.last.update((last,))
+            self._expire(before is None, last)
+        yield batch.drop(columns=["candidate", "listed"]).assign(is_anomaly=alert, suppressed=batch["listed"].to_numpy(bool) | repeat)
+
+
+class RecentEvents(_Expiring):
     """Bounded buffer of each entity's latest events; emits its size and time range per batch."""
 
-    def __init__(self, limit: int = 1000):
-        self.limit = limit
+    def __init__(self, limit: int = 1000, idle: int | None = None):
+        self.limit, self.keep = limit, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getValueState("kept", "ids array<bigint>, at array<bigint>")
 
+    def _last(self) -> int | None:
+        return self.kept.get()[1][-1] if self.kept.exists() else None
+
+    def _clear(self) -> None:
+        self.kept.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_time_order(rows)
         ids, at = [list(part) for part in self.kept.get()] if self.kept.exists() else ([], [])
-        ids = (ids + [int(v) for v in batch["event_row_id"]])[-self.limit:]
-        at = (at + [int(v) for v in batch["at"]])[-self.limit:]
+        last = at[-1] if at else None
+        batch = batch[batch["at"] >= last] if at else batch
+        if batch.empty:
+            return
+        now = batch["at"].to_numpy(np.int64)
+        own = _sessions(now, last, self.keep)
+        held = int(own[-1]) + 1 if own[-1] >= 0 else len(at) + len(now)
+        keep = min(self.limit, held)
+        ids, at = [(old + new.tolist())[-keep:] for old, new in ((ids, batch["event_row_id"].to_numpy(np.int64)), (at, now))]
         self.kept.update((ids, at))
+        self._expire(last is None, at[-1])
         yield pd.DataFrame({"entity_id": [key[0]], "buffered": [len(ids)], "first_at": [at[0]], "last_at": [at[-1]],
                             "last_id": [ids[-1]]})
 
+
+class Tally(StatefulProcessor):
+    """Events and anomalies of an entity in one micro-batch, and whether the entity is new.
+
+    The state is one flag for each entity ever seen, which is what an exact count of distinct entities needs.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "flag boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = not self.seen.exists()
+        if fresh:
+            self.seen.update((True,))
+        events, anomalies = 0, 0
+        for part in rows:
+            events, anomalies = events + len(part), anomalies + int(part["is_anomaly"].sum())
+        yield pd.DataFrame({"entity_id": [key[0]], "events": [events], "anomalies": [anomalies], "fresh": [int(fresh)]})
+
     def close(self) -> None:
         pass
 
 
-def stream_windows(events: DataFrame, d: Detector) -> DataFrame:
-    """Full windows of a stream with the seven features, from keyed state."""
+def _time_mode(keep: int | None) -> str:
+    return "None" if keep is None else "EventTime"
+
+
+def stream_windows(events: DataFrame, d: Detector, idle: int | None = None) -> DataFrame:
+    """Full windows of a stream with the seven features, from keyed state (see above for ``idle``)."""
     tokens = K.tokenize(events, d.tokenizer).withColumn("x", V.log_bytes(F.col("bytes")))
     extra = [c for c in ("split",) if c in events.columns]
     rows = tokens.select(*_IN, *extra)
     out = T.StructType([f for f in rows.schema.fields if f.name != "x"] + T._parse_datatype_string(_ARRAYS).fields)
-    held = rows.groupBy("entity_id").transformWithStateInPandas(ContextWindows(d.seq_len), out, "Append", "None")
+    held = rows.groupBy("entity_id").transformWithStateInPandas(ContextWindows(d.seq_len, idle), out, "Append", _time_mode(idle))
     features = {
         "tok_uniq": S.distinct_count(F.col("toks")), "tok_top_share": S.top_share(F.col("toks")),
         "dst_uniq": S.distinct_count(F.col("dsts")), "dst_top_share": S.top_share(F.col("dsts")),
@@ -135,13 +246,17 @@ def stream_windows(events: DataFrame, d: Detector) -> DataFrame:
         "repeat_last")
 
 
-def score_stream(events: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def score_stream(events: DataFrame, d: Detector, ablations: dict[str, Sequence[str]] | None = None,
+                 idle: int | None = None) -> DataFrame:
     """Streaming twin of ``score_events``: state for the context, static joins for the model."""
-    return score_profiled(with_profiles(stream_windows(events, d), d), d, ablations, add_nll=N.with_nll_by_lookup)
+    return score_profiled(with_profiles(stream_windows(events, d, idle), d), d, ablations, add_nll=N.with_nll_by_lookup)
 
 
-def with_stream_cooldown(scored: DataFrame, d: Detector) -> DataFrame:
-    """Policy on a scored stream (usually the table the scoring query writes)."""
+def with_stream_cooldown(scored: DataFrame, d: Detector, expire: bool = False) -> DataFrame:
+    """Policy on a scored stream (usually the table the scoring query writes).
+
+    ``expire`` drops the last alert when the watermark has passed its cooldown.
+    """
     t = F.lit(float(d.threshold))
     listed = ~A.passes_allowlist("score", t, d.allowlist, d.allowlist_margin)
     rows = scored.withColumns({"threshold": t, "candidate": F.col("score") >= t, "listed": listed})
@@ -150,14 +265,21 @@ def with_stream_cooldown(scored: DataFrame, d: Detector) -> DataFrame:
                                 ).drop("candidate", "listed")
     fields = [f for f in rows.schema.fields if f.name not in ("candidate", "listed")]
     out = T.StructType(fields + [T.StructField("is_anomaly", T.BooleanType()), T.StructField("suppressed", T.BooleanType())])
-    return rows.groupBy("entity_id").transformWithStateInPandas(Cooldown(d.cooldown_seconds), out, "Append", "None")
+    return rows.groupBy("entity_id").transformWithStateInPandas(
+        Cooldown(d.cooldown_seconds, expire), out, "Append", _time_mode(d.cooldown_seconds if expire else None))
 
 
-def recent_events(events: DataFrame, limit: int = 1000) -> DataFrame:
+def recent_events(events: DataFrame, limit: int = 1000, idle: int | None = None) -> DataFrame:
     rows = events.select("entity_id", "timestamp", "event_row_id", F.unix_micros("timestamp").alias("at"))
     return rows.groupBy("entity_id").transformWithStateInPandas(
-        RecentEvents(limit), "entity_id string, buffered int, first_at bigint, last_at bigint, last_id bigint",
-        "Update", "None")
+        RecentEvents(limit, idle), "entity_id string, buffered int, first_at bigint, last_at bigint, last_id bigint",
+        "Update", _time_mode(idle))
+
+
+def tally(scored: DataFrame) -> DataFrame:
+    """``entity_id, events, anomalies, fresh`` of every micro-batch of a stream with ``is_anomaly``."""
+    return scored.select("entity_id", "is_anomaly").groupBy("entity_id").transformWithStateInPandas(
+        Tally(), "entity_id string, events long, anomalies long, fresh long", "Update", "None")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
