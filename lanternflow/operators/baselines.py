@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import scores as S
-from lanternflow.operators.scale import HotKeys, exact_quantile, global_quantiles, hot_keys
+from lanternflow.operators.scale import HotKeys, exact_quantile, few, global_quantiles, hot_keys
 
 # Fixed values of the robust scale.
 MAD_TO_STD, STD_SHARE, SCALE_FLOOR = 1.4826, 0.25, 1e-3
@@ -42,13 +42,13 @@ def _entity_medians(rows: DataFrame, features: Sequence[str], min_n: int) -> Dat
         .filter(F.col("_n") >= min_n).drop("_n"))
 
 
-def _hot_medians(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def _hot_medians(rows: DataFrame, features: Sequence[str], most: int) -> DataFrame:
     """The same for entities too large for one task: bracketed exact quantiles."""
     med = _wide(exact_quantile(rows, features, 0.5, by=["entity_id"]), "entity_id", features, "med_")
-    off = rows.join(F.broadcast(med), "entity_id").select(
+    off = rows.join(few(med, most), "entity_id").select(
         "entity_id", *[F.abs(F.col(f) - F.col(f"med_{f}")).alias(f) for f in features])
     mad = _wide(exact_quantile(off, features, 0.5, by=["entity_id"]), "entity_id", features, "mad_")
-    return med.join(F.broadcast(mad), "entity_id")
+    return med.join(few(mad, most), "entity_id")
 
 
 def fit_baselines(windows: DataFrame, features: Sequence[str], min_n: int = 30,
@@ -68,10 +68,11 @@ def fit_baselines(windows: DataFrame, features: Sequence[str], min_n: int = 30,
     floors = {f: max(STD_SHARE * (spread[f] or 0.0), SCALE_FLOOR) for f in features}
     scales = {f: max(mads[f] * MAD_TO_STD, floors[f]) for f in features}
 
-    cold, hot_rows = (hot or hot_keys(rows, ["entity_id"])).split(rows)
+    hot = hot or hot_keys(rows, ["entity_id"])
+    cold, hot_rows = hot.split(rows)
     found = _entity_medians(cold, features, min_n)
     if hot_rows is not None:
-        found = found.unionByName(_hot_medians(hot_rows, features))
+        found = found.unionByName(_hot_medians(hot_rows, features, hot.most))
     entities = found.select("entity_id", *[F.col(f"med_{f}") for f in features], *[
         F.greatest(F.col(f"mad_{f}") * MAD_TO_STD, F.lit(floors[f])).alias(f"scale_{f}") for f in features])
     return Baselines(features, entities, medians, scales)

@@ -34,15 +34,23 @@ class HotKeys:
     table: DataFrame | None
     total: int = 0       # rows of all keys
 
+    @property
+    def most(self) -> int:
+        """Bound on the number of hot keys."""
+        return self.rows // self.limit
+
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if self.table is None:
             return df, None
-        # rows / limit bounds the number of hot keys; when that is too many to broadcast, they are joined by a shuffle.
-        keys = F.broadcast(self.table) if self.rows // self.limit <= HOT_KEYS else self.table.hint("merge")
-        on = list(self.columns)
+        keys, on = few(self.table, self.most), list(self.columns)
         return df.join(keys, on, "left_anti"), df.join(keys, on, "left_semi")
 
 
+def few(small: DataFrame, rows: int) -> DataFrame:
+    """The small side of a join: broadcast if it has at most about ``HOT_KEYS`` rows, else joined by a shuffle."""
+    return F.broadcast(small) if rows <= HOT_KEYS else small.hint("merge")
+
+
 def hot_keys(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> HotKeys:
     """Count rows per key (combined map-side) and list the keys above the limit."""
     limit = limit or max_group_rows(df.sparkSession)
@@ -77,9 +85,9 @@ def _chunk_offsets(chunked: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.select(*by, CHUNK, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
 
 
-def _ranked(chunked: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    # One offset row per chunk and group that touches it; groups are none or the hot keys.
-    joined = chunked.join(F.broadcast(_chunk_offsets(chunked, by)), [*by, CHUNK])
+def _ranked(chunked: DataFrame, by: Sequence[str], name: str, groups: int = 0) -> DataFrame:
+    # One offset row per chunk and group that touches it, so no more than chunks and groups together.
+    joined = chunked.join(few(_chunk_offsets(chunked, by), groups), [*by, CHUNK])
     return joined.withColumn(name, F.col("_shift") + F.col(INDEX)).drop(CHUNK, INDEX, "_shift")
 
 
@@ -106,7 +114,7 @@ def over_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str], hal
     if hot_rows is None:
         return cold
     size = max(hot.limit, halo)
-    placed = _ranked(range_chunks(hot_rows, [*keys, *order], max(2, math.ceil(hot.rows / hot.limit))), keys, POS)
+    placed = _ranked(range_chunks(hot_rows, [*keys, *order], max(2, math.ceil(hot.rows / hot.limit))), keys, POS, hot.most)
     own = F.floor(F.col(POS) / size)
     is_tail = F.col(POS) % size >= size - halo
     copies = placed.withColumn("_own", own).withColumn(
@@ -128,10 +136,10 @@ _SKETCH_ACCURACY = 4000
 Ranks = Callable[[Column], tuple[Column, Column]]
 
 
-def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the columns of a small per-group table; without groups its one row is inlined."""
+def _attach(df: DataFrame, small: DataFrame, by: Sequence[str], groups: int = 0) -> DataFrame:
+    """Add the columns of a per-group table with at most ``groups`` rows; without groups its one row is inlined."""
     if by:
-        return df.join(F.broadcast(small), list(by))
+        return df.join(few(small, groups), list(by))
     row = small.first()
     return df.select("*", *[_literal(row[f.name], f.dataType).alias(f.name) for f in small.schema.fields
                             if f.name not in df.columns])
@@ -149,7 +157,7 @@ def _literal(value, kind) -> Column:
 
 
 def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[str],
-              limit: int, rows: int | None = None) -> DataFrame | None:
+              limit: int, rows: int | None = None, groups: int = 0) -> DataFrame | None:
     """Narrow value ranges that contain the wanted ranks, or None if no group is large.
 
     Every round is one aggregation pass. A sketch of the values inside the current
@@ -178,8 +186,10 @@ def _brackets(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequence[s
             inside = x.isNotNull() & F.coalesce(x >= lo, F.lit(True)) & F.coalesce(x <= hi, F.lit(True))
             aggs += [F.count_if(under).alias(f"below_{v}"), F.count_if(inside).alias(f"in_{v}"),
                      F.percentile_approx(F.when(inside, x), grid, _SKETCH_ACCURACY).alias(f"g_{v}")]
-        found = _attach(df, bounds, by).groupBy(*by).agg(*aggs)
-        measured = durable(_attach(found, bounds, by))
+        # A row of bounds also holds the grid of every column, so fewer of them are broadcast.
+        wide = groups * max(1, _GRID * len(values) // 10)
+        found = _attach(df, bounds, by, wide).groupBy(*by).agg(*aggs)
+        measured = durable(_attach(found, bounds, by, wide))
         # A range of a single value needs no further narrowing: it aggregates to one row.
         worst = measured.agg(*[F.max(F.when(F.coalesce(F.col(f"lo_{v}") != F.col(f"hi_{v}"), F.lit(True)),
                                             F.col(f"in_{v}"))).alias(v) for v in values]).first()
@@ -216,12 +226,13 @@ def select_ranks(df: DataFrame, values: Sequence[str], ranks: Ranks, by: Sequenc
         brackets = _brackets(base, values, ranks, by, limit, rows)
         return _rank_cells(base if brackets is None else _attach(base, brackets, by), values, ranks, by,
                            brackets is not None)
-    cold, hot = hot_keys(base, by, limit).split(base)
+    found = hot_keys(base, by, limit)
+    cold, hot = found.split(base)
     direct = _rank_cells(cold, values, ranks, by, False)
     if hot is None:
         return direct
-    brackets = _brackets(hot, values, ranks, by, limit)
-    inside = hot if brackets is None else _attach(hot, brackets, by)
+    brackets = _brackets(hot, values, ranks, by, limit, groups=found.most)
+    inside = hot if brackets is None else _attach(hot, brackets, by, found.most * max(1, _GRID * len(values) // 10))
     return direct.unionByName(_rank_cells(inside, values, ranks, by, brackets is not None))
 
 
@@ -257,7 +268,8 @@ def exact_quantile(df: DataFrame, values: Sequence[str], prob: float, method: st
                    by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Exact quantile per group and value column: ``by..., feature, n, quantile``.
 
-    ``linear`` interpolates between neighbours; ``higher`` takes the upper one.
+    ``linear`` interpolates between neighbours as Spark's ``percentile`` and ``median`` do, to the last bit, so
+    that no result depends on which of them a group's size calls for; ``higher`` takes the upper one.
     """
     if method not in ("linear", "higher"):
         raise ValueError(f"unknown method {method!r}")
@@ -268,8 +280,8 @@ def exact_quantile(df: DataFrame, values: Sequence[str], prob: float, method: st
 
     picked = select_ranks(df, values, ranks, by, limit)
     at = (F.col("n") - 1) * F.lit(float(prob))
-    step = (at - F.floor(at)) * (F.col("v1") - F.col("v0"))
-    value = F.col("v1") if method == "higher" else F.col("v0") + step
+    between = (F.ceil(at) - at) * F.col("v0") + (at - F.floor(at)) * F.col("v1")
+    value = F.col("v1") if method == "higher" else F.when(F.col("v0") == F.col("v1"), F.col("v0").cast("double")).otherwise(between)
     return picked.select(*by, "feature", "n", value.alias("quantile"))
 
 

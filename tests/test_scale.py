@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanternflow.operators import baselines as B
 from lanternflow.operators import scale
 from lanternflow.operators.windows import multiscale_features, multiscale_names, sequences, window_features
 
@@ -88,3 +89,24 @@ def test_key_at_rank_settles_ties(spark, skewed):
 def test_rank_without_a_chunk_count(skewed):
     got = [r.event_row_id for r in scale.global_rank(skewed, ["timestamp", "event_row_id"], "k").orderBy("k").collect()]
     assert got == [r.event_row_id for r in skewed.orderBy("timestamp", "event_row_id").collect()]
+
+
+def test_quantiles_have_the_same_bits_at_every_limit(spark):
+    """The direct aggregate and the bracketed search of large groups agree exactly, per column and per group."""
+    rng = np.random.default_rng(11)
+    rows = [("xyz"[i % 3], float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=1001), rng.exponential(size=1001) / 3))]
+    df = scale.durable(spark.createDataFrame(rows, "entity_id string, a double, b double"))
+    probs = [0.0, 0.1, 0.25, 0.37, 0.5, 0.731, 0.99, 1.0]
+    found, fitted = [], []
+    try:
+        for limit in ("10", "1000000"):
+            spark.conf.set("spark.lanternflow.maxGroupRows", limit)
+            found.append(scale.global_quantiles(df, ["a", "b"], probs))
+            base = B.fit_baselines(df, ["a", "b"])
+            fitted.append((base.medians, base.scales, sorted(tuple(r) for r in base.entities.collect())))
+    finally:
+        spark.conf.unset("spark.lanternflow.maxGroupRows")
+    assert found[0] == found[1] and fitted[0] == fitted[1]
+    for p in probs:
+        per = {r.entity_id: r.quantile for r in scale.exact_quantile(df, ["a"], p, by=["entity_id"], limit=10).collect()}
+        assert per == {r.entity_id: r.q for r in df.groupBy("entity_id").agg(F.percentile("a", p).alias("q")).collect()}
