@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternflow.session import durable
 
-__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "range_bucket", "runs_of", "table", "text_groups"]
+__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "gathered", "piece_groups", "range_bucket", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,62 +39,81 @@ class Memo(dict):
 
 
 class Recent:
-    """Results of costly look-ups for about ``limit`` to twice ``limit`` keys, the lately used ones."""
+    """Results of costly look-ups for the lately used keys, bounded by bytes.
 
-    def __init__(self, make_many: Callable[[list], Iterable], limit: int):
-        self.make_many, self.limit = make_many, limit
+    ``size(key, value)`` estimates a result's bytes; at most about twice ``most`` bytes are held, and a result
+    of more than a thousandth of ``most`` is not kept.
+    """
+
+    def __init__(self, make_many: Callable[[list], Iterable], size: Callable, most: int = 24 << 20):
+        self.make_many, self.size, self.most = make_many, size, most
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
-    def fetch(self, keys: set) -> dict:
-        """The results of all ``keys``; unknown ones are made together."""
-        found, missing, young, old = {}, [], self.young, self.old
-        for k in keys:
+    def fetch(self, keys: list) -> list:
+        """The results of ``keys`` in order; unknown ones are made together."""
+        out, missing, young, old = [], [], self.young, self.old
+        for i, k in enumerate(keys):
             if (v := young.get(k)) is None:
                 if (v := old.get(k)) is None:
-                    missing.append(k)
-                    continue
-                young[k] = v
-            found[k] = v
-        if missing:
-            made = dict(zip(missing, self.make_many(missing)))
-            found |= made
-            young |= made
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
-        return found
-
-
-def text_groups(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[list[str]]]:
-    """The runs of each text (a null is empty), for groups of texts of about ``most`` characters."""
-    group: list[list[str]] = []
-    size = 0
-    for t in texts:
-        t = t.as_py() or ""
-        group.append(runs_of(t))
-        size += len(t)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-# Latin letters without combining marks, and no controls: lower-cased alike by Python and by the library.
-_PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017e]*\\Z")
-_STOP_AFTER_SIGN = re.compile(r"[.,](?<=[\W_].)(?<!\s.)")
-
-
-def runs_of(text: str) -> list[str]:
-    """Pieces of a text, cut at white space, so that no word of a tokenizer reaches across.
-
-    In plain texts case is folded and stops and commas before white space are cut off too, where
-    they are signs by themselves: this leaves far fewer different pieces. (str.split() alone would
-    also cut at U+001C to U+001F, which are no white space for the tokenizer.)
+                    missing.append(i)
+                else:
+                    self._keep(k, v)
+            out.append(v)
+        for i, v in zip(missing, self.make_many([keys[i] for i in missing])):
+            out[i] = v
+            self._keep(keys[i], v)
+        if self.held > self.most:
+            self.old, self.young, self.held = young, {}, 0
+        return out
+
+    def _keep(self, key, value) -> None:
+        n = self.size(key, value)
+        if n * 1000 <= self.most:
+            self.young[key] = value
+            self.held += n
+
+
+# Latin letters without combining marks, and no controls: lower-cased alike by Arrow and by the library.
+_PLAIN_TEXT = r"\A[\t\n\r\x20-;=-~\x{a1}-\x{12f}\x{131}-\x{17e}]*\z"
+_STOP_AFTER_SIGN = r"[^0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17e}\s][.,]"
+_SEPARATORS = r"[\x1c-\x1f]"
+
+
+def piece_groups(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts (a null is empty) as pieces cut at white space, so that no word of a tokenizer reaches across.
+
+    Groups of texts of about ``most`` bytes: the distinct pieces, the number of each piece in order, and
+    where each text begins among them. In plain texts case is folded, and stops and commas before white space are
+    cut off too, where they are signs by themselves: this leaves far fewer different pieces.
     """
-    if "<" not in text and _PLAIN_TEXT.match(text) and not _STOP_AFTER_SIGN.search(text):
-        return text.lower().replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").split()
-    return text.split() if not re.search("[\x1c-\x1f]", text) else [r for r in re.split("[\t\n\x0b\x0c\r ]+", text) if r]
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        group = texts.slice(start, stop - start)
+        start = stop
+        plain = pc.and_not(pc.match_substring_regex(group, _PLAIN_TEXT), pc.match_substring_regex(group, _STOP_AFTER_SIGN))
+        folded = pc.utf8_lower(group)
+        for sign in (". ", ", ", ".\n"):
+            folded = pc.replace_substring(folded, sign, " " + sign)
+        group = pc.if_else(plain, folded, group)
+        if pc.any(pc.match_substring_regex(group, _SEPARATORS)).as_py():  # white space for Arrow, not for the tokenizer
+            cut = pc.split_pattern_regex(group, "[\t\n\x0b\x0c\r ]+")
+        else:
+            cut = pc.utf8_split_whitespace(group)
+        coded = cut.flatten().dictionary_encode()
+        yield coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
+
+
+def gathered(entries: list[bytes], at: np.ndarray, offsets: np.ndarray) -> tuple[memoryview, list[int]]:
+    """``entries`` in the order ``at`` as one buffer, and where each text (see ``piece_groups``) begins in it."""
+    taken = pa.array(entries, pa.large_binary()).take(pa.array(at))
+    _, places, data = taken.buffers()
+    begin = np.frombuffer(places, np.int64)[taken.offset:taken.offset + len(taken) + 1]
+    return memoryview(data) if data is not None else memoryview(b""), begin[offsets].tolist()
 
 
 def arrow_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

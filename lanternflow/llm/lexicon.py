@@ -13,6 +13,7 @@ whatever the size of the corpus; it changes speed only, never ids.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -27,9 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Recent, durable, runs_of, text_groups
+from lanternflow.llm.common import Recent, durable, gathered, piece_groups
 
-SEEN = 100_000   # pieces of text that a worker remembers at least
+SHORT = 24       # words of more letters are merged with a heap
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -180,6 +181,8 @@ class Bpe:
 
     def split(self, run: str) -> list[int | bytes]:
         """Special ids and words of a run of characters, in order."""
+        if not run:
+            return []
         if run.isascii():  # the common cases: a word, and a word before a stop or comma
             if run.isalpha():
                 return [run.lower().encode()]
@@ -198,6 +201,10 @@ class Bpe:
         if not parts:
             return []
         parts[-1] += self.end
+        joined = self._merge_long(parts) if len(parts) > SHORT else self._merge_short(parts)
+        return [self.vocab[p] for p in joined]
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
         rank_of, none = self.rank.get, len(self.rank)
         ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -208,20 +215,42 @@ class Bpe:
                 ranks[i] = rank_of((parts[i], parts[i + 1]), none)
             if i:
                 ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
-        return [self.vocab[p] for p in parts]
-
-
-@lru_cache(maxsize=2)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same in n log n: a linked list of parts and a heap of (rank, place), checked when taken."""
+        rank_of, n = self.rank.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank_of(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or rank_of((parts[i], parts[j])) != rank:
+                continue  # one of the two has been joined since
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [p for p in parts if p]
+
+
+@lru_cache(maxsize=1)
 def bpe_file(path: str) -> Bpe:
     return Bpe(path)
 
 
 # On Spark --------------------------------------------------------------------------------
 
-def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
-    """``word, n`` over all texts; each task sums up before the shuffle."""
+def word_counts(docs: DataFrame, path: str, most: int = 32 << 20) -> DataFrame:
+    """``word, n`` over all texts; each task sums up before the shuffle, in about ``most`` bytes."""
     def run(batches):
-        bpe, seen = bpe_file(path), Counter()
+        bpe, seen, held = bpe_file(path), Counter(), 0
 
         def flush():
             words: Counter = Counter()
@@ -233,32 +262,56 @@ def word_counts(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
             return pa.record_batch([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                seen.update(runs_of(text.as_py() or ""))
-                if len(seen) > most:
+            for pieces, at, _ in piece_groups(batch.column("text")):
+                before = len(seen)
+                for r, n in zip(pieces, np.bincount(at, minlength=len(pieces)).tolist()):
+                    seen[r] += n
+                held += (len(seen) - before) * 150 + sum(len(r) for r in pieces if len(r) > 64)
+                if held > most:
                     yield flush()
+                    held = 0
         yield flush()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, words: int = 262_144) -> bytes:
-    """The ``words`` most frequent words (ties by the word) of all texts, compiled."""
+def cutoff(counts: DataFrame, most: int, ways: int = 32) -> int:
+    """The least c for which at most ``most`` rows of ``counts(n)`` have n > c: a search by counting, ``ways`` guesses a pass."""
+    top = counts.agg(F.max("n")).first()[0] or 0
+    low, high = -1, top  # too many above low (or nothing known), few enough above high
+    while high - low > 1:
+        guesses = sorted({low + (high - low) * i // ways for i in range(1, ways)} - {low})
+        above = counts.agg(*[F.count_if(F.col("n") > g).alias(str(g)) for g in guesses]).first()
+        fits = [g for g, n in zip(guesses, above) if n <= most]
+        high = fits[0] if fits else high
+        low = max([g for g in guesses if g < high], default=low)
+        if high == 0 or not guesses:
+            break
+    return high
+
+
+def build_lexicon(docs: DataFrame, path: str, words: int = 262_144, letters: int = 64) -> bytes:
+    """The most frequent words of all texts, compiled: at most ``words`` of up to ``letters`` bytes.
+
+    Words that tie at the last place are left out together; what is left out is merged where it occurs.
+    """
     bpe = bpe_file(path)
-    # Ranked in the cluster and written, so that only these words come to the driver.
-    top = durable(word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word")).collect()
+    counts = durable(word_counts(docs, path).filter(F.length("word") <= letters))
+    # Chosen by a count alone, so that no task and not the driver sees more than these words.
+    top = counts.filter(F.col("n") > cutoff(counts, words)).select("word").collect()
     return Lexicon.compile({bytes(r["word"]): bpe.merge(bytes(r["word"])) for r in top})
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the results of a bounded number of runs."""
+    """Encodes and decodes texts; keeps the results of lately used pieces."""
 
     def __init__(self, path: str, lexicon: bytes):
         self.bpe, self.lexicon = bpe_file(path), Lexicon(lexicon)
-        self.runs = Recent(self._encode_runs, SEEN)
+        self.runs = Recent(self._encode_runs, lambda k, v: 350 + 2 * len(k) + len(v[1]) + len(v[2]))
 
     def _encode_runs(self, runs: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-        """All words walk the automaton together; the ones that it doesn't hold are merged."""
+        """Number of ids, decimal ids and tokens, each followed by a space. All words walk the automaton
+        together; the ones that it doesn't hold are merged."""
         cut, token_of = [self.bpe.split(r) for r in runs], self.bpe.token_of
         ranks = iter(self.lexicon.ranks([w for c in cut for w in c if isinstance(w, bytes)]).tolist())
         for c in cut:
@@ -269,42 +322,21 @@ class Codec:
                 else:
                     rank = next(ranks)
                     ids += self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
-            yield len(ids), " ".join(map(str, ids)).encode(), " ".join([token_of[i] for i in ids]).encode()
+            yield len(ids), "".join([f"{i} " for i in ids]).encode(), "".join([token_of[i] + " " for i in ids]).encode()
 
-    def many(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+    def many(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
         """(number of ids, decimal ids joined by a space, decoded text) of each text."""
-        for group in text_groups(texts):
-            known = self.runs.fetch(set().union(*group))
-            for runs in group:
-                found = [x for x in map(known.__getitem__, runs) if x[0]]
-                yield sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
-
-
-@lru_cache(maxsize=1)  # a worker goes on to other jobs; it need not keep the lexicon of an earlier one
-def _codec(path: str, digest: str, load) -> Codec:
-    return Codec(path, load())
-
-
-class _Load:
-    """The broadcast lexicon; equal to any other so that a worker's codec is found by its digest."""
-
-    def __init__(self, held):
-        self.held = held
-
-    def __call__(self) -> bytes:
-        return self.held.value
-
-    def __eq__(self, other):
-        return isinstance(other, _Load)
-
-    def __hash__(self):
-        return 0
+        for pieces, at, offsets in piece_groups(texts):
+            counts, ids, tokens = zip(*self.runs.fetch(pieces))
+            total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[at])])[offsets]
+            (x, i), (y, j) = gathered(ids, at, offsets), gathered(tokens, at, offsets)
+            for k in range(len(offsets) - 1):
+                yield int(total[k + 1] - total[k]), x[i[k]:max(i[k], i[k + 1] - 1)], y[j[k]:max(j[k], j[k + 1] - 1)]
 
 
 def _with_codec(docs: DataFrame, path: str, words: int):
-    data = build_lexicon(docs, path, words)
-    digest, held = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
-    return lambda: _codec(path, digest, _Load(held))
+    held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path, words))
+    return lambda: Codec(path, held.value)  # for one task: a worker that goes on to other stages keeps nothing of it
 
 
 def encode_decode(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame:
@@ -322,8 +354,8 @@ def encode_decode(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame
         for batch in batches:
             ids, decoded = [], []
             for _, i, d in codec.many(batch.column("text")):
-                ids.append(np.array(i.split(), np.int32))
-                decoded.append(d.decode())
+                ids.append(np.array(bytes(i).split(), np.int32))
+                decoded.append(bytes(d).decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
                                    pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
                                   ["doc_id", "n_tokens", "ids", "decoded"])

@@ -19,7 +19,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Recent, durable, text_groups
-from lanternflow.llm.lexicon import SEEN, bpe_file
+from lanternflow.llm.common import Recent, durable, gathered, piece_groups
+from lanternflow.llm.lexicon import bpe_file
 from lanternflow.session import shared_folder
 
 MASK_DELTA = 0xA282EAD8
@@ -61,13 +60,12 @@ class _Encoder:
     """Ids of texts as packed integers, by the tokenizers library.
 
     Ids of a text are those of its words, as its tokenizer cuts them. New words go to
-    the library's model; repeated pieces are looked up. The worker keeps a bounded number of
-    them between tasks.
+    the library's model; lately used pieces are looked up.
     """
 
     def __init__(self, path: str, width: int):
         self.file, self.code = bpe_file(path), "H" if width == 2 else "I"
-        self.runs = Recent(self._encode_runs, SEEN)
+        self.runs = Recent(self._encode_runs, lambda k, v: 250 + 2 * len(k) + len(v))
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -84,16 +82,11 @@ class _Encoder:
                     w.decode() if w.isalpha() else "".join([letters[b] for b in w]))]
             yield self._pack(ids)
 
-    def many(self, texts: pa.Array) -> Iterator[bytes]:
-        for group in text_groups(texts):
-            ids = self.runs.fetch(set().union(*group))
-            for runs in group:
-                yield b"".join(map(ids.__getitem__, runs))
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str, width: int) -> _Encoder:
-    return _Encoder(path, width)
+    def many(self, texts: pa.Array) -> Iterator[memoryview]:
+        for pieces, at, offsets in piece_groups(texts):
+            data, begin = gathered(self.runs.fetch(pieces), at, offsets)
+            for start, end in zip(begin, begin[1:]):
+                yield data[start:end]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, shards: int | None = None,
@@ -115,12 +108,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         part = f"{root}/.{shard}.{task.taskAttemptId()}"
-        encoder, end, at = _encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), 0
+        encoder, end, at = _Encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), 0
         with files.open_output_stream(part) as out:
             for batch in batches:
                 offsets, lengths, counts = [], [], []
                 for ids in encoder.many(batch.column("text")):
-                    record = frame(ids + end)
+                    record = frame(b"".join((ids, end)))
                     out.write(record)
                     offsets.append(at)
                     lengths.append(len(record))
