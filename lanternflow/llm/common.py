@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lanternflow.session import durable
 
-__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "gathered", "piece_groups", "range_bucket", "table"]
+__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "gathered", "give_back", "piece_groups", "range_bucket", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,14 @@ class Recent:
             self.held += n
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker that goes on to other stages else keeps its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # Latin letters without combining marks, and no controls: lower-cased alike by Arrow and by the library.
 _PLAIN_TEXT = r"\A[\t\n\r\x20-;=-~\x{a1}-\x{12f}\x{131}-\x{17e}]*\z"
 _STOP_AFTER_SIGN = r"[^0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17e}\s][.,]"

@@ -28,9 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.common import Recent, durable, gathered, piece_groups
+from lanternflow.llm.common import Recent, durable, gathered, give_back, piece_groups
 
 SHORT = 24       # words of more letters are merged with a heap
+GROUP = 2 << 20  # bytes of texts that are cut together
 # Runs of these characters are lower-cased and cut the same way by Python and by the library:
 # Latin letters without combining marks, and no controls. Others are cut by the library itself.
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-įı-ž]*\Z")
@@ -247,7 +248,7 @@ def bpe_file(path: str) -> Bpe:
 
 # On Spark --------------------------------------------------------------------------------
 
-def word_counts(docs: DataFrame, path: str, most: int = 32 << 20) -> DataFrame:
+def word_counts(docs: DataFrame, path: str, most: int = 12 << 20) -> DataFrame:
     """``word, n`` over all texts; each task sums up before the shuffle, in about ``most`` bytes."""
     def run(batches):
         bpe, seen, held = bpe_file(path), Counter(), 0
@@ -262,7 +263,7 @@ def word_counts(docs: DataFrame, path: str, most: int = 32 << 20) -> DataFrame:
             return pa.record_batch([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for pieces, at, _ in piece_groups(batch.column("text")):
+            for pieces, at, _ in piece_groups(batch.column("text"), GROUP):
                 before = len(seen)
                 for r, n in zip(pieces, np.bincount(at, minlength=len(pieces)).tolist()):
                     seen[r] += n
@@ -271,6 +272,7 @@ def word_counts(docs: DataFrame, path: str, most: int = 32 << 20) -> DataFrame:
                     yield flush()
                     held = 0
         yield flush()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -307,7 +309,7 @@ class Codec:
 
     def __init__(self, path: str, lexicon: bytes):
         self.bpe, self.lexicon = bpe_file(path), Lexicon(lexicon)
-        self.runs = Recent(self._encode_runs, lambda k, v: 350 + 2 * len(k) + len(v[1]) + len(v[2]))
+        self.runs = Recent(self._encode_runs, lambda k, v: 350 + 2 * len(k) + len(v[1]) + len(v[2]), 12 << 20)
 
     def _encode_runs(self, runs: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """Number of ids, decimal ids and tokens, each followed by a space. All words walk the automaton
@@ -326,7 +328,7 @@ class Codec:
 
     def many(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
         """(number of ids, decimal ids joined by a space, decoded text) of each text."""
-        for pieces, at, offsets in piece_groups(texts):
+        for pieces, at, offsets in piece_groups(texts, GROUP):
             counts, ids, tokens = zip(*self.runs.fetch(pieces))
             total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[at])])[offsets]
             (x, i), (y, j) = gathered(ids, at, offsets), gathered(tokens, at, offsets)
@@ -359,6 +361,8 @@ def encode_decode(docs: DataFrame, path: str, words: int = 262_144) -> DataFrame
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
                                    pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
                                   ["doc_id", "n_tokens", "ids", "decoded"])
+        del codec
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -376,5 +380,7 @@ def encoding_digest(docs: DataFrame, path: str, words: int = 262_144) -> DataFra
             n, i, d = zip(*out) if out else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],
                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del codec
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
