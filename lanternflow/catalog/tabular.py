@@ -72,10 +72,17 @@ def _rated(spark, sf):
     return tabular.with_logit(l.join(d, "doc_id").select("doc_id", F.col("quality").alias("label"), p.alias("p")), "p")
 
 
-@query("I5_temperature")
+@query("I5_temperature", """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, quality AS y, ln(p / (1 - p)) AS z FROM (SELECT doc_id, quality,
+  least(greatest(1 / (1 + exp(-(n_chars - 800.0) / 120.0)), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p FROM labels JOIN documents USING (doc_id))),
+ cut AS (SELECT 0 AS i, 1e-6::DOUBLE AS lo, 1048576.0::DOUBLE AS hi UNION ALL
+  SELECT i + 1, CASE WHEN up THEN lo ELSE sqrt(lo * hi) END, CASE WHEN up THEN sqrt(lo * hi) ELSE hi END FROM
+   (SELECT *, (SELECT sum((1 / (1 + exp(-sqrt(lo * hi) * z)) - y) * z) > 0 FROM d) AS up FROM cut WHERE i < 60)),
+ t AS (SELECT 1 / sqrt(lo * hi) AS t FROM cut WHERE i = 60)
+SELECT doc_id, y AS label, round(1 / (1 + exp(-z / t)), 6) AS p, round(t, 6) AS temperature FROM d CROSS JOIN t""")
 def temperature(spark, sf):
-    t = tabular.fit_temperature(durable(_rated(spark, sf)), "logit", "label")
-    return tabular.calibrated(_rated(spark, sf), "logit", t).select("doc_id", "label", "p", F.lit(t).alias("temperature"))
+    rated = durable(_rated(spark, sf))
+    t = tabular.fit_temperature(rated, "logit", "label")
+    return tabular.calibrated(rated, "logit", t).select("doc_id", "label", r6("p").alias("p"), r6(F.lit(t)).alias("temperature"))
 
 
 @query("I6_evaluation_row", """WITH d AS (SELECT quality AS y, least(greatest(1 / (1 + exp(-(n_chars - 800.0) / 120.0)), 1e-6), 1 - 1e-6) AS p FROM labels JOIN documents USING (doc_id)),

@@ -7,18 +7,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def _bits(counts: np.ndarray) -> float:
+    share = counts[counts > 0] / counts.sum()
+    return float(-(share * np.log2(share)).sum()) + 0.0
+
+
 def symbol_entropy(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """Shannon entropy in bits over the characters of a text, one row per key.
+    """Shannon entropy in bits over the characters of a text, one row per key; null and empty texts have 0.
 
-    Local to the row: each distinct character is counted as the length that the text loses
-    without it, and sum(-p log2 p) = log2(N) - sum(n log2 n) / N. Null and empty texts have 0.
+    One pass over the code points of each text, whatever the size of its alphabet.
     """
-    t = F.coalesce(text, F.lit(""))
-    size = F.length(t)
-    counts = F.transform(F.filter(F.array_distinct(F.split(t, "")), lambda c: c != ""),
-                         lambda c: size - F.length(F.replace(t, c, F.lit(""))))
-    weighed = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
-    return df.select(key, F.when(size > 0, F.log2(size.cast("double")) - weighed / size).otherwise(F.lit(0.0)).alias("entropy"))
+    @F.pandas_udf("double")
+    def entropy(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> float:
+            if not t:
+                return 0.0
+            points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+            few = points.max() < 4096
+            return _bits(np.bincount(points) if few else np.unique(points, return_counts=True)[1])
+        return texts.map(one)
+
+    return df.select(key, entropy(text).alias("entropy"))
 
 
 def byte_entropy(content: Column, limit: int | None = None) -> Column:
@@ -29,9 +39,7 @@ def byte_entropy(content: Column, limit: int | None = None) -> Column:
             if not blob:
                 return 0.0
             seen = np.frombuffer(blob, np.uint8)[:limit]
-            share = np.bincount(seen, minlength=256) / len(seen)
-            share = share[share > 0]
-            return float(-(share * np.log2(share)).sum()) + 0.0
+            return _bits(np.bincount(seen, minlength=256))
         return blobs.map(one)
 
     return entropy(content)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -47,18 +48,44 @@ def with_category_ids(df: DataFrame, column: str, fitted: DataFrame) -> DataFram
     return df.join(fitted, column, "left").withColumn(f"{column}_id", F.coalesce(f"{column}_id", F.lit(0)))
 
 
+# Bounds of 1/T, and how many passes a fit may take.
+LEAST_SLOPE, MOST_SLOPE, PASSES = 1e-6, 2.0 ** 20, 200
+
+
 def fit_temperature(rows: DataFrame, logit: str, label: str) -> float:
-    """T that minimises the log loss of sigmoid(logit / T): a one-weight logistic regression."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import Matrices
-
-    data = (VectorAssembler(inputCols=[logit], outputCol="features")
-            .transform(rows.select(F.col(logit).cast("double"), F.col(label).cast("double").alias("label"))))
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=0.0, maxIter=200,
-                               family="binomial",
-                               lowerBoundsOnCoefficients=Matrices.dense(1, 1, [1e-6])).fit(data)
-    return 1.0 / float(model.coefficients[0])
+    """T that minimises the log loss of sigmoid(logit / T), found by Newton steps on 1/T.
+
+    The loss is convex in 1/T; its first two derivatives are sums, so each step is one aggregate over ``rows``,
+    which should be a stored table. The sign of the slope keeps a bracket around the minimum, and a
+    step that would leave it halves the bracket instead. Labels that zero separates end where no loss is left in
+    double precision, labels that no slope fits at the least 1/T. Rows with a null logit or label don't count.
+    """
+    z, y = F.col(logit).cast("double"), F.col(label).cast("double")
+    known = rows.select(z.alias("z"), y.alias("y")).filter("z IS NOT NULL AND y IS NOT NULL")
+
+    def slope_at(b: float) -> tuple[float, float]:
+        # 1 / (1 + exp(-x)) without overflow
+        x = F.col("z") * F.lit(b)
+        e = F.exp(-F.abs(x))
+        p = F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
+        first, second = known.agg(F.sum((p - F.col("y")) * F.col("z")), F.sum(p * (1.0 - p) * F.col("z") * F.col("z"))).first()
+        return first or 0.0, second or 0.0
+
+    low, high, at = None, None, 1.0
+    for _ in range(PASSES):
+        first, second = slope_at(at)
+        if first == 0 or (first > 0 and at <= LEAST_SLOPE) or (first < 0 and at >= MOST_SLOPE):
+            break
+        low, high = (low, at) if first > 0 else (at, high)
+        if low is None or high is None:
+            at = max(LEAST_SLOPE, at / 4) if first > 0 else min(MOST_SLOPE, at * 4)
+            continue
+        step = at - first / second if second > 0 else math.inf
+        following = step if low < step < high else math.sqrt(low * high)
+        if abs(following - at) <= 1e-12 * at:
+            break
+        at = following
+    return 1.0 / at
 
 
 def with_logit(df: DataFrame, p: str, name: str = "logit") -> DataFrame:

@@ -169,7 +169,14 @@ def test_temperature_recovers_overconfidence(spark):
     z = rng.normal(size=4000) * 2
     y = rng.random(4000) < 1 / (1 + np.exp(-z))
     df = durable(spark.createDataFrame([(float(3 * a), int(b)) for a, b in zip(z, y)], "logit double, label int"))
-    assert tabular.fit_temperature(df, "logit", "label") == pytest.approx(3.0, rel=0.1)
+    t = tabular.fit_temperature(df, "logit", "label")
+    assert t == pytest.approx(3.0, rel=0.1)
+    slope = lambda b: float(((1 / (1 + np.exp(-3 * z * b)) - y) * 3 * z).sum())
+    assert slope(1 / t * (1 + 1e-9)) > 0 > slope(1 / t * (1 - 1e-9))
+    sure = spark.createDataFrame([(1.0, 1), (-1.0, 0), (None, 1), (2.0, None)], "logit double, label int")
+    assert tabular.fit_temperature(sure, "logit", "label") <= 1 / 36
+    wrong = spark.createDataFrame([(1.0, 0), (-1.0, 1)], "logit double, label int")
+    assert tabular.fit_temperature(wrong, "logit", "label") == pytest.approx(1e6)
 
 
 def test_snapshots_trend_from_zero(spark):
