@@ -62,7 +62,8 @@ class Recent:
                 if (v := old.get(k)) is None:
                     missing.append(i)
                 else:
-                    self._keep(k, v)
+                    young[k] = v
+                    self.held += 512  # about what a small result takes
             out.append(v)
         for i, v in zip(missing, self.make_many([keys[i] for i in missing])):
             out[i] = v

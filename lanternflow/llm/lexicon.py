@@ -107,7 +107,7 @@ class Lexicon:
         with tempfile.TemporaryFile() as f:
             f.write(data)
             f.flush()
-            mapped = np.memmap(f, np.uint8, "r")
+            mapped = np.asarray(np.memmap(f, np.uint8, "r"))
         at = 8 * len(self.ARRAYS)
         for (name, kind), n in zip(self.ARRAYS, mapped[:at].view(np.uint64).tolist()):
             size = n * np.dtype(kind).itemsize
@@ -141,6 +141,17 @@ class Lexicon:
     def ids_of(self, rank: int) -> list[int]:
         return self.ids[int(self.ids_at[rank]):int(self.ids_at[rank + 1])].tolist()
 
+    def ids_of_all(self, ranks: np.ndarray) -> list[list[int] | None]:
+        """The ids of each rank; None for -1."""
+        known = np.flatnonzero(ranks >= 0)
+        start, end = (self.ids_at[ranks[known] + k].astype(np.int64) for k in (0, 1))
+        n = end - start
+        flat = self.ids[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())].tolist()
+        out: list[list[int] | None] = [None] * len(ranks)
+        for i, a, b in zip(known.tolist(), (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
+            out[i] = flat[a:b]
+        return out
+
 
 # The tokenizer file ----------------------------------------------------------------------
 
@@ -165,9 +176,12 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+        # Pair of ids -> rank of its merge and the id that it makes, in one number that sorts by rank.
+        self.pair = {self.vocab[a] << 20 | self.vocab[b]: i << 20 | self.vocab[a + b] for i, (a, b) in enumerate(model["merges"])}
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.first = [self.vocab[c] for c in self.letters]
+        self.last = [self.vocab[c + self.end] for c in self.letters]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(split)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -198,47 +212,49 @@ class Bpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the adjacent pair of lowest rank is joined, leftmost first, until none is left."""
-        parts = [self.letters[b] for b in word]
-        if not parts:
+        if not word:
             return []
-        parts[-1] += self.end
-        joined = self._merge_long(parts) if len(parts) > SHORT else self._merge_short(parts)
-        return [self.vocab[p] for p in joined]
+        ids = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
+        return self._merge_long(ids) if len(ids) > SHORT else self._merge_short(ids)
+
+    def merge_unseen(self, word: bytes) -> list[int]:
+        """The same merges, done by the library's model: for the many words outside the lexicon."""
+        letters = word.decode() if word.isalpha() else "".join([self.letters[b] for b in word])
+        return [t.id for t in self.library.model.tokenize(letters)]
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        rank_of, none = self.rank.get, len(self.rank)
-        ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        found, none = self.pair.get, 1 << 60
+        ranks = [found(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
+                ranks[i] = found(ids[i] << 20 | ids[i + 1], none)
             if i:
-                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
-        return parts
+                ranks[i - 1] = found(ids[i - 1] << 20 | ids[i], none)
+        return ids
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same in n log n: a linked list of parts and a heap of (rank, place), checked when taken."""
-        rank_of, n = self.rank.get, len(parts)
+        found, n = self.pair.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank_of(p)) is not None]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := found(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if not parts[i] or j >= n or rank_of((parts[i], parts[j])) != rank:
+            if ids[i] < 0 or j >= n or found(ids[i] << 20 | ids[j]) != rank:
                 continue  # one of the two has been joined since
-            parts[i] += parts[j]
-            parts[j] = ""
+            ids[i], ids[j] = rank & 0xFFFFF, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of((parts[i], parts[k]))) is not None:
+                if (r := found(ids[i] << 20 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := rank_of((parts[h], parts[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := found(ids[h] << 20 | ids[i])) is not None:
                 heapq.heappush(heap, (r, h))
-        return [p for p in parts if p]
+        return [p for p in ids if p >= 0]
 
 
 @lru_cache(maxsize=1)
@@ -309,22 +325,24 @@ class Codec:
 
     def __init__(self, path: str, lexicon: bytes):
         self.bpe, self.lexicon = bpe_file(path), Lexicon(lexicon)
+        self.digits, self.tokens = ({i: f"{x} " for i, x in pairs} for pairs in (
+            zip(self.bpe.token_of, self.bpe.token_of), self.bpe.token_of.items()))
         self.runs = Recent(self._encode_runs, lambda k, v: 350 + 2 * len(k) + len(v[1]) + len(v[2]), 12 << 20)
 
     def _encode_runs(self, runs: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """Number of ids, decimal ids and tokens, each followed by a space. All words walk the automaton
         together; the ones that it doesn't hold are merged."""
-        cut, token_of = [self.bpe.split(r) for r in runs], self.bpe.token_of
-        ranks = iter(self.lexicon.ranks([w for c in cut for w in c if isinstance(w, bytes)]).tolist())
+        cut, merge, digits, tokens = [self.bpe.split(r) for r in runs], self.bpe.merge_unseen, self.digits, self.tokens
+        words = [w for c in cut for w in c if isinstance(w, bytes)]
+        known = iter(self.lexicon.ids_of_all(self.lexicon.ranks(words)))
         for c in cut:
             ids: list[int] = []
             for w in c:
                 if isinstance(w, int):
                     ids.append(w)
                 else:
-                    rank = next(ranks)
-                    ids += self.lexicon.ids_of(rank) if rank >= 0 else self.bpe.merge(w)
-            yield len(ids), "".join([f"{i} " for i in ids]).encode(), "".join([token_of[i] + " " for i in ids]).encode()
+                    ids += next(known) or merge(w)
+            yield len(ids), "".join(map(digits.__getitem__, ids)).encode(), "".join(map(tokens.__getitem__, ids)).encode()
 
     def many(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
         """(number of ids, decimal ids joined by a space, decoded text) of each text."""

@@ -37,9 +37,9 @@ def test_long_merges_equal_short_ones_and_the_library(bpe):
     rng = random.Random(4)
     for n in (1, 2, 25, 26, 300, 2000):
         word = "".join(rng.choices("aabcdeinorst", k=n))
-        parts = [*word[:-1], word[-1] + bpe.end]
+        parts = [*[bpe.vocab[c] for c in word[:-1]], bpe.vocab[word[-1] + bpe.end]]
         assert bpe._merge_long(list(parts)) == bpe._merge_short(list(parts))
-        assert bpe.merge(word.encode()) == bpe.library.encode(word, add_special_tokens=False).ids
+        assert bpe.merge(word.encode()) == bpe.merge_unseen(word.encode()) == bpe.library.encode(word, add_special_tokens=False).ids
 
 
 def test_word_of_a_million_letters(spark, bpe):
