@@ -13,12 +13,13 @@ from lanternflow.catalog.tabular import forest_sql
 from lanternflow.catalog.views import DOCS, attack_days, flows
 from lanternflow.catalog.windows import multiscale_sql
 from lanternflow.operators import baselines as B
+from lanternflow.operators import iforest
 from lanternflow.operators import metrics as M
 from lanternflow.operators.tokens import tokenize
 from lanternflow.operators.windows import multiscale_features, multiscale_names
 from lanternflow.plans import studies
 from lanternflow.plans.detection import durable
-from lanternflow.sources import files
+from lanternflow.sources import files, sinks
 
 C = f"WITH {CHAIN}"
 D = f"WITH {DOCS}"
@@ -209,10 +210,9 @@ def ablation(spark, sf):
     return out.select("variant", "tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in [*POINT, "macro_recall"]])
 
 
-_DRIFT = f"""{C}, {day_thresholds_sql(['score', 'score_without_nll'])},
- lng AS (SELECT v.day, v.variant, d.label, v.v FROM (SELECT day, variant, v, event_row_id FROM
-   (SELECT day, 'score' AS variant, score AS v, event_row_id FROM daily UNION ALL SELECT day, 'score_without_nll', score_without_nll, event_row_id FROM daily)) v
-   JOIN daily d USING (event_row_id)),
+def drift_sql(columns) -> str:
+    values = " UNION ALL ".join(f"SELECT day, '{c}' AS variant, label, {c} AS v FROM daily" for c in columns)
+    return f"""{day_thresholds_sql(columns)}, lng AS ({values}),
  pts AS (SELECT variant, policy, day, prev_day, label, v, threshold AS t FROM lng JOIN lim USING (day, variant)),
  cells AS (SELECT variant, policy, day, prev_day, count(*) FILTER (label <> 'BENIGN' AND v >= t) AS tp, count(*) FILTER (label = 'BENIGN' AND v >= t) AS fp,
    count(*) FILTER (label = 'BENIGN') AS nb, count(*) FILTER (label <> 'BENIGN') AS np FROM pts GROUP BY ALL),
@@ -221,6 +221,9 @@ _DRIFT = f"""{C}, {day_thresholds_sql(['score', 'score_without_nll'])},
  daily_points AS (SELECT c.*, fp / nullif(nb, 0) AS fpr, coalesce(tp / nullif(np, 0), 0) AS recall, macro_recall FROM cells c LEFT JOIN mac USING (variant, policy, day))"""
 
 
+_DRIFT = f"{C}, {drift_sql(['score', 'score_without_nll'])}"
+
+
 @query("G12_drift_study", f"""{_DRIFT} SELECT variant, policy, day, prev_day, tp, fp, round(coalesce(fpr, 0), 6) AS fpr, round(recall, 6) AS recall,
  round(macro_recall, 6) AS macro_recall, policy <> 'prev_day_unlabeled' AS labels_used FROM daily_points""")
 def drift(spark, sf):
@@ -363,20 +366,56 @@ def family_aggregate(spark, sf):
     return a.select("family", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs", "sample_count")
 
 
-_SEEDS = f"""{_DRIFT}, sp AS (SELECT variant, policy, day, coalesce(fpr, 0) AS fpr, recall, macro_recall,
-  CASE variant WHEN 'score' THEN 42 ELSE 43 END AS seed FROM daily_points)"""
+_FOREST = multiscale_names((8, 32, 128))
+_RUNS = [f"forest_{seed}" for seed in studies.SEEDS]
 
 
-def _seed_points(spark, sf):
-    """The two score variants stand in for two seeds of one study."""
-    p = studies.drift_study(shared.stream(spark, sf), ["score", "score_without_nll"], DEV_DAY, 0.01)
-    return durable(p.withColumn("seed", F.when(F.col("variant") == "score", 42).otherwise(43)))
+def _seeded_sql() -> str:
+    """The scored stream with one forest score per seed; each forest is a query of its own."""
+    order = '"timestamp", event_row_id'
+    features = lambda source: multiscale_sql(source, (8, 32, 128), order, "event_row_id", rounded=False)
+    forests = ", ".join(f"{run} AS MATERIALIZED (WITH {forest_sql('ftrain', 'frows', _FOREST, seed)} "
+                        f"SELECT event_row_id, round(isolation_forest, 6) AS {run} FROM forest)" for run, seed in zip(_RUNS, studies.SEEDS))
+    joins = " ".join(f"JOIN {run} USING (event_row_id)" for run in _RUNS)
+    return f"""{C}, ftrain AS MATERIALIZED ({features("tr")}),
+ frows AS MATERIALIZED ({features("(SELECT * FROM flows WHERE split <> 'train')")}), {forests},
+ seeded AS MATERIALIZED (SELECT * FROM sst {joins})"""
+
+
+def _seeded(spark, sf):
+    """The scored stream with the scores of three forests, each grown from a seed of its own, to six places."""
+    def build():
+        fit = durable(multiscale_features(shared.benign_train(spark, sf), (8, 32, 128)).select("event_row_id", *_FOREST))
+        rows = multiscale_features(flows(spark, sf).filter(F.col("split") != "train"), (8, 32, 128)).select("event_row_id", *_FOREST)
+        for run, seed in zip(_RUNS, studies.SEEDS):
+            rows = iforest.with_isolation_score(rows, durable(iforest.fit_forest(fit, "event_row_id", _FOREST, seed)), _FOREST, run)
+        rows = rows.select("event_row_id", *[F.round(run, 6).alias(run) for run in _RUNS])
+        return durable(shared.stream(spark, sf).join(rows, "event_row_id"))
+    return shared.once(spark, sf, "seeded", build)
+
+
+def _studied(spark, artifacts):
+    """Artifacts written one file each and read back."""
+    path = scratch(spark)
+    sinks.write_studies(artifacts, path)
+    return files.read_studies(spark, path)
+
 
+def _drift_points(spark, sf):
+    p = studies.drift_study(_seeded(spark, sf), _RUNS, DEV_DAY, 0.01)
+    p = durable(p.withColumns({"seed": F.substring_index("variant", "_", -1).cast("long"), "variant": F.lit("isolation_forest")}))
+    return durable(studies.drift_points(_studied(spark, studies.drift_artifacts(p, 0.01)), "isolation_forest"))
 
-@query("G17_drift_over_seeds_daily", f"{_SEEDS} SELECT policy, day, round(avg(fpr), 6) AS mean, round(stddev_pop(fpr), 6) AS std, count(*) AS n_runs FROM sp GROUP BY ALL")
+
+_SEEDS = f"""{_seeded_sql()}, {drift_sql(_RUNS).replace("FROM sst)", "FROM seeded)")},
+ sp AS (SELECT variant AS seed, policy, day, coalesce(fpr, 0) AS fpr, recall, macro_recall FROM daily_points)"""
+
+
+@query("G17_drift_over_seeds_daily", f"""{_SEEDS} SELECT policy, policy <> 'prev_day_unlabeled' AS labels_used, day, round(avg(fpr), 6) AS mean,
+ round(stddev_pop(fpr), 6) AS std, count(*) AS n_runs FROM sp GROUP BY ALL""")
 def drift_seeds_daily(spark, sf):
-    daily, _ = studies.drift_over_seeds(_seed_points(spark, sf))
-    return daily.select("policy", "day", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+    daily, _ = studies.drift_over_seeds(_drift_points(spark, sf))
+    return daily.select("policy", "labels_used", "day", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
 
 
 @query("G17_drift_over_seeds_rollup", f"""{_SEEDS}, ps AS (SELECT policy, seed, max(fpr) AS max_daily_fpr, avg(recall) AS mean_daily_recall,
@@ -384,5 +423,57 @@ def drift_seeds_daily(spark, sf):
 SELECT policy, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_runs FROM
  (UNPIVOT ps ON max_daily_fpr, mean_daily_recall, mean_daily_macro_recall INTO NAME metric VALUE v) GROUP BY ALL""")
 def drift_seeds_rollup(spark, sf):
-    _, roll = studies.drift_over_seeds(_seed_points(spark, sf))
+    _, roll = studies.drift_over_seeds(_drift_points(spark, sf))
     return roll.select("policy", "metric", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+
+
+_RIVALS = ["score", "score_without_nll"]
+_SEED_LONG = f"""{_seeded_sql()}, cols AS ({_by_variant([*_RIVALS, *_RUNS], "seeded")}),
+lng AS MATERIALIZED (SELECT s.seed, CASE WHEN variant LIKE 'forest%' THEN 'isolation_forest' ELSE variant END AS variant, label, split, v
+  FROM cols JOIN (SELECT unnest({studies.SEEDS}) AS seed) s ON variant NOT LIKE 'forest%' OR variant = 'forest_' || s.seed),
+lim AS (SELECT seed, variant, min(v) FILTER (k >= ceil((n - 1) * 0.99::DOUBLE)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY seed, variant ORDER BY v) - 1 AS k,
+  count(*) OVER (PARTITION BY seed, variant) AS n FROM lng WHERE split = 'dev' AND label = 'BENIGN') GROUP BY ALL)"""
+
+
+def _run_of(spark, sf, seed, split):
+    return _seeded(spark, sf).filter(F.col("split") == split).withColumnRenamed(f"forest_{seed}", "isolation_forest")
+
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("G17_selection_over_seeds", f"""{_SEED_LONG}, dev AS (SELECT * FROM lng JOIN lim USING (seed, variant) WHERE split = 'dev'),
+ pts AS (SELECT seed, variant, any_value(t) AS threshold, count(*) FILTER (label <> 'BENIGN' AND v >= t) AS tp,
+  count(*) FILTER (label = 'BENIGN' AND v >= t) AS fp, count(*) FILTER (label = 'BENIGN') AS nb FROM dev GROUP BY ALL),
+ mac AS (SELECT seed, variant, avg(r) AS macro_recall FROM (SELECT seed, variant, label, avg(CAST(v >= t AS DOUBLE)) AS r FROM dev WHERE label <> 'BENIGN' GROUP BY ALL) GROUP BY ALL),
+ rated AS (SELECT seed, variant, threshold, macro_recall, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", fp / nb AS fpr,
+  fp / nb <= 0.01 + 1.0 / nb + 1e-12 AS eligible FROM pts JOIN mac USING (seed, variant)),
+ won AS (SELECT seed, variant AS winner, threshold AS winner_threshold FROM rated WHERE eligible
+  QUALIFY row_number() OVER (PARTITION BY seed ORDER BY macro_recall DESC, "precision" DESC, variant) = 1)
+SELECT CAST(seed AS BIGINT) AS seed, winner, round(winner_threshold, 6) AS winner_threshold, variant, round(macro_recall, 6) AS macro_recall,
+ round("precision", 6) AS "precision", round(fpr, 6) AS fpr FROM rated JOIN won USING (seed)""")
+def selection_seeds(spark, sf):
+    """Candidate selection of three seeds, written as artifacts, read back and flattened."""
+    screened = _union([studies.screen_candidates(_run_of(spark, sf, s, "dev"), [*_RIVALS, "isolation_forest"], 0.01)
+                       .withColumn("seed", F.lit(s).cast("long")) for s in studies.SEEDS])
+    out = studies.selection_summary(_studied(spark, studies.selection_artifacts(screened)))
+    return out.select("seed", "winner", "variant", *[r6(c).alias(c) for c in ("winner_threshold", "macro_recall", "precision", "fpr")])
+
+
+@query("G17_ablation_over_seeds", f"""{_SEED_LONG}, tst AS (SELECT seed, variant, label, v AS score, t FROM lng JOIN lim USING (seed, variant) WHERE split = 'test'),
+ mac AS (SELECT seed, variant, avg(r) AS macro_recall FROM (SELECT seed, variant, label, avg(CAST(score >= t AS DOUBLE)) AS r FROM tst WHERE label <> 'BENIGN' GROUP BY ALL) GROUP BY ALL),
+ w AS (SELECT variant, CAST(recall AS DOUBLE) AS recall, CAST("precision" AS DOUBLE) AS "precision", CAST(f1 AS DOUBLE) AS f1, CAST(fpr AS DOUBLE) AS fpr, macro_recall
+  FROM ({point_sql('tst', 'seed, variant', digits=12)}) JOIN mac USING (seed, variant))
+SELECT variant, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_runs FROM
+ (UNPIVOT w ON recall, "precision", f1, fpr, macro_recall INTO NAME metric VALUE v) GROUP BY ALL""")
+def ablation_seeds(spark, sf):
+    """Ablation of three seeds, written as artifacts, read back and averaged."""
+    points = _union([studies.ablation_study(_run_of(spark, sf, s, "dev"), _run_of(spark, sf, s, "test"), [*_RIVALS, "isolation_forest"], 0.01)
+                     .withColumn("seed", F.lit(s).cast("long")) for s in studies.SEEDS])
+    summary = studies.ablation_summary(_studied(spark, studies.ablation_artifacts(points)))
+    out = studies.variants_over_seeds(summary, ["recall", "precision", "f1", "fpr", "macro_recall"])
+    return out.select("variant", "metric", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")

@@ -24,7 +24,7 @@ def reset() -> None:
     _kept.clear()
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable):
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable):
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
         _kept[key] = build()
@@ -36,42 +36,42 @@ def benign_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detector(spark: SparkSession, sf_dir: str) -> D.Detector:
-    return _once(spark, sf_dir, "detector", lambda: D.fit_detector(
+    return once(spark, sf_dir, "detector", lambda: D.fit_detector(
         benign_train(spark, sf_dir), SEQ_LEN, TOP_N, BINS, min_windows=MIN_WINDOWS))
 
 
 def tokenizer(spark: SparkSession, sf_dir: str):
     from lanternflow.operators.tokens import fit_tokenizer
-    return _once(spark, sf_dir, "tokenizer", lambda: fit_tokenizer(benign_train(spark, sf_dir), TOP_N, BINS))
+    return once(spark, sf_dir, "tokenizer", lambda: fit_tokenizer(benign_train(spark, sf_dir), TOP_N, BINS))
 
 
 def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "train_windows", lambda: D.windows_of(
+    return once(spark, sf_dir, "train_windows", lambda: D.windows_of(
         benign_train(spark, sf_dir), tokenizer(spark, sf_dir), SEQ_LEN))
 
 
 def train_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training windows with their NLL under the fitted model."""
     from lanternflow.operators.nextevent import with_nll
-    return _once(spark, sf_dir, "train_scores", lambda: durable(
+    return once(spark, sf_dir, "train_scores", lambda: durable(
         with_nll(train_windows(spark, sf_dir), detector(spark, sf_dir).model)))
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Development and test events scored as one stream; context crosses the boundary."""
-    return _once(spark, sf_dir, "stream", lambda: durable(D.score_events(
+    return once(spark, sf_dir, "stream", lambda: durable(D.score_events(
         flows(spark, sf_dir).filter(F.col("split") != "train"), detector(spark, sf_dir), ABLATIONS)))
 
 
 def by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events with windows that restart at the split boundary."""
-    return _once(spark, sf_dir, "by_split", lambda: durable(D.score_events(
+    return once(spark, sf_dir, "by_split", lambda: durable(D.score_events(
         flows(spark, sf_dir).filter(F.col("split") != "train"), detector(spark, sf_dir), ABLATIONS,
         keys=("split", "entity_id"))))
 
 
 def stream_threshold(spark: SparkSession, sf_dir: str) -> float:
-    return _once(spark, sf_dir, "threshold", lambda: operating_thresholds(
+    return once(spark, sf_dir, "threshold", lambda: operating_thresholds(
         D.benign_of(stream(spark, sf_dir).filter(F.col("split") == "dev")), ["score"], TARGET_FPR)["score"])
 
 

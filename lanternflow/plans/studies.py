@@ -240,21 +240,100 @@ def family_aggregate(families: DataFrame) -> DataFrame:
         F.min_by("sample_count", "seed").alias("sample_count"))
 
 
+def drift_artifacts(points: DataFrame, target_fpr: float) -> DataFrame:
+    """Drift points of several seeds as artifacts, one row per ``seed``: score variant, policy and day nested."""
+    day = F.struct(F.col("fpr").alias("observed_test_fpr"), "recall", F.col("macro_recall").alias("macro_attack_family_recall"),
+                   F.struct(F.col("labels_used").alias("labels_used_for_threshold")).alias("calibration_population"))
+    policy = points.groupBy("seed", "variant", "policy").agg(
+        F.max("fpr").alias("max_daily_fpr"), F.map_from_entries(F.collect_list(F.struct("day", day))).alias("days"))
+    variant = policy.groupBy("seed", "variant").agg(
+        F.map_from_entries(F.collect_list(F.struct("policy", F.struct("max_daily_fpr", "days")))).alias("policies"))
+    scores = variant.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("variant", "policies"))).alias("scores"))
+    days = points.groupBy("seed").agg(F.array_sort(F.collect_set("day")).alias("test_days"))
+    return scores.join(days, "seed").select(F.col("seed").alias("bundle_seed"), F.lit(float(target_fpr)).alias("target_fpr"),
+                                            "test_days", "scores")
+
+
+def selection_artifacts(screened: DataFrame) -> DataFrame:
+    """Screened candidates of several seeds as artifacts, one row per ``seed``."""
+    return screened.groupBy(F.col("seed").alias("bundle_seed")).agg(
+        F.max(F.when(F.col("rank") == 1, F.struct("variant", "threshold"))).alias("winner"),
+        F.array_sort(F.collect_list(F.struct("variant", "threshold", F.col("macro_recall").alias("macro_attack_family_recall"),
+                                             "precision", "fpr", "p95_latency_ms"))).alias("candidates"))
+
+
+def ablation_artifacts(points: DataFrame) -> DataFrame:
+    """Operating points of ablation variants of several seeds as artifacts, one row per ``seed``."""
+    point = F.struct("recall", "precision", "f1", F.col("fpr").alias("observed_test_fpr"),
+                     F.col("benign_alerts_per_10000").alias("benign_alerts_per_10000_events"))
+    value = F.struct(point.alias("frozen_operating_point"), F.col("macro_recall").alias("macro_attack_family_recall"))
+    return points.groupBy(F.col("seed").alias("bundle_seed")).agg(
+        F.map_from_entries(F.collect_list(F.struct("variant", value))).alias("variants"))
+
+
+def drift_points(artifacts: DataFrame, score: str) -> DataFrame:
+    """One row per artifact, policy and test day of one score."""
+    runs = artifacts.filter(F.col("scores").isNotNull()).select(
+        "artifact", F.col("bundle_seed").alias("seed"), "target_fpr", "test_days", F.explode(F.col("scores")[score]).alias("policy", "_p"))
+    return runs.select("*", F.explode("_p.days").alias("day", "_d")).select(
+        "artifact", "seed", "target_fpr", "test_days", "policy", F.col("_p.max_daily_fpr").alias("max_daily_fpr"), "day",
+        F.col("_d.observed_test_fpr").alias("fpr"), F.col("_d.recall").alias("recall"),
+        F.col("_d.macro_attack_family_recall").alias("macro_recall"),
+        F.col("_d.calibration_population.labels_used_for_threshold").alias("labels_used"))
+
+
+def _over_seeds(long: DataFrame, *by: str) -> DataFrame:
+    return long.filter(F.col("value").isNotNull()).groupBy(*by).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n_runs"))
+
+
 def drift_over_seeds(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Daily FPR and per-policy rollups across seeds; seeds must cover the same test days."""
-    days = points.groupBy("seed").agg(F.array_sort(F.collect_set("day")).alias("days"))
-    if days.select("days").distinct().count() > 1:
-        raise ValueError("drift runs disagree on test days")
-    daily = points.groupBy("policy", "day").agg(F.avg("fpr").alias("mean"), F.stddev_pop("fpr").alias("std"),
-                                                F.count("fpr").alias("n_runs"))
-    per_seed = points.groupBy("policy", "seed").agg(
-        F.max("fpr").alias("max_daily_fpr"), F.avg("recall").alias("mean_daily_recall"),
+    """Daily FPR and per-policy rollups across the artifacts of ``drift_points``.
+
+    They must agree on the test days, the target FPR and on which policies use labels. A metric that is
+    null in an artifact is averaged over the others.
+    """
+    for column in ("test_days", "target_fpr"):
+        if points.select(column).distinct().count() > 1:
+            raise ValueError(f"drift runs disagree on {column}")
+    mixed = points.groupBy("policy").agg(F.count_distinct("labels_used").alias("n")).filter("n > 1").first()
+    if mixed:
+        raise ValueError(f"drift runs disagree on the use of labels by {mixed['policy']}")
+    daily = _over_seeds(points.select("policy", "labels_used", "day", F.col("fpr").alias("value")), "policy", "labels_used", "day")
+    per_run = points.groupBy("policy", "artifact").agg(
+        F.max("max_daily_fpr").alias("max_daily_fpr"), F.avg("recall").alias("mean_daily_recall"),
         F.avg("macro_recall").alias("mean_daily_macro_recall"))
-    long = per_seed.unpivot(["policy"], ["max_daily_fpr", "mean_daily_recall", "mean_daily_macro_recall"],
-                            "metric", "value").filter(F.col("value").isNotNull())
-    rollup = long.groupBy("policy", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-                                                  F.count("value").alias("n_runs"))
-    return daily, rollup
+    names = ["max_daily_fpr", "mean_daily_recall", "mean_daily_macro_recall"]
+    return daily, _over_seeds(per_run.unpivot(["policy"], names, "metric", "value"), "policy", "metric")
+
+
+def _required(c: Column, what: str) -> Column:
+    return F.when(c.isNull(), F.raise_error(F.lit(f"study artifact has no {what}"))).otherwise(c)
+
+
+def selection_summary(artifacts: DataFrame) -> DataFrame:
+    """One row per selection artifact and candidate, with the winner and its threshold; a missing winner is an error."""
+    rows = artifacts.filter(F.col("candidates").isNotNull()).select(
+        "artifact", F.col("bundle_seed").alias("seed"), _required(F.col("winner.variant"), "winner").alias("winner"),
+        F.col("winner.threshold").alias("winner_threshold"), F.explode("candidates").alias("_c"))
+    return rows.select("artifact", "seed", "winner", "winner_threshold", F.col("_c.variant").alias("variant"),
+                       F.col("_c.macro_attack_family_recall").alias("macro_recall"),
+                       F.col("_c.precision").alias("precision"), F.col("_c.fpr").alias("fpr"))
+
+
+def ablation_summary(artifacts: DataFrame) -> DataFrame:
+    """One row per ablation artifact and variant; a variant without an operating point is an error."""
+    rows = artifacts.filter(F.col("variants").isNotNull()).select(
+        "artifact", F.col("bundle_seed").alias("seed"), F.explode("variants").alias("variant", "_v"))
+    point = F.col("_v.frozen_operating_point")
+    return rows.select("artifact", "seed", "variant", _required(point["recall"], "frozen_operating_point").alias("recall"),
+                       point["precision"].alias("precision"), point["f1"].alias("f1"), point["observed_test_fpr"].alias("fpr"),
+                       F.col("_v.macro_attack_family_recall").alias("macro_recall"))
+
+
+def variants_over_seeds(summary: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of each variant's metrics over the artifacts of a summary."""
+    return _over_seeds(summary.unpivot(["variant"], list(metrics), "metric", "value"), "variant", "metric")
 
 
 def dataset_profile(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -95,6 +95,20 @@ def run_families(runs: DataFrame) -> DataFrame:
         "dataset", "seed", "family", "v.sample_count", "v.recall")
 
 
+_STUDY = ("bundle_seed bigint, target_fpr double, test_days array<string>, "
+          "scores map<string, map<string, struct<max_daily_fpr: double, days: map<string, struct<observed_test_fpr: double, "
+          "recall: double, macro_attack_family_recall: double, calibration_population: struct<labels_used_for_threshold: boolean>>>>>>, "
+          "winner struct<variant: string, threshold: double>, "
+          "candidates array<struct<variant: string, macro_attack_family_recall: double, precision: double, fpr: double>>, "
+          f"variants map<string, struct<frozen_operating_point: struct<{_POINT.replace(' double', ': double')}>, macro_attack_family_recall: double>>")
+
+
+def read_studies(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Artifacts of drift, selection and ablation studies as one table, one row per file; what a kind lacks is null."""
+    raw = spark.read.schema(_STUDY).option("multiLine", True).json(paths)
+    return raw.select(F.col("_metadata.file_path").alias("artifact"), "*")
+
+
 def read_binaries(spark: SparkSession, folders: dict[str, int]) -> DataFrame:
     """Files below labelled folders: ``path, length, content, label``."""
     out = None

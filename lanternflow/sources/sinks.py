@@ -39,3 +39,8 @@ def write_packets(alerts: DataFrame, packets: DataFrame, path: str, fmt: str = "
     """Packets in one folder per alert plus the manifest."""
     write_table(packets, f"{path}/packets", fmt, ["alert_index"])
     write_table(packet_manifest(alerts, packets), f"{path}/manifest", fmt)
+
+
+def write_studies(artifacts: DataFrame, path: str) -> None:
+    """One JSON file per artifact row."""
+    artifacts.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
