@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternflow.operators.scale import exact_quantile
-from lanternflow.session import durable
+from lanternflow.operators.scale import exact_quantile, few
+from lanternflow.session import durable, max_group_rows
 
 P_FLOOR = 1e-9
 CONTEXT = ["t2", "t1"]
@@ -83,11 +83,19 @@ def with_nll(windows: DataFrame, m: NextEventModel) -> DataFrame:
     """Add ``nll`` to every full-context window.
 
     The probability depends on the triple alone, so it is computed once per distinct
-    triple; the events take part in one map-side combined distinct and one join.
+    triple; the events take part in one map-side combined count and one join. Triples with more
+    rows than a task may hold are looked up in a table of bounded size, without a shuffle of their rows.
     """
-    distinct = windows.select(*CONTEXT, "token_id").distinct()
-    scored = _score_triples(distinct, m).select(*CONTEXT, "token_id", nll_of(F.col("p")).alias("nll"))
-    return windows.join(scored, [*CONTEXT, "token_id"])
+    triple, limit = [*CONTEXT, "token_id"], max_group_rows(windows.sparkSession)
+    counts = durable(windows.groupBy(*triple).agg(F.count(F.lit(1)).alias("_n")))
+    scored = _score_triples(counts, m).select(*triple, "_n", nll_of(F.col("p")).alias("nll"))
+    hot_rows = counts.agg(F.sum(F.when(F.col("_n") > limit, F.col("_n")))).first()[0]
+    if hot_rows is None:
+        return windows.join(scored.drop("_n"), triple)
+    scored = durable(scored)
+    hot = few(scored.filter(F.col("_n") > limit).drop("_n"), hot_rows // limit)
+    rare = windows.join(hot.select(*triple), triple, "left_anti").join(scored.filter(F.col("_n") <= limit).drop("_n"), triple)
+    return windows.join(hot, triple).unionByName(rare)
 
 
 def with_nll_by_lookup(windows: DataFrame, m: NextEventModel) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanternflow.functions import values as V
 from lanternflow.operators.scale import POS, HotKeys, over_sequences
@@ -91,11 +93,68 @@ def _with_distinct_counts(rows: DataFrame, w: WindowSpec, spans: dict[str, list[
         for name, n in pairs])
 
 
+class Multiplicity:
+    """How often the commonest of the last values occurs; a value that comes or goes costs the same at any width."""
+
+    def __init__(self):
+        self.count: dict = {}     # value -> its occurrences
+        self.having: dict = {0: 0}  # number of occurrences -> values that have it
+        self.top = 0
+
+    def come(self, value) -> None:
+        n = self.count[value] = self.count.get(value, 0) + 1
+        self.having[n] = self.having.get(n, 0) + 1
+        self.having[n - 1] = self.having.get(n - 1, 0) - 1
+        self.top = max(self.top, n)
+
+    def go(self, value) -> None:
+        n = self.count.pop(value)
+        if n > 1:
+            self.count[value] = n - 1
+        self.having[n] -= 1
+        self.having[n - 1] += 1
+        if n == self.top and not self.having[n]:
+            self.top = n - 1
+
+
+def _with_top_counts(rows: DataFrame, value: str, first: str, widths: Sequence[int]) -> DataFrame:
+    """Add ``_top_<n>``: occurrences of the commonest ``value`` among the last n rows; nulls take a place but don't count.
+
+    The partitions hold whole sequences in order and stream by; ``first`` marks where a sequence begins.
+    Only the longest width of values is kept from batch to batch.
+    """
+    names, longest = [f"_top_{n}" for n in widths], max(widths)
+
+    def run(batches):
+        past: list = []
+        scales = [Multiplicity() for _ in widths]
+        for batch in batches:
+            coded = batch.column(value).dictionary_encode()
+            values = coded.dictionary.to_pylist()
+            tops: list[list[int]] = [[] for _ in widths]
+            for starts, code in zip(batch.column(first).to_pylist(), coded.indices.to_pylist()):
+                if starts:
+                    past, scales = [], [Multiplicity() for _ in widths]
+                new = None if code is None else values[code]
+                for n, scale, top in zip(widths, scales, tops):
+                    if len(past) >= n and past[-n] is not None:
+                        scale.go(past[-n])
+                    if new is not None:
+                        scale.come(new)
+                    top.append(scale.top)
+                past.append(new)
+            del past[:-longest]
+            yield pa.record_batch([*batch.columns, *[pa.array(t, pa.int32()) for t in tops]], [*batch.schema.names, *names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(n, T.IntegerType()) for n in names]]))
+
+
 def multiscale_features(events: DataFrame, widths: Sequence[int] = (8, 32, 128),
                         keys: Sequence[str] = ("entity_id",), hot: HotKeys | None = None) -> DataFrame:
     """Causal behaviour features at several row-count horizons; short starts are allowed.
 
-    Peers new to a horizon are those of the last 2n rows minus those of the n rows before it.
+    Peers new to a horizon are those of the last 2n rows minus those of the n rows before it. The share of the commonest
+    kind of event is counted while the sorted sequences stream by, so that no row holds a list of its window.
     """
 
     def compute(part: DataFrame, w: WindowSpec, cols: list[str]) -> DataFrame:
@@ -104,28 +163,29 @@ def multiscale_features(events: DataFrame, widths: Sequence[int] = (8, 32, 128),
         gaps = _with_gaps(_with_gaps(base, cols, "dst_id", "peer"), cols, "_p", "port")
         counted = _with_distinct_counts(gaps, w, {
             "peer": sorted({m for n in widths for m in (n, 2 * n)}), "port": sorted(set(widths))})
-        frames = []
+        frames = [(F.row_number().over(w) == 1).alias("_starts")]
         for n in widths:
             now = w.rowsBetween(-(n - 1), 0)
             frames += [F.count(F.lit(1)).over(now).alias(f"_n{n}"), F.first("_at").over(now).alias(f"_from{n}"),
-                       F.collect_list("event_type").over(now).alias(f"_kinds{n}"),
-                       F.mode("event_type").over(now).alias(f"_kind{n}"),
                        F.coalesce(F.lag(f"_peer_{n}", n).over(w), F.lit(0)).alias(f"_before{n}"),
                        F.avg("_x").over(now).alias(f"w{n}_bytes_mean"),
                        F.stddev_pop("_x").over(now).alias(f"w{n}_bytes_std")]
         framed = counted.select("*", *frames)
-        out = [*part.columns]
+        out = [*part.columns, "_starts"]
         for n in widths:
-            peers, kind = F.col(f"_peer_{n}"), F.col(f"_kind{n}")
+            peers = F.col(f"_peer_{n}")
             seconds = F.greatest((F.col("_at") - F.col(f"_from{n}")) / F.lit(1e6), F.lit(1.0))
-            same = F.size(F.filter(F.col(f"_kinds{n}"), kind.eqNullSafe))
-            out += [(F.col(f"_n{n}") / seconds).alias(f"w{n}_rate"),
-                    (same / F.col(f"_n{n}")).alias(f"w{n}_repetition"),
+            out += [(F.col(f"_n{n}") / seconds).alias(f"w{n}_rate"), F.col(f"_n{n}"),
                     ((F.col(f"_peer_{2 * n}") - F.col(f"_before{n}")) / F.greatest(peers, F.lit(1)))
                     .alias(f"w{n}_peer_novelty"),
                     F.col(f"_port_{n}").cast("double").alias(f"w{n}_port_diversity"),
                     F.col(f"w{n}_bytes_mean"), F.col(f"w{n}_bytes_std"), peers.cast("double").alias(f"w{n}_fanout")]
-        return framed.select(*out)
+        # The window before has left the rows in this order, so neither a shuffle nor a sort is added.
+        in_order = framed.select(*out).sortWithinPartitions(*cols, *TIME_ORDER)
+        topped = _with_top_counts(in_order, "event_type", "_starts", list(widths))
+        return topped.select(*part.columns, *[
+            (F.col(f"_top_{n}") / F.col(f"_n{n}")).alias(c) if m == "repetition" else F.col(c)
+            for n in widths for m in MULTISCALE_METRICS for c in [f"w{n}_{m}"]])
 
     return over_sequences(events, list(keys), TIME_ORDER, 2 * max(widths) - 1, compute, hot).drop(POS)
 
