@@ -75,12 +75,12 @@ def read_csv(spark, sf):
 
 
 @query("A4_write_clean_events", f"""{WITH} SELECT event_row_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS "timestamp",
- entity_id, event_type, dst_id, label FROM flows""")
+ entity_id, event_type, dst_id, round(bytes, 6) AS bytes, label FROM flows""")
 def write_clean_events(spark, sf):
     path = scratch(spark)
     sinks.write_clean_events(flows(spark, sf), path)
     return files.read_table(spark, path).select(F.col("event_row_id").cast("bigint").alias("event_row_id"), "timestamp",
-                                                "entity_id", "event_type", "dst_id", "label")
+                                                "entity_id", "event_type", "dst_id", r6(F.col("bytes").cast("double")).alias("bytes"), "label")
 
 
 @query("A5_write_scores", f"""WITH {CHAIN} SELECT event_row_id, round(score, 6) AS score, label, split FROM sst""")
@@ -109,28 +109,76 @@ def split_manifest(spark, sf):
                     counts.alias("label_counts"))
 
 
-@query("A9_run_manifest")
+def _exact_sql(x: str) -> str:
+    """A finite double as its whole mantissa, ``p`` and its exponent."""
+    scaled = lambda e: f"(abs({x}) * pow(2.0::DOUBLE, -({e})))"
+    guess = f"CAST(floor(log2(abs({x}))) AS BIGINT)"
+    e = f"({guess} + CASE WHEN {scaled(guess)} >= 2 THEN 1 WHEN {scaled(guess)} < 1 THEN -1 ELSE 0 END)"
+    return (f"CASE WHEN {x} = 0 THEN '0' ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST({scaled(e)} * 4503599627370496::DOUBLE "
+            f"AS BIGINT) AS VARCHAR) || 'p' || CAST({e} AS VARCHAR) END")
+
+
+FLOW_TEXTS = {"bytes": _exact_sql("bytes"), "timestamp": f"CAST({EPOCH} AS VARCHAR)"}
+FLOW_NAMES = sorted(["event_row_id", "timestamp", "entity_id", "event_type", "dst_id", "bytes", "label", "split"])
+_CELLS = " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in (
+    FLOW_TEXTS.get(c, f'CAST("{c}" AS VARCHAR)') for c in FLOW_NAMES))
+
+
+@query("A9_run_manifest", f"""{WITH}, h AS (SELECT sha256({_CELLS}) AS h FROM flows),
+ s AS (SELECT sha256('{",".join(FLOW_NAMES)}|' || sum(CAST('0x' || substr(h, 1, 14) AS BIGINT)) || '|' || sum(CAST('0x' || substr(h, 15, 14) AS BIGINT))
+  || '|' || count(*)) AS source_digest FROM h)
+SELECT 'flows' AS dataset, 42 AS seed, source_digest, 'seq_len={shared.SEQ_LEN}' AS config, split, count(*) AS "rows", min({EPOCH}) AS first_at,
+ max({EPOCH}) AS last_at FROM flows CROSS JOIN s GROUP BY ALL""")
 def run_manifest(spark, sf):
     m = digests.run_manifest(flows(spark, sf), "flows", 42, {"seq_len": shared.SEQ_LEN})
-    files_seen = digests.file_digests(spark, f"{sf}/events.parquet").select("sha256", "length")
-    return m.select("dataset", "seed", "source_digest", "split", "rows").withColumn("k", F.lit(1)).join(
-        files_seen.withColumn("k", F.lit(1)), "k").drop("k")
+    config = F.concat_ws(",", F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return m.select("dataset", "seed", "source_digest", config.alias("config"), "split", "rows",
+                    F.unix_micros("start").alias("first_at"), F.unix_micros("end").alias("last_at"))
+
+
+LEAF, CHILDREN = 1000, 5  # small, so that the trees of these files have several levels
+
 
+def _tree_sql() -> str:
+    """Levels of the hash trees; a level with one node for every file repeats it."""
+    levels = []
+    for k in range(12):
+        before, name = f"l{k}", f"l{k + 1}"
+        levels.append(f"{name} AS (SELECT day, length, CAST(ceil(nodes / {CHILDREN}) AS BIGINT) AS nodes, node // {CHILDREN} AS node, CASE WHEN nodes > 1 "
+                      f"THEN sha256(string_agg(digest, '' ORDER BY node)) ELSE min(digest) END AS digest FROM {before} GROUP BY day, length, nodes, node // {CHILDREN})")
+    return ", ".join(levels)
 
-@query("A11_read_binaries", """SELECT split_part(event_type, '/', 1) AS source, label, count(*) AS files,
- sum(len) AS total_bytes FROM (SELECT source AS event_type, strlen(string_agg(text, '' )) AS len,
- CASE WHEN source = (SELECT min(source) FROM documents) THEN 1 ELSE 0 END AS label FROM documents GROUP BY source) GROUP BY ALL""")
+
+@query("A9_file_digests", f"""WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(event_id || ' ' || user_id || ' ' || event_type || chr(10), ''
+  ORDER BY event_id) AS t FROM events GROUP BY 1),
+ l0 AS (SELECT day, strlen(t) AS length, CAST(ceil(strlen(t) / {LEAF}) AS BIGINT) AS nodes, i AS node, sha256(substr(t, i * {LEAF} + 1, {LEAF})) AS digest
+  FROM f, LATERAL (SELECT unnest(range(0, CAST(ceil(strlen(t) / {LEAF}) AS BIGINT))) AS i)), {_tree_sql()}
+SELECT day, length, digest AS sha256 FROM l12""")
+def file_digests(spark, sf):
+    """The events of each day as a text file, hashed by ranges and levels."""
+    path = scratch(spark)
+    line = F.concat_ws(" ", "event_id", "user_id", "event_type")
+    events = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", line.alias("value"))
+    (events.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value")
+     .write.partitionBy("day").text(path))
+    found = digests.file_digests(spark, path, LEAF, CHILDREN)
+    return found.select(F.regexp_extract("path", "day=([^/]+)/", 1).alias("day"), "length", "sha256")
+
+
+@query("A11_read_binaries", """SELECT source, CAST(source = (SELECT min(source) FROM documents) AS INT) AS label, count(DISTINCT doc_id % 4) AS files,
+ sum(strlen(text)) AS total_bytes FROM documents GROUP BY source""")
 def read_binaries(spark, sf):
-    """One text file per document source, read back as binaries with a label per folder."""
+    """Several text files per document source, below a folder for each label, read back as binaries."""
     path = scratch(spark)
-    docs = table(spark, sf, "documents").select("source", "text")
-    docs.repartition("source").write.partitionBy("source").option("lineSep", "\u0001").text(path)
-    names = [r["source"] for r in docs.select("source").distinct().collect()]
-    rows = files.read_binaries(spark, {f"{path}/source={n}": int(n == min(names)) for n in names})
-    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    docs = table(spark, sf, "documents")
+    first = docs.agg(F.min("source")).first()[0]
+    placed = docs.select((F.col("source") == first).cast("int").alias("label"), "source", F.pmod("doc_id", F.lit(4)).alias("part"), "text")
+    (placed.repartition("label", "source", "part").sortWithinPartitions("label", "source", "part")
+     .write.partitionBy("label", "source", "part").option("lineSep", "\u0001").text(path))
+    rows = files.read_binaries(spark, {f"{path}/label={n}": n for n in (0, 1)})
     size = F.octet_length(F.regexp_replace(F.col("content").cast("string"), "\u0001", ""))
-    return rows.groupBy(source.alias("source"), "label").agg(
-        F.count_distinct(source).alias("files"), F.sum(size.cast("bigint")).alias("total_bytes"))
+    return rows.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "label").agg(
+        F.count_distinct("path").alias("files"), F.sum(size.cast("bigint")).alias("total_bytes"))
 
 
 @query("B1_adapt_clean", f"""{WITH} SELECT entity_id, {EPOCH} AS at, event_type, dst_id, round(bytes, 6) AS bytes, label FROM flows""")
@@ -316,16 +364,18 @@ def chronological_split(spark, sf):
     return splits.chronological_split(flows(spark, sf).drop("split"), 0.7, 0.15).select("event_row_id", "split")
 
 
+TIED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 @query("B14_chronological_split_ties", _rank_sql(
-    "lineitem", "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey",
+    "lineitem", f"l_shipdate, {', '.join(TIED)}",
     "WHEN k < CAST(floor(n * 0.6::DOUBLE) AS INT) THEN 'train' WHEN k < CAST(floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) AS INT) THEN 'val' ELSE 'test'",
-    "l_shipdate IS NOT NULL AS dated").replace("SELECT l_shipdate IS NOT NULL AS dated, CASE", "SELECT split, count(*) AS n, epoch_us(min(l_shipdate)) AS first_at FROM (SELECT l_shipdate, CASE") + ") GROUP BY split")
+    ", ".join(TIED)))
 def chronological_split_ties(spark, sf):
-    """Many events share a day, so the cut falls inside a tie and the row id decides."""
+    """Many events share a day, so the cut falls inside a tie and the row key decides."""
     li = table(spark, sf, "lineitem").withColumn("timestamp", F.col("l_shipdate").cast("timestamp"))
-    out = splits.chronological_split(li.withColumn("row_key", F.col("l_orderkey") * 8 + F.col("l_linenumber")),
-                                     0.6, 0.2, "row_key")
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_at"))
+    out = splits.chronological_split(li, 0.6, 0.2, TIED)
+    return out.select(*TIED, "split")
 
 
 # Entities in the order of 60 bits of the SHA-256 of "42:entity"; the first 70% and the next 15% of them.

@@ -37,12 +37,13 @@ def _by_cuts(df: DataFrame, order: Sequence[str], cuts: dict[str, int], last: st
     return df.withColumn("split", split)
 
 
-def chronological_split(df: DataFrame, train: float, val: float, tie: str = "event_row_id") -> DataFrame:
-    """First ``int(n*train)`` rows in time, then up to ``int(n*(train+val))``, then the rest."""
+def chronological_split(df: DataFrame, train: float, val: float, tie: str | Sequence[str] = "event_row_id") -> DataFrame:
+    """First ``int(n*train)`` rows in time, then up to ``int(n*(train+val))``, then the rest; ``tie`` settles equal times."""
     _check_fractions(train, val)
     n = df.count()
     timed = df.withColumn("_at", F.unix_micros("timestamp"))
-    return _by_cuts(timed, ["_at", tie], {"train": int(n * train), "val": int(n * (train + val))},
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    return _by_cuts(timed, ["_at", *ties], {"train": int(n * train), "val": int(n * (train + val))},
                     "test", n).drop("_at")
 
 

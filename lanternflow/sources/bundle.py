@@ -12,7 +12,7 @@ from lanternflow.operators.tokens import Tokenizer
 from lanternflow.plans.detection import Detector
 from lanternflow.sources.digests import table_digest
 
-SCHEMA_VERSION = "1.1"
+SCHEMA_VERSION = "1.2"
 COUNTS = ["triples", "contexts", "pairs", "firsts", "tokens"]
 TABLES = ["profiles", "event_types", *COUNTS]
 
