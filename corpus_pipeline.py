@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternflow.llm import decontaminate, langid, lexicon, linededup, minhash
-from lanternflow.llm.common import durable, table
+from lanternflow.llm.common import bounded_batches, durable, table
 from lanternflow.llm.queries import tokenizer_path
 
 
@@ -26,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from the labelled documents; ``lang`` becomes the predicted language.
     """
+    bounded_batches(spark)
     model = langid.fit_languages(docs)
     told = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
     return _same_columns(told.withColumn("lang", F.col("lang_pred")), docs)
@@ -33,12 +34,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out repeated passages; documents of which nothing is left go."""
+    bounded_batches(spark)
     left = linededup.dedup_lines(docs)
     return _same_columns(left.filter("NOT (lines_removed > 0 AND trim(text) = '')"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five words, 0.8)."""
+    bounded_batches(spark)
     kept = minhash.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return _same_columns(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), docs)
 
@@ -51,6 +54,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left: doc_id, number of tokens, and digests of ids and decoded text."""
+    bounded_batches(spark)
     return lexicon.encoding_digest(docs, tokenizer_path())
 
 

@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 
 from lanternflow.session import durable
 
-__all__ = ["Memo", "Recent", "arrow_groups", "boxed", "connected_components", "durable", "gathered", "give_back", "piece_groups", "range_bucket", "table"]
+__all__ = ["Memo", "Recent", "arrow_groups", "bounded_batches", "boxed", "connected_components", "durable", "gathered", "give_back", "piece_groups", "range_bucket", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let batches for Python end at about ``most`` bytes as well as at a number of rows, unless the session has a limit
+    of its own. Ten thousand rows of whole texts take tens of megabytes, once in the JVM and once more in its worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def boxed(df: DataFrame, *replaced: str) -> DataFrame:
     """All columns but the ``replaced`` ones inside one column ``_row``, so that no name inside an operator clashes."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in replaced]).alias("_row"))
