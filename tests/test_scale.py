@@ -110,3 +110,20 @@ def test_quantiles_have_the_same_bits_at_every_limit(spark):
     for p in probs:
         per = {r.entity_id: r.quantile for r in scale.exact_quantile(df, ["a"], p, by=["entity_id"], limit=10).collect()}
         assert per == {r.entity_id: r.q for r in df.groupBy("entity_id").agg(F.percentile("a", p).alias("q")).collect()}
+
+
+def test_all_quantiles_of_large_columns_share_their_passes(spark, monkeypatch):
+    """One stored copy and one search, however many probabilities; exact over ties, nulls and NaN."""
+    rng = np.random.default_rng(2)
+    a = [None, float("nan"), *rng.normal(size=3000).tolist()]
+    rows = [(x, float(i % 3), 7.0 if i else 1.0) for i, x in enumerate(a)]
+    df = scale.durable(spark.createDataFrame(rows, "a double, b double, c double"))
+    probs, stored, passes = [i / 8 for i in range(9)], [], []
+    keep, large = scale.durable, scale._large_ranks
+    monkeypatch.setattr(scale, "durable", lambda x: stored.append(1) or keep(x))
+    monkeypatch.setattr(scale, "_large_ranks", lambda *args: passes.append(1) or large(*args))
+    monkeypatch.setattr(scale, "max_group_rows", lambda spark: 20)
+    got = scale.global_quantiles(df, ["a", "b", "c"], probs)
+    assert (len(stored), len(passes)) == (1, 1)
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "abc"]).first()
+    assert {c: str(v) for c, v in got.items()} == {c: str(want[c]) for c in "abc"}
