@@ -18,8 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -41,12 +40,26 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _in_time_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "event_row_id"], kind="stable")
+# The instant of a row without a timestamp.
+_NO_TIME = np.iinfo(np.int64).min
 
 
-def _micros(times: pd.Series) -> np.ndarray:
-    return times.to_numpy("datetime64[us]").astype(np.int64)
+def _in_time_order(rows: Iterator[Row]) -> list[Row]:
+    """By instant and row id, nulls last."""
+    batch = list(rows)
+    if len(batch) > 1:
+        at, tie = (batch[0].__fields__.index(c) for c in ("at", "event_row_id"))
+        batch.sort(key=lambda r: (r[at] is None, r[at] or 0, r[tie] is None, r[tie] or 0))
+    return batch
+
+
+def _column(batch: list[Row], name: str) -> list:
+    i = batch[0].__fields__.index(name)
+    return [r[i] for r in batch]
+
+
+def _longs(values: list) -> np.ndarray:
+    return np.array([_NO_TIME if v is None else v for v in values], np.int64)
 
 
 class _Expiring(StatefulProcessor):
@@ -65,7 +78,7 @@ class _Expiring(StatefulProcessor):
     def _clear(self) -> None:
         raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last = self._last()
         if last is not None:
             if last // 1000 + self.keep * 1000 < timerValues.getCurrentWatermarkInMs():
@@ -106,26 +119,27 @@ class ContextWindows(_Expiring):
     def _clear(self) -> None:
         self.recent.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         batch = _in_time_order(rows)
         *held, last = self.recent.get() if self.recent.exists() else ([], [], [], None)
+        at = _longs(_column(batch, "at"))
         if last is not None:
-            batch = batch[_micros(batch["timestamp"]) >= last]
-            if batch.empty:
+            on_time = at >= last
+            batch, at = [r for r, kept in zip(batch, on_time.tolist()) if kept], at[on_time]
+            if not batch:
                 return
-        at = _micros(batch["timestamp"])
         own = _sessions(at, last, self.keep)
         carried = len(held[0])
-        toks, dsts, logs = (np.concatenate([np.array(h, dtype=kind), batch[c].to_numpy(dtype=kind)]) for h, c, kind in zip(
-            held, ("token_id", "dst_id", "x"), (np.int32, object, np.float64)))
+        toks, dsts, logs = ([*h, *_column(batch, c)] for h, c in zip(held, ("token_id", "dst_id", "x")))
         context = np.where(own >= 0, own, carried + np.arange(len(at)))
-        full = np.flatnonzero(context >= self.seq_len)
-        if len(full):
-            first = carried + full - self.seq_len
-            spans = first[:, None] + np.arange(self.seq_len + 1)
-            yield batch.iloc[full].drop(columns=["x"]).assign(toks=list(toks[spans]), dsts=list(dsts[spans]), logs=list(logs[spans]))
+        fields = batch[0].__fields__
+        kept = [i for i, c in enumerate(fields) if c not in ("x", "timestamp")]
+        out = Row(*[fields[i] for i in kept], "toks", "dsts", "logs")
+        for i in np.flatnonzero(context >= self.seq_len).tolist():
+            span, row = slice(carried + i - self.seq_len, carried + i + 1), batch[i]
+            yield out(*[row[k] for k in kept], toks[span], dsts[span], logs[span])
         left = min(self.seq_len, int(context[-1]) + 1)
-        self.recent.update((*[x[len(x) - left:].tolist() for x in (toks, dsts, logs)], int(at[-1])))
+        self.recent.update((*[x[len(x) - left:] for x in (toks, dsts, logs)], int(at[-1])))
         self._expire(last is None, int(at[-1]))
 
 
@@ -145,11 +159,12 @@ class Cooldown(_Expiring):
     def _clear(self) -> None:
         self.last.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         batch = _in_time_order(rows)
         gap, before = self.seconds * 1_000_000, self._last()
-        at = _micros(batch["timestamp"])
-        open_ = np.flatnonzero(batch["candidate"].to_numpy(bool) & ~batch["listed"].to_numpy(bool))
+        at = _longs(_column(batch, "at"))
+        listed = np.array(_column(batch, "listed"), bool)
+        open_ = np.flatnonzero(np.array(_column(batch, "candidate"), bool) & ~listed)
         times = at[open_]
         alert, i = np.zeros(len(at), bool), 0 if before is None else int(np.searchsorted(times, before + gap))
         follows = np.searchsorted(times, times + gap).tolist()  # the next candidate that a kept one lets through
@@ -165,7 +180,11 @@ class Cooldown(_Expiring):
             last = int(at[alert][-1])
             self.last.update((last,))
             self._expire(before is None, last)
-        yield batch.drop(columns=["candidate", "listed"]).assign(is_anomaly=alert, suppressed=batch["listed"].to_numpy(bool) | repeat)
+        fields = batch[0].__fields__
+        kept = [i for i, c in enumerate(fields) if c not in ("candidate", "listed", "at")]
+        out = Row(*[fields[i] for i in kept], "is_anomaly", "suppressed")
+        for row, fires, off in zip(batch, alert.tolist(), (listed | repeat).tolist()):
+            yield out(*[row[k] for k in kept], fires, off)
 
 
 class RecentEvents(_Expiring):
@@ -184,22 +203,23 @@ class RecentEvents(_Expiring):
     def _clear(self) -> None:
         self.kept.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         batch = _in_time_order(rows)
         ids, at = [list(part) for part in self.kept.get()] if self.kept.exists() else ([], [])
         last = at[-1] if at else None
-        batch = batch[batch["at"] >= last] if at else batch
-        if batch.empty:
-            return
-        now = batch["at"].to_numpy(np.int64)
+        now, new_ids = _longs(_column(batch, "at")), _longs(_column(batch, "event_row_id"))
+        if at:
+            on_time = now >= last
+            now, new_ids = now[on_time], new_ids[on_time]
+            if not len(now):
+                return
         own = _sessions(now, last, self.keep)
         held = int(own[-1]) + 1 if own[-1] >= 0 else len(at) + len(now)
         keep = min(self.limit, held)
-        ids, at = [(old + new.tolist())[-keep:] for old, new in ((ids, batch["event_row_id"].to_numpy(np.int64)), (at, now))]
+        ids, at = [(old + new.tolist())[-keep:] for old, new in ((ids, new_ids), (at, now))]
         self.kept.update((ids, at))
         self._expire(last is None, at[-1])
-        yield pd.DataFrame({"entity_id": [key[0]], "buffered": [len(ids)], "first_at": [at[0]], "last_at": [at[-1]],
-                            "last_id": [ids[-1]]})
+        yield Row(entity_id=key[0], buffered=len(ids), first_at=at[0], last_at=at[-1], last_id=ids[-1])
 
 
 class Tally(StatefulProcessor):
@@ -211,14 +231,14 @@ class Tally(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "flag boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh = not self.seen.exists()
         if fresh:
             self.seen.update((True,))
         events, anomalies = 0, 0
-        for part in rows:
-            events, anomalies = events + len(part), anomalies + int(part["is_anomaly"].sum())
-        yield pd.DataFrame({"entity_id": [key[0]], "events": [events], "anomalies": [anomalies], "fresh": [int(fresh)]})
+        for row in rows:
+            events, anomalies = events + 1, anomalies + bool(row.is_anomaly)
+        yield Row(entity_id=key[0], events=events, anomalies=anomalies, fresh=int(fresh))
 
     def close(self) -> None:
         pass
@@ -232,10 +252,11 @@ def stream_windows(events: DataFrame, d: Detector, idle: int | None = None) -> D
     """Full windows of a stream with the seven features, from keyed state (see above for ``idle``)."""
     tokens = K.tokenize(events, d.tokenizer).withColumn("x", V.log_bytes(F.col("bytes")))
     extra = [c for c in ("split",) if c in events.columns]
-    rows = tokens.select(*_IN, *extra)
-    out = T.StructType([f for f in rows.schema.fields if f.name != "x"] + T._parse_datatype_string(_ARRAYS).fields)
-    held = rows.groupBy("entity_id").transformWithStateInPandas(ContextWindows(d.seq_len, idle), out, "Append", _time_mode(idle))
+    rows = tokens.select(*_IN, F.unix_micros("timestamp").alias("at"), *extra)
+    out = T.StructType([f for f in rows.schema.fields if f.name not in ("x", "timestamp")] + T._parse_datatype_string(_ARRAYS).fields)
+    held = rows.groupBy("entity_id").transformWithState(ContextWindows(d.seq_len, idle), out, "Append", _time_mode(idle))
     features = {
+        "timestamp": F.timestamp_micros("at"),
         "tok_uniq": S.distinct_count(F.col("toks")), "tok_top_share": S.top_share(F.col("toks")),
         "dst_uniq": S.distinct_count(F.col("dsts")), "dst_top_share": S.top_share(F.col("dsts")),
         "bytes_mean": S.array_mean(F.col("logs")), "bytes_std": S.array_std(F.col("logs")),
@@ -263,22 +284,23 @@ def with_stream_cooldown(scored: DataFrame, d: Detector, expire: bool = False) -
     if d.cooldown_seconds <= 0:
         return rows.withColumns({"is_anomaly": F.col("candidate") & ~F.col("listed"), "suppressed": F.col("listed")}
                                 ).drop("candidate", "listed")
-    fields = [f for f in rows.schema.fields if f.name not in ("candidate", "listed")]
+    rows = rows.withColumn("at", F.unix_micros("timestamp"))
+    fields = [f for f in rows.schema.fields if f.name not in ("candidate", "listed", "at")]
     out = T.StructType(fields + [T.StructField("is_anomaly", T.BooleanType()), T.StructField("suppressed", T.BooleanType())])
-    return rows.groupBy("entity_id").transformWithStateInPandas(
+    return rows.groupBy("entity_id").transformWithState(
         Cooldown(d.cooldown_seconds, expire), out, "Append", _time_mode(d.cooldown_seconds if expire else None))
 
 
 def recent_events(events: DataFrame, limit: int = 1000, idle: int | None = None) -> DataFrame:
     rows = events.select("entity_id", "timestamp", "event_row_id", F.unix_micros("timestamp").alias("at"))
-    return rows.groupBy("entity_id").transformWithStateInPandas(
+    return rows.groupBy("entity_id").transformWithState(
         RecentEvents(limit, idle), "entity_id string, buffered int, first_at bigint, last_at bigint, last_id bigint",
         "Update", _time_mode(idle))
 
 
 def tally(scored: DataFrame) -> DataFrame:
     """``entity_id, events, anomalies, fresh`` of every micro-batch of a stream with ``is_anomaly``."""
-    return scored.select("entity_id", "is_anomaly").groupBy("entity_id").transformWithStateInPandas(
+    return scored.select("entity_id", "is_anomaly").groupBy("entity_id").transformWithState(
         Tally(), "entity_id string, events long, anomalies long, fresh long", "Update", "None")
 
 
