@@ -114,14 +114,15 @@ class ContextWindows(_Expiring):
         self.recent = handle.getValueState("recent", _ARRAYS + ", last_at bigint")
 
     def _last(self) -> int | None:
-        return self.recent.get()[3] if self.recent.exists() else None
+        held = self.recent.get()
+        return None if held is None else held[3]
 
     def _clear(self) -> None:
         self.recent.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         batch = _in_time_order(rows)
-        *held, last = self.recent.get() if self.recent.exists() else ([], [], [], None)
+        *held, last = self.recent.get() or ([], [], [], None)
         at = _longs(_column(batch, "at"))
         if last is not None:
             on_time = at >= last
@@ -154,7 +155,8 @@ class Cooldown(_Expiring):
         self.last = handle.getValueState("last", "at bigint")
 
     def _last(self) -> int | None:
-        return self.last.get()[0] if self.last.exists() else None
+        held = self.last.get()
+        return None if held is None else held[0]
 
     def _clear(self) -> None:
         self.last.clear()
@@ -198,14 +200,15 @@ class RecentEvents(_Expiring):
         self.kept = handle.getValueState("kept", "ids array<bigint>, at array<bigint>")
 
     def _last(self) -> int | None:
-        return self.kept.get()[1][-1] if self.kept.exists() else None
+        held = self.kept.get()
+        return None if held is None else held[1][-1]
 
     def _clear(self) -> None:
         self.kept.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         batch = _in_time_order(rows)
-        ids, at = [list(part) for part in self.kept.get()] if self.kept.exists() else ([], [])
+        ids, at = [list(part) for part in self.kept.get() or ([], [])]
         last = at[-1] if at else None
         now, new_ids = _longs(_column(batch, "at")), _longs(_column(batch, "event_row_id"))
         if at:

@@ -2,9 +2,11 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lanternflow.catalog import shared
@@ -105,3 +107,28 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path, what):
         assert [r[1:4] for r in first] == [(20, 4, 7), (40, 8, 7), (60, 12, 7)]
     else:
         assert sum(r[1] for r in first) == 60 and sum(r[2] for r in first) == 12
+
+
+def test_state_is_read_once_per_entity_and_batch():
+    class Value:
+        held, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+    for processor in (SC.ContextWindows(1, 60), SC.Cooldown(60, True), SC.RecentEvents(3, 60)):
+        value = Value()
+        processor.init(SimpleNamespace(getValueState=lambda name, shape: value, registerTimer=lambda at: None))
+        for at in (1, 100_000_000):
+            value.calls = 0
+            row = Row(entity_id="a", at=at, event_row_id=at, timestamp=None, token_id=2, dst_id="d", x=1.0, candidate=True, listed=False)
+            list(processor.handleInputRows(("a",), iter([row]), None))
+            assert value.calls == 2 and value.held is not None
