@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import brute
 import pytest
@@ -136,6 +137,24 @@ def test_contamination_with_sigmas(spark):
     assert found == brute.contaminated(rows, items) and all(found[i][2] == [str(i)] for i in range(3))
 
 
+def test_contamination_cuts_a_text_once(spark):
+    """Cut anew for each of its 15,000 candidates, the long text took minutes."""
+    text = "a b " * 15_000
+    docs, items = spark.createDataFrame([(1, text), (2, "a c b")], DOCS), spark.createDataFrame([(5, "a b"), (6, "b c")], "item_id long, text string")
+    began = time.monotonic()
+    found = by_id(decontaminate.contamination(docs, items), "n_words", "n_hit", "item_ids")
+    near = {(r["doc_id"], *r["items"]) for r in decontaminate.proximity_matches(docs, items).collect()}
+    assert time.monotonic() - began < 60
+    assert found == {1: (30_000, 30_000, ["5"]), 2: (3, 0, [])} and near == {(1, 5), (2, 5), (2, 6)}
+
+
+def test_words_of_odd_texts(spark):
+    every = "".join(map(chr, range(128)))
+    texts = [*ODD, every, every[::-1], "".join(f"x{c}y{c}{c}" for c in every), " a ", "a", ".", "--a--", "\x7f\x80\U0010ffffZ{", "K\u212aÅ\u212b[`İ@"]
+    cut = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", decontaminate.words_of(F.col("text")).alias("w"))
+    assert {r["doc_id"]: r["w"] for r in cut.collect()} == {i: brute.WORD.findall(brute.ascii_lower(t)) for i, t in enumerate(texts)}
+
+
 def test_line_chunks_are_removed_after_the_first(spark):
     a, b = [f"line {i} {prose(i, 6)}" for i in range(30)], [f"other {i} {prose(50 + i, 6)}" for i in range(9)]
     long = prose(99, 60)
